@@ -34,7 +34,7 @@ class Index:
 
 def query_terms(queries: DataFrame, nodes: DataFrame, max_codebook_bytes: int = DEFAULT_CODEBOOK_BYTES) -> DataFrame:
     """(query_id, pos, vec) -> (term_id, query_id, query_tf) over all nodes the query's vectors visit."""
-    features = queries.withColumnRenamed("query_id", "doc_id")
+    features = queries.select(F.col("query_id").alias("doc_id"), "pos", "vec")
     leaves = quantize(features, nodes, max_codebook_bytes).withColumnRenamed("doc_id", "query_id")
     return term_counts(leaves, "query_id", "query_tf")
 

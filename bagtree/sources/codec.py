@@ -27,7 +27,6 @@ def export_nodes(nodes: DataFrame) -> DataFrame:
         .groupBy("tree_id", F.col("parent_id").alias("term_id"))
         .agg(F.array_sort(F.collect_list("term_id")).alias("children"))
     )
-    # ``term_id`` in collect_list is the child's; the grouping key is renamed only in the output.
     return nodes.join(children, ["tree_id", "term_id"], "left").select(
         "tree_id",
         "term_id",

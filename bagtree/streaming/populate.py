@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from bagtree.operators.tree import TreeShape
-from bagtree.plans.index_jobs import FeaturesOf, populate
+from bagtree.plans.index_jobs import FeaturesOf, active_tree_id, populate
 from bagtree.sources.tables import IndexTables
 
 # Fixed value: seconds between looks at the folder.
@@ -32,10 +32,14 @@ def populate_stream(
     """Append each micro-batch of ``docs`` once.
 
     The sample log keeps out documents the tree has seen, in whatever batch. A batch replayed after a failure has
-    the same name: if its commit is there it is skipped, if not its partitions are overwritten.
+    the same name: if its commit is there it is skipped, if not its partitions are overwritten. Once a new tree
+    takes over, one run of the ``populate`` job brings it the documents of earlier micro-batches.
     """
 
     def append_batch(batch: DataFrame, batch_id: int) -> None:
+        if active_tree_id(tables) is None:
+            # Fail rather than go on: the micro-batch then comes again when the stream is restarted.
+            raise RuntimeError(f"{tables.namespace} has no finished tree to append to")
         batch = batch.persist()
         try:
             populate(tables, batch, features_of, shape, f"stream-{batch_id:09d}")

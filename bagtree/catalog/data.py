@@ -24,7 +24,7 @@ DIM = 64
 # Small enough for the SQL twin: a level there is a page of text.
 SHAPE = TreeShape(k=4, levels=2, min_samples=20, iters=1, init="hash")
 # Terms of so flat a tree are wide; the default threshold of 0.05 suits deep ones.
-THRESHOLD = 0.005
+THRESHOLD = 0.0003
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -107,7 +107,7 @@ def train(features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim
     if dim is None:
         first = features.select(F.size("vec").alias("dim")).first()
         if first is None:
-            raise ValueError("cannot train on no features")
+            raise ValueError("no features to take the dimension from: give dim")
         dim = first["dim"]
     total = features.count()
     rows = features.select(F.lit(ROOT).alias("term_id"), "doc_id", "pos", "vec")

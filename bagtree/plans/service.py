@@ -34,6 +34,9 @@ class SearchService:
     encoder: Encoder = field(default_factory=hashed_words)
     shape: TreeShape = TreeShape()
     threshold: float = TF_IDF_THRESHOLD
+    # Needed only where a training sample may turn out empty.
+    caption_dim: int | None = None
+    picture_dim: int | None = None
 
     def __post_init__(self) -> None:
         self.captions = IndexTables(self.spark, self.base, "captions", "string")
@@ -73,22 +76,25 @@ class SearchService:
         return self.picture_features.join(docs.select("doc_id"), "doc_id", "left_semi")
 
     def _trees(self):
-        return ((self.captions, self._caption_features), (self.pictures, self._picture_features))
+        return (
+            (self.captions, self._caption_features, self.caption_dim),
+            (self.pictures, self._picture_features, self.picture_dim),
+        )
 
     def train(self, captions_sample_size: int, ims_sample_size: int) -> None:
         """Train new trees. A namespace whose training is under way is left alone."""
-        for (tables, features_of), size in zip(self._trees(), (captions_sample_size, ims_sample_size)):
+        for (tables, features_of, dim), size in zip(self._trees(), (captions_sample_size, ims_sample_size)):
             try:
-                index_jobs.start_training(tables, self._docs(), features_of, size, self.shape)
+                index_jobs.start_training(tables, self._docs(), features_of, size, self.shape, dim=dim)
             except TrainingInProgress:
                 continue
 
     def populate(self) -> bool:
         """Add the documents the trees have not seen; false if there was none."""
-        return any([index_jobs.populate(tables, self._docs(), of, self.shape) for tables, of in self._trees()])
+        return any([index_jobs.populate(tables, self._docs(), of, self.shape) for tables, of, _ in self._trees()])
 
     def retire(self) -> list[str]:
-        return [tree for tables, _ in self._trees() for tree in index_jobs.retire(tables)]
+        return [tree for tables, _, _ in self._trees() for tree in index_jobs.retire(tables)]
 
     # --- search
 

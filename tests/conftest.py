@@ -10,7 +10,7 @@ from bagtree.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=4, app="bagtree-tests")
+    session = local_session(8, shuffle_partitions=2, app="bagtree-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 FEATURE = "doc_id long, pos int, vec array<float>"
 
@@ -11,12 +12,16 @@ FEATURE = "doc_id long, pos int, vec array<float>"
 def random_features(spark, docs=60, per_doc=5, dim=8, seed=1):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, dim))
-    rows = []
-    for doc in range(docs):
-        for pos in range(per_doc):
-            vec = centres[rng.integers(6)] + 0.3 * rng.normal(size=dim)
-            rows.append((doc, pos, [float(np.float32(x)) for x in vec]))
-    return spark.createDataFrame(rows, FEATURE)
+    n = docs * per_doc
+    vectors = (centres[rng.integers(6, size=n)] + 0.3 * rng.normal(size=(n, dim))).astype(np.float32)
+    table = pa.table(
+        {
+            "doc_id": pa.array(np.repeat(np.arange(docs), per_doc)),
+            "pos": pa.array(np.tile(np.arange(per_doc, dtype=np.int32), docs)),
+            "vec": pa.array(list(vectors), pa.list_(pa.float32())),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def path(term):

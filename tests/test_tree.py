@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,8 +43,9 @@ def test_children_share_out_their_parents_features(spark, init):
 
 def test_blocks_and_row_order_do_not_change_the_tree(spark):
     features = random_features(spark)
-    whole = train(features, "t", TreeShape(init="hash", **SMALL))
-    pieces = train(features, "t", TreeShape(init="hash", max_codebook_bytes=3 * 8 * 4, order_rows_above=1, **SMALL))
+    shape = TreeShape(k=3, levels=2, min_samples=20, iters=1, init="hash")
+    whole = train(features, "t", shape)
+    pieces = train(features, "t", replace(shape, max_codebook_bytes=2 * 3 * 8 * 4, order_rows_above=1))
     assert places(whole.assignments) == places(pieces.assignments)
     assert nodes_of(whole).keys() == nodes_of(pieces).keys()
     for term, node in nodes_of(whole).items():
@@ -54,7 +57,7 @@ def test_descent_finds_the_trained_leaves_with_and_without_broadcast(spark):
     tree = train(features, "t", TreeShape(init="hash", **SMALL))
     expected = places(tree.assignments)
     assert places(quantize(features, tree.nodes)) == expected
-    for bound in (0, 3 * 8 * 4, 12 * 8 * 4):
+    for bound in (0, 3 * 8 * 4):
         assert places(quantize(features, tree.nodes, max_codebook_bytes=bound, rows_per_salt=7)) == expected
 
 
@@ -138,3 +141,9 @@ def test_wrong_dimension_is_an_error(spark):
 def test_no_features_is_an_error(spark):
     with pytest.raises(ValueError):
         train(spark.createDataFrame([], FEATURE), "t")
+
+
+def test_an_empty_draw_gives_a_bare_root_if_the_dimension_is_known(spark):
+    tree = train(spark.createDataFrame([], FEATURE), "t", dim=3)
+    assert nodes_of(tree)[ROOT]["centroid"] == [0.0] * 3 and tree.assignments.count() == 0
+    assert set(places(quantize(random_features(spark, docs=2, dim=3), tree.nodes)).values()) == {ROOT}

@@ -11,24 +11,35 @@ from bagtree.operators.encode import char_ngrams, encode_text, hashed_term_weigh
 from bagtree.operators.features import explode_documents, lookup, vectors_of
 from bagtree.operators.sample import sample_next, unsampled, unsampled_count
 from bagtree.functions.weights import sample_ratio
-from bagtree.sources.captions import fold_captions, image_path, orphan_annotations
+from bagtree.sources.captions import caption_counts, caption_rows, image_path, orphan_annotations
 
 
-@query(
-    """SELECT d.doc_id AS id, d.source AS dataset, count(c.text) AS n_captions,
-       coalesce(string_agg(c.text, '|' ORDER BY c.turn), '') AS captions
-       FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.doc_id, d.source"""
-)
-def ingest_captions(spark, sf_dir):
-    """Images with their captions in order; an image without captions stays, with an empty list."""
+def captioned_items(spark, sf_dir):
+    """(items, captions): documents are the images, turns of conversations their annotations."""
     images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
     notes = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("image_id"), F.col("text").alias("caption"), F.col("turn").alias("seq")
     )
-    folded = fold_captions(images, notes)
-    return folded.select(
-        "id", "dataset", F.size("captions").cast("bigint").alias("n_captions"), F.array_join("captions", "|").alias("captions")
-    )
+    return images, caption_rows(notes)
+
+
+@query(
+    """SELECT d.doc_id AS id, d.source AS dataset, count(c.text) AS n_captions
+       FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.doc_id, d.source"""
+)
+def ingest_images(spark, sf_dir):
+    """Images with the number of their captions; an image without captions stays."""
+    return caption_counts(*captioned_items(spark, sf_dir))
+
+
+@query(
+    """SELECT d.doc_id AS id, d.source AS dataset, turn AS pos, md5(c.text) AS text_hash
+       FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id"""
+)
+def ingest_captions(spark, sf_dir):
+    """Images joined with their captions, a row each; an image without captions has one row of nulls."""
+    images, captions = captioned_items(spark, sf_dir)
+    return images.join(captions, "id", "left").select("id", "dataset", "pos", F.md5("text").alias("text_hash"))
 
 
 @query(

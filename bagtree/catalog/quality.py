@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bagtree.catalog import sql
-from bagtree.catalog.data import THRESHOLD, caption_features, captions, table, test_captions
+from bagtree.catalog.data import THRESHOLD, caption_features, captions, test_captions
+from bagtree.catalog.ingest import captioned_items
 from bagtree.catalog.registry import query
 from bagtree.catalog.searching import TEXT_HITS
 from bagtree.operators import evaluate as quality
 from bagtree.operators.search import search
-from bagtree.sources.captions import caption_rows, fold_captions
+from bagtree.sources.captions import caption_counts
 from bagtree.sources.scratch import stage
 
 _EXACT = [*sql.CAPTIONS, *sql.TEST_CAPTIONS, *sql.exact("caps", "tests", 20)]
@@ -130,20 +131,6 @@ def recall_vs_exact(spark, sf_dir):
 )
 def search_text_metadata(spark, sf_dir):
     """Results of the text search with data set and number of captions of each item."""
-    images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
-    notes = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("image_id"), F.col("text").alias("caption"), F.col("turn").alias("seq")
-    )
-    items = fold_captions(images, notes)
-    metadata = items.select(F.col("id").alias("doc_id"), "dataset", F.size("captions").cast("bigint").alias("n_captions"))
+    metadata = caption_counts(*captioned_items(spark, sf_dir)).withColumnRenamed("id", "doc_id")
     results = search(test_captions(spark, sf_dir), captions(spark, sf_dir).index, 20, THRESHOLD)
     return quality.with_metadata(results, metadata).select("query_id", "rank", "doc_id", "dataset", "n_captions")
-
-
-@query("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS pos, md5(text) AS text_hash FROM conversations")
-def metadata_captions(spark, sf_dir):
-    """The stored metadata of captioned items as one row per caption."""
-    turns = table(spark, sf_dir, "conversations")
-    images = turns.select(F.col("conv_id").alias("id")).distinct()
-    notes = turns.select(F.col("conv_id").alias("image_id"), F.col("text").alias("caption"), F.col("turn").alias("seq"))
-    return caption_rows(fold_captions(images, notes)).select("doc_id", "pos", F.md5("text").alias("text_hash"))

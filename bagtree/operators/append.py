@@ -61,7 +61,6 @@ def append(
 
     ``assignments`` holds rows at leaves only. One round of splits, or with ``until_stable`` as many as it takes.
     """
-    spark = features.sparkSession
     dim = nodes.filter(F.col("term_id") == ROOT).select(F.size("centroid").alias("dim")).first()["dim"]
     placed = stage(quantize(features, nodes, shape.max_codebook_bytes).select("term_id", "doc_id", "pos", "vec"), "placed")
     postings = postings_of(placed)
@@ -78,8 +77,7 @@ def append(
     stay = placed
     while frontier:
         moved, children, sizes = split(cluster.rows_of(rows, frontier), frontier, dim, shape)
-        gone = cluster.frontier_frame(spark, frontier).select("term_id")
-        kept = stay.join(gone, "term_id", "left_anti")
+        kept = cluster.rows_not_of(stay, frontier)
         at_leaf = kept if at_leaf is None else at_leaf.unionByName(kept)
         postings = postings.unionByName(moved.groupBy("term_id", "doc_id").agg(F.count("*").alias("tf")))
         new_nodes = children if new_nodes is None else new_nodes.unionByName(children)

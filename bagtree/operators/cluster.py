@@ -24,6 +24,9 @@ DEFAULT_CODEBOOK_BYTES = 64 << 20
 # A node offers about this many times k of its rows, those with the lowest hashes, as candidates for its k seeds.
 _CANDIDATES_PER_SEED = 20
 
+# Up to this many nodes are named in a filter; beyond, they come as a table to join with.
+_NAMED_TERMS = 1000
+
 Frontier = Sequence[tuple[str, int]]  # (term_id, number of features), ascending
 
 
@@ -33,12 +36,21 @@ def frontier_frame(spark: SparkSession, frontier: Frontier) -> DataFrame:
 
 
 def rows_of(rows: DataFrame, frontier: Frontier) -> DataFrame:
-    """The rows in nodes of the frontier. The range lets parquet skip row groups of other nodes."""
+    """The rows in nodes of the frontier. Few terms are named, many give their range: parquet skips by either."""
+    if len(frontier) <= _NAMED_TERMS:
+        return rows.filter(F.col("term_id").isin([term for term, _ in frontier]))
     terms = frontier_frame(rows.sparkSession, frontier).select("term_id")
     in_range = rows.filter(F.col("term_id").between(frontier[0][0], frontier[-1][0]))
     return in_range.join(terms, "term_id", "left_semi")
 
 
+def rows_not_of(rows: DataFrame, frontier: Frontier) -> DataFrame:
+    """The rows in all other nodes."""
+    if len(frontier) <= _NAMED_TERMS:
+        return rows.filter(~F.col("term_id").isin([term for term, _ in frontier]))
+    return rows.join(frontier_frame(rows.sparkSession, frontier).select("term_id"), "term_id", "left_anti")
+
+
 def blocks_of(frontier: Frontier, k: int, dim: int, max_codebook_bytes: int) -> Iterator[Frontier]:
     """The frontier cut into pieces whose centroids fit the bound (float32)."""
     size = max(1, max_codebook_bytes // (k * dim * 4))

@@ -11,10 +11,14 @@ from bagtree.functions.weights import idf, normalised_tf
 from bagtree.operators.cluster import DEFAULT_CODEBOOK_BYTES
 from bagtree.operators.postings import term_counts
 from bagtree.operators.quantize import quantize
+from bagtree.sources.scratch import stage
 
 # Fixed value: the smallest tf-idf weight with which a query term takes part.
 TF_IDF_THRESHOLD = 0.05
 
+# Up to this many query terms are named to the postings scan, which then skips row groups without them.
+PUSHED_TERMS = 1000
+
 # Distances are compared at this many digits, so that sums in another order rank alike.
 SCORE_DIGITS = 9
 
@@ -58,26 +62,38 @@ def prune(weights: DataFrame, threshold: float = TF_IDF_THRESHOLD) -> DataFrame:
     return weights.filter(F.col("q_weight") >= threshold)
 
 
+def with_query_norm(kept: DataFrame) -> DataFrame:
+    """Adds ``q_norm``, the sum of the query's weights. A query has at most one row per node of the tree."""
+    return kept.withColumn("q_norm", F.sum("q_weight").over(Window.partitionBy("query_id")))
+
+
+def postings_of_terms(postings: DataFrame, kept: DataFrame) -> DataFrame:
+    """Postings, cut down by name to the terms in question if these are few."""
+    terms = [row["term_id"] for row in kept.select("term_id").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return postings.filter(F.col("term_id").isin(terms)) if len(terms) <= PUSHED_TERMS else postings
+
+
 def term_scores(kept: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, term_id, doc_id, q_weight, d_weight) for all documents that share a kept term."""
+    """(query_id, term_id, doc_id, q_weight, q_norm, d_weight) for all documents that share a kept term."""
     return kept.join(postings, "term_id").select(
         "query_id",
         "term_id",
         "doc_id",
         "q_weight",
+        "q_norm",
         (normalised_tf(F.col("tf"), F.col("query_tf"), F.col("total_tf")) * F.col("idf")).alias("d_weight"),
     )
 
 
-def distances(scores: DataFrame, kept: DataFrame) -> DataFrame:
+def distances(scores: DataFrame) -> DataFrame:
     """(query_id, doc_id, distance): L1 distance of the L1-normalised weight vectors.
 
-    Both vectors are non-negative with sum 1, hence |q - d| = 2 - 2 * sum(min(q, d)) and only shared terms count.
-    The document's sum and the final sum use the same keys, so there is one exchange for both.
+    ``scores`` has the sum of the query's weights as ``q_norm``. Both vectors are non-negative with sum 1, hence
+    |q - d| = 2 - 2 * sum(min(q, d)) and only shared terms count. The document's sum and the final sum use the same
+    keys, so there is one exchange for both; a group has at most one row per kept term of the query.
     """
-    q_norm = kept.groupBy("query_id").agg(F.sum("q_weight").alias("q_norm"))
     of_pair = Window.partitionBy("query_id", "doc_id")
-    normed = scores.join(q_norm, "query_id").withColumn("d_norm", F.sum("d_weight").over(of_pair))
+    normed = scores.withColumn("d_norm", F.sum("d_weight").over(of_pair))
     shared = F.least(F.col("q_weight") / F.col("q_norm"), F.col("d_weight") / F.col("d_norm"))
     return normed.groupBy("query_id", "doc_id").agg((F.lit(2.0) - F.lit(2.0) * F.sum(shared)).alias("distance"))
 
@@ -101,8 +117,11 @@ def search(
     ``queries`` is (query_id, pos, vec). ``exclude_self`` is for queries that are documents of the index. A query
     without a kept term has no rows, one that shares its terms with fewer than n documents has fewer than n.
     """
-    kept = prune(term_weights(query_terms(queries, index.nodes, max_codebook_bytes), index), threshold)
-    scored = distances(term_scores(kept, index.postings), kept)
+    kept = with_query_norm(prune(term_weights(query_terms(queries, index.nodes, max_codebook_bytes), index), threshold))
+    # As a written table the kept terms have a known size: while small they are broadcast to the postings, which then
+    # need no exchange.
+    kept = stage(kept, "kept")
+    scored = distances(term_scores(kept, postings_of_terms(index.postings, kept)))
     if exclude_self:
         scored = scored.filter(F.col("doc_id") != F.col("query_id"))
     scored = scored.withColumn("distance", F.round("distance", SCORE_DIGITS))

@@ -114,15 +114,13 @@ def train(features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim
     nodes, leaves, sizes = root_frame(spark, dim, total), None, [(ROOT, total)]
     while sizes:
         frontier = split_worthy(sizes, shape)
-        at_leaf, open_rows = rows, rows
-        if frontier:
-            at_leaf = rows.join(cluster.frontier_frame(spark, frontier).select("term_id"), "term_id", "left_anti")
         if len(frontier) < len(sizes):
+            at_leaf = cluster.rows_not_of(rows, frontier) if frontier else rows
             leaves = at_leaf if leaves is None else leaves.unionByName(at_leaf)
-            open_rows = cluster.rows_of(rows, frontier) if frontier else None
+            rows = cluster.rows_of(rows, frontier) if frontier else rows
         if not frontier:
             break
-        rows, children, sizes = split(open_rows, frontier, dim, shape)
+        rows, children, sizes = split(rows, frontier, dim, shape)
         nodes = nodes.unionByName(children)
     nodes = stage(nodes.select(F.lit(tree_id).alias("tree_id"), "*"), "nodes")
     return Tree(tree_id, nodes, leaves.select(F.lit(tree_id).alias("tree_id"), "term_id", "doc_id", "pos", "vec"))

@@ -39,30 +39,37 @@ class SearchService:
     picture_dim: int | None = None
 
     def __post_init__(self) -> None:
-        self.captions = IndexTables(self.spark, self.base, "captions", "string")
-        self.pictures = IndexTables(self.spark, self.base, "ims", "string")
-        self.content_path = f"{self.base}/content"
-        self.metadata_path = f"{self.base}/image_metadata"
+        self.caption_index = IndexTables(self.spark, self.base, "captions", "string")
+        self.picture_index = IndexTables(self.spark, self.base, "ims", "string")
 
     # --- ingest
 
     def seed(self, caption_file: str, image_folder: str, dataset: str) -> None:
         """Store the pictures and captions of a data set; ids are the md5 of data set and file name."""
-        items = source.caption_items(self.spark, caption_file, dataset)
+        items, captions = source.read_captioned_images(self.spark, caption_file, dataset)
         items = source.with_content(items, source.read_image_files(self.spark, image_folder))
-        self.seed_items(items.withColumn("id", F.md5(F.concat_ws(":", "dataset", "file_name"))))
+        stored_id = F.md5(F.concat_ws(":", "dataset", "file_name")).alias("stored_id")
+        ids = items.select("id", stored_id)
+        self.seed_items(
+            items.select(stored_id.alias("id"), "dataset", "content"),
+            captions.join(ids, "id").select(F.col("stored_id").alias("id"), F.col("pos").cast("int").alias("pos"), "text"),
+        )
 
-    def seed_items(self, items: DataFrame) -> None:
-        source.store_images(items, self.content_path, self.metadata_path)
+    def seed_items(self, items: DataFrame, captions: DataFrame) -> None:
+        source.store_images(items, captions, self.base)
 
     def metadata(self) -> DataFrame:
-        return source.read_metadata(self.spark, self.metadata_path)
+        return source.read_metadata(self.spark, self.base)
+
+    def captions(self) -> DataFrame:
+        return source.read_captions(self.spark, self.base)
 
     def metadata_of(self, ids: DataFrame) -> DataFrame:
-        return ids.join(self.metadata(), "id", "left")
+        """(id, dataset, captions) of the given ids; no data set and no captions for an unknown id."""
+        return source.fold_captions(ids.join(self.metadata(), "id", "left"), self.captions())
 
     def image_paths(self, ids: DataFrame) -> DataFrame:
-        return ids.withColumn("path", source.image_path(self.content_path, F.col("id")))
+        return ids.withColumn("path", source.image_path(f"{self.base}/content", F.col("id")))
 
     # --- build and grow
 
@@ -70,15 +77,16 @@ class SearchService:
         return self.metadata().withColumn("doc_id", F.col("id"))
 
     def _caption_features(self, docs: DataFrame) -> DataFrame:
-        return encode_text(source.caption_rows(docs), self.encoder)
+        chosen = self.captions().withColumnRenamed("id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+        return encode_text(chosen, self.encoder)
 
     def _picture_features(self, docs: DataFrame) -> DataFrame:
         return self.picture_features.join(docs.select("doc_id"), "doc_id", "left_semi")
 
     def _trees(self):
         return (
-            (self.captions, self._caption_features, self.caption_dim),
-            (self.pictures, self._picture_features, self.picture_dim),
+            (self.caption_index, self._caption_features, self.caption_dim),
+            (self.picture_index, self._picture_features, self.picture_dim),
         )
 
     def train(self, captions_sample_size: int, ims_sample_size: int) -> None:
@@ -110,18 +118,17 @@ class SearchService:
 
     def query_labeled(self, texts: DataFrame, n: int) -> DataFrame:
         """Pictures whose captions are nearest to each text: (query_id, rank, doc_id, distance)."""
-        return self._search(self.captions, self.encode_queries(texts), n)
+        return self._search(self.caption_index, self.encode_queries(texts), n)
 
     def query_all(self, texts: DataFrame, n: int) -> DataFrame:
         """Pictures, with captions or without, that look like those of the nearest captions."""
         nearest = self.query_labeled(texts, NEAREST_CAPTIONS)
-        bag = feedback_bag(nearest, self.picture_features)
-        # A bag mixes descriptors of several pictures; its own positions number them by picture.
-        return self._search(self.pictures, bag, n)
+        bag = stage(feedback_bag(nearest, self.picture_features), "bag")
+        return self._search(self.picture_index, bag, n)
 
     # --- quality
 
-    def experiment(self, texts: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
+    def experiment(self, texts: DataFrame, ideal: DataFrame | None = None, ns: tuple[int, ...] = quality.NS) -> DataFrame:
         """(variant, n, mean_precision, mean_ndcg, mean_duration_sec) of both searches.
 
         Each n is searched on its own, as its time counts; all queries run as one job.
@@ -132,7 +139,7 @@ class SearchService:
         total = queries.count()
         measured, times = None, []
         for variant, run in (("labeled_only", self.query_labeled), ("all", self.query_all)):
-            for n in quality.NS:
+            for n in ns:
                 start = time.perf_counter()
                 results = stage(run(texts, n), "results")
                 times.append((variant, n, (time.perf_counter() - start) / total))

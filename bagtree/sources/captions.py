@@ -1,4 +1,8 @@
-"""Captioned items: the caption file, item metadata and picture files."""
+"""Captioned items: the caption file, item metadata and picture files.
+
+Captions are stored as rows (id, pos, text) beside the metadata (id, dataset). A list per item would put all captions
+of an item, however many, into one value; lists are made only in answers about single items.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,8 @@ IMAGE_EXTENSION = "jpg"
 # The id that stands for no image.
 NO_IMAGE_ID = "00000000-0000-0000-0000-000000000000"
 
-METADATA_SCHEMA = "id string, captions array<string>, dataset string"
+METADATA_SCHEMA = "id string, dataset string"
+CAPTION_SCHEMA = "id string, pos int, text string"
 
 
 class OrphanAnnotations(Exception):
@@ -28,13 +33,24 @@ def read_caption_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return images, annotations
 
 
-def fold_captions(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Images (id, ...) with ``captions``, in the order of ``seq``; without any, an empty list."""
-    lists = annotations.groupBy(F.col("image_id").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "caption"))).alias("captions")
+def caption_rows(annotations: DataFrame) -> DataFrame:
+    """(id, pos, text); ``pos`` orders the captions of an item as in the file."""
+    return annotations.select(F.col("image_id").alias("id"), F.col("seq").alias("pos"), F.col("caption").alias("text"))
+
+
+def caption_counts(items: DataFrame, captions: DataFrame) -> DataFrame:
+    """Items with ``n_captions``; items without captions stay, with 0. Captions are counted before the exchange."""
+    counts = captions.groupBy("id").agg(F.count("*").alias("n_captions"))
+    return items.join(counts, "id", "left").withColumn("n_captions", F.coalesce("n_captions", F.lit(0).cast("bigint")))
+
+
+def fold_captions(items: DataFrame, captions: DataFrame) -> DataFrame:
+    """Items with their ``captions`` as a list, empty without any: for an answer about a few items."""
+    lists = captions.join(items.select("id"), "id", "left_semi").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("captions")
     )
-    return images.join(lists, "id", "left").withColumn(
-        "captions", F.coalesce(F.col("captions.caption"), F.array().cast("array<string>"))
+    return items.join(lists, "id", "left").withColumn(
+        "captions", F.coalesce(F.col("captions.text"), F.array().cast("array<string>"))
     )
 
 
@@ -42,13 +58,16 @@ def orphan_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti")
 
 
-def caption_items(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """(id, file_name, captions, dataset) of a caption file. A caption of an unknown image is an error."""
+def read_captioned_images(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """(items, captions) of a caption file: (id, file_name, dataset) and (id, pos, text).
+
+    An item without captions is an item all the same; a caption of an unknown image is an error.
+    """
     images, annotations = read_caption_file(spark, path)
     orphan = orphan_annotations(images, annotations).first()
     if orphan is not None:
         raise OrphanAnnotations(f"caption of unknown image {orphan['image_id']}")
-    return fold_captions(images, annotations).withColumn("dataset", F.lit(dataset))
+    return images.withColumn("dataset", F.lit(dataset)), caption_rows(annotations)
 
 
 def image_path(base: str, image_id: Column) -> Column:
@@ -67,20 +86,16 @@ def with_content(items: DataFrame, files: DataFrame, key: str = "file_name") ->
     return items.join(files.select(key, "content"), key, "left")
 
 
-def store_images(items: DataFrame, content_path: str, metadata_path: str) -> None:
-    """Store (id, captions, dataset, content): pictures first, so that metadata never names a missing picture."""
-    items.select("id", "content").write.mode("append").parquet(content_path)
-    add_metadata(items, metadata_path)
-
-
-def add_metadata(items: DataFrame, metadata_path: str) -> None:
-    items.select("id", "captions", "dataset").write.mode("append").partitionBy("dataset").parquet(metadata_path)
+def store_images(items: DataFrame, captions: DataFrame, base: str) -> None:
+    """Store items (id, dataset, content) and their captions: metadata last, so that it never names what is missing."""
+    items.select("id", "content").write.mode("append").parquet(f"{base}/content")
+    captions.select("id", "pos", "text").write.mode("append").parquet(f"{base}/captions")
+    items.select("id", "dataset").write.mode("append").partitionBy("dataset").parquet(f"{base}/image_metadata")
 
 
-def read_metadata(spark: SparkSession, metadata_path: str) -> DataFrame:
-    return spark.read.schema(METADATA_SCHEMA).parquet(metadata_path)
+def read_metadata(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).parquet(f"{base}/image_metadata")
 
 
-def caption_rows(metadata: DataFrame) -> DataFrame:
-    """(doc_id, pos, text): one row per caption."""
-    return metadata.select(F.col("id").alias("doc_id"), F.posexplode("captions").alias("pos", "text"))
+def read_captions(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(CAPTION_SCHEMA).parquet(f"{base}/captions")

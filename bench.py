@@ -15,6 +15,7 @@ from bagtree.catalog import data
 from bagtree.session import local_session
 
 HEADLINE = (
+    "ingest_images",
     "ingest_captions",
     "encode_hashed_text",
     "encode_dense_text",

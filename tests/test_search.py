@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from bagtree.operators.feedback import feedback_bag
 from bagtree.operators.postings import postings_of, term_stats_of
 from bagtree.operators.quantize import quantize
-from bagtree.operators.search import Index, distances, prune, query_terms, search, term_scores, term_weights
+from bagtree.operators.search import Index, distances, prune, query_terms, search, term_scores, term_weights, with_query_norm
 from bagtree.operators.tree import TreeShape, train
 from tests.helpers import FEATURE, brute_force_search, random_features
 
@@ -55,12 +55,12 @@ def test_a_document_is_nearest_to_itself(spark):
 
 def test_sparse_l1_fixture(spark):
     """Equal weights give 0, half of the weight elsewhere gives 1, no shared term gives no row."""
-    kept = spark.createDataFrame([("q", "t1", 0.5), ("q", "t2", 0.5)], "query_id string, term_id string, q_weight double")
-    scores = spark.createDataFrame(
-        [("q", "t1", "a", 0.5, 0.5), ("q", "t2", "a", 0.5, 0.5), ("q", "t2", "b", 0.5, 1.0)],
-        "query_id string, term_id string, doc_id string, q_weight double, d_weight double",
+    schema = "term_id string, query_id string, query_tf long, total_tf long, idf double, q_weight double"
+    kept = with_query_norm(spark.createDataFrame([("t1", "q", 1, 1, 1.0, 0.5), ("t2", "q", 1, 1, 1.0, 0.5)], schema))
+    postings = spark.createDataFrame(
+        [("t1", "a", 1), ("t2", "a", 1), ("t2", "b", 2), ("t3", "c", 1)], "term_id string, doc_id string, tf long"
     )
-    assert {r["doc_id"]: r["distance"] for r in distances(scores, kept).collect()} == {"a": 0.0, "b": 1.0}
+    assert {r["doc_id"]: r["distance"] for r in distances(term_scores(kept, postings)).collect()} == {"a": 0.0, "b": 1.0}
 
 
 def test_a_term_in_every_document_has_no_weight(spark):
@@ -73,8 +73,17 @@ def test_a_term_in_every_document_has_no_weight(spark):
     terms = spark.createDataFrame([("0", 7, 4)], "term_id string, query_id long, query_tf long")
     weights = term_weights(terms, index)
     assert weights.first()["q_weight"] == 0.0
-    kept = prune(weights)
-    assert kept.count() == 0 and distances(term_scores(kept, index.postings), kept).count() == 0
+    kept = with_query_norm(prune(weights))
+    assert kept.count() == 0 and distances(term_scores(kept, index.postings)).count() == 0
+
+
+def test_many_query_terms_are_not_named_to_the_scan(spark, monkeypatch):
+    features = random_features(spark)
+    _, index = make_index(spark, features, TreeShape(k=4, levels=2, min_samples=20, iters=1, init="hash"))
+    queries = features.withColumnRenamed("doc_id", "query_id")
+    named = lists(search(queries, index, 4, 0.0001))
+    monkeypatch.setattr("bagtree.operators.search.PUSHED_TERMS", 2)
+    assert lists(search(queries, index, 4, 0.0001)) == named
 
 
 def test_postings_add_up(spark):

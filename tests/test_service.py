@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bagtree.operators.tree import TreeShape
 from bagtree.plans.service import NodeNotFound, SearchService
 from bagtree.sources import captions as source
+from bagtree.sources.scratch import stage
 
 COLOURS = ("red", "green", "blue")
 
@@ -29,16 +30,19 @@ def data_set(tmp_path):
 
 
 def test_caption_file(spark, data_set):
-    items = {r["id"]: r for r in source.caption_items(spark, data_set[0], "set").collect()}
-    assert len(items) == 30 and items[0]["captions"] == []
-    assert items[4]["captions"] == ["a green thing", "green number 4"] and items[4]["dataset"] == "set"
+    items, captions = source.read_captioned_images(spark, data_set[0], "set")
+    folded = {r["id"]: r for r in source.fold_captions(items, captions).collect()}
+    assert len(folded) == 30 and folded[0]["captions"] == []
+    assert folded[4]["captions"] == ["a green thing", "green number 4"] and folded[4]["dataset"] == "set"
+    counts = {r["id"]: r["n_captions"] for r in source.caption_counts(items, captions).collect()}
+    assert counts == {i: 2 if i else 0 for i in range(30)}
 
 
 def test_orphan_caption_is_an_error(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"images": [{"id": 1, "file_name": "a"}], "annotations": [{"image_id": 2, "caption": "x"}]}))
     with pytest.raises(source.OrphanAnnotations):
-        source.caption_items(spark, str(path), "set")
+        source.read_captioned_images(spark, str(path), "set")
 
 
 def test_image_files_and_paths(spark, data_set):
@@ -55,12 +59,14 @@ def service(spark, data_set, tmp_path):
     shape = TreeShape(k=3, levels=2, min_samples=6, iters=3)
     made = SearchService(spark, str(tmp_path / "store"), empty, shape=shape, threshold=0.0001)
     made.seed(*data_set, "set")
-    ids = made.metadata().select("id", F.regexp_extract(F.get("captions", F.lit(0)), "red|green|blue", 0).alias("colour"))
+    kinds = made.captions().groupBy("id").agg(F.regexp_extract(F.min("text"), "red|green|blue", 0).alias("colour"))
+    ids = made.metadata().join(kinds, "id", "left")
     # Three descriptors per picture; pictures of a kind look alike. The one without caption is like the green ones.
     base = F.when(F.col("colour") == "red", 0.0).when(F.col("colour") == "blue", 20.0).otherwise(10.0)
-    made.picture_features = ids.select(F.col("id").alias("doc_id"), base.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")).select(
+    features = ids.select(F.col("id").alias("doc_id"), base.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")).select(
         "doc_id", "pos", F.array((F.col("base") + F.col("pos") * 0.01), F.col("base")).cast("array<float>").alias("vec")
     )
+    made.picture_features = stage(features, "features")
     return made
 
 
@@ -69,7 +75,7 @@ def test_service_from_files_to_quality(spark, service):
     assert metadata.count() == 30
     with_path = service.image_paths(metadata.select("id").limit(1)).first()
     assert with_path["path"].endswith(f"{with_path['id']}.jpg")
-    assert service.metadata_of(spark.createDataFrame([("nobody",)], "id string")).first()["captions"] is None
+    assert service.metadata_of(spark.createDataFrame([("nobody",)], "id string")).first()["captions"] == []
 
     asked = spark.createDataFrame([("q1", "a red thing"), ("q2", "green number 4")], "query_id string, text string")
     with pytest.raises(NodeNotFound):
@@ -78,7 +84,7 @@ def test_service_from_files_to_quality(spark, service):
     service.train(15, 15)
     service.populate()
     assert service.populate() is False
-    captions_of = {r["id"]: r["captions"] for r in metadata.collect()}
+    captions_of = {r["id"]: r["captions"] for r in service.metadata_of(metadata.select("id")).collect()}
     hits = service.query_labeled(asked, 5).collect()
     assert {r["query_id"] for r in hits} == {"q1", "q2"} and all(r["rank"] <= 5 for r in hits)
     best = {r["query_id"]: captions_of[r["doc_id"]] for r in hits if r["rank"] == 1}
@@ -87,14 +93,14 @@ def test_service_from_files_to_quality(spark, service):
     wide = service.query_all(asked, 30).collect()
     assert {r["query_id"] for r in wide} == {"q1", "q2"}
 
-    quality = service.experiment(asked).collect()
-    assert {(r["variant"], r["n"]) for r in quality} == {(v, n) for v in ("labeled_only", "all") for n in (1, 5, 10, 20)}
+    quality = service.experiment(asked, ns=(1, 5)).collect()
+    assert {(r["variant"], r["n"]) for r in quality} == {(v, n) for v in ("labeled_only", "all") for n in (1, 5)}
     assert all(r["mean_duration_sec"] > 0 and 0 <= r["mean_ndcg"] <= 1 for r in quality)
 
     # A second tree of each kind takes over, and the older ones go.
-    before = {r["tree_id"] for r in service.captions.trees().collect()}
+    before = {r["tree_id"] for r in service.caption_index.trees().collect()}
     service.train(20, 10**6)
     assert len(service.retire()) == 2
-    assert not before & {r["tree_id"] for r in service.captions.trees().collect()}
+    assert not before & {r["tree_id"] for r in service.caption_index.trees().collect()}
     assert service.populate() is True
     assert service.query_labeled(asked, 5).count() > 0

@@ -41,10 +41,11 @@ def test_children_share_out_their_parents_features(spark, init):
     assert {term: list(where.values()).count(term) for term in leaves} == leaves
 
 
-def test_blocks_and_row_order_do_not_change_the_tree(spark):
+def test_blocks_and_row_order_do_not_change_the_tree(spark, monkeypatch):
     features = random_features(spark)
     shape = TreeShape(k=3, levels=2, min_samples=20, iters=1, init="hash")
     whole = train(features, "t", shape)
+    monkeypatch.setattr(cluster, "_NAMED_TERMS", 1)
     pieces = train(features, "t", replace(shape, max_codebook_bytes=2 * 3 * 8 * 4, order_rows_above=1))
     assert places(whole.assignments) == places(pieces.assignments)
     assert nodes_of(whole).keys() == nodes_of(pieces).keys()

@@ -8,7 +8,7 @@ keep one entry per node of that codebook and partition, so their memory has the
 from __future__ import annotations
 
 import sys
-from typing import Iterator, NamedTuple
+from typing import Iterator, NamedTuple, Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Broadcast values are pickled without the classes of this module: send ``tuple(book)``, read ``Codebook(*value)``.
 
 # Work memory of one block of differences, in bytes.
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 1 << 20
 _SCORE_BYTES = 64 << 20
 
 
@@ -64,18 +64,55 @@ def matrix_column(matrix: np.ndarray) -> pa.Array:
     )
 
 
-def _nearest(x: np.ndarray, row: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and squared distance of the nearest centroid among ``centroids[row]``; ties go to the lower slot."""
-    slots = np.empty(len(x), dtype=np.int32)
-    dists = np.empty(len(x), dtype=np.float64)
-    step = max(1, _BLOCK_BYTES // (centroids.shape[1] * centroids.shape[2] * 8))
-    for start in range(0, len(x), step):
-        part = slice(start, start + step)
-        diff = x[part, None, :].astype(np.float64) - centroids[row[part]]
-        squares = np.einsum("nkd,nkd->nk", diff, diff)
-        slots[part] = squares.argmin(axis=1)
-        dists[part] = squares.min(axis=1)
-    return slots, dists
+class _Centroids:
+    """Centroids ready for comparison: doubles, with squared norms; unused slots get an infinite norm."""
+
+    def __init__(self, centroids: np.ndarray) -> None:
+        self.exact = centroids
+        self.values = np.where(np.isfinite(centroids), centroids, 0).astype(np.float64)
+        self.norms = np.einsum("nkd,nkd->nk", self.values, self.values)
+        self.scale = self.norms.max(initial=0.0)
+        self.norms[~np.isfinite(centroids).all(axis=2)] = np.inf
+
+    def nearest(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Slot of the nearest centroid among those of ``row``; ties go to the lower slot.
+
+        |c|^2 - 2 x.c orders the slots as the distance does, up to rounding. Rows whose two best are too close to
+        tell are compared once more by differences.
+        """
+        x = x.astype(np.float64)
+        scores = self._scores(x, row)
+        slots = scores.argmin(axis=1)
+        if scores.shape[1] > 1:
+            best_two = np.partition(scores, 1, axis=1)[:, :2]
+            slack = 1e-11 * (np.einsum("nd,nd->n", x, x) + self.scale)
+            close = np.flatnonzero(best_two[:, 1] - best_two[:, 0] <= slack)
+            step = max(1, _BLOCK_BYTES // (self.values.shape[1] * self.values.shape[2] * 8))
+            for start in range(0, len(close), step):
+                part = close[start : start + step]
+                diff = x[part, None, :] - self.exact[row[part]]
+                slots[part] = np.einsum("nkd,nkd->nk", diff, diff).argmin(axis=1)
+        return slots.astype(np.int32)
+
+    def _scores(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        scores = np.empty((len(x), self.values.shape[1]))
+        order = np.argsort(row, kind="stable")
+        rows, first = np.unique(row[order], return_index=True)
+        if len(rows) * 8 <= len(x):
+            # Few nodes: one matrix product each.
+            for node, start, end in zip(rows, first, np.append(first[1:], len(order))):
+                part = order[start:end]
+                scores[part] = x[part] @ self.values[node].T
+        else:
+            step = max(1, _BLOCK_BYTES // (self.values.shape[1] * self.values.shape[2] * 8))
+            for start in range(0, len(x), step):
+                part = slice(start, start + step)
+                scores[part] = np.matmul(self.values[row[part]], x[part, :, None])[:, :, 0]
+        return self.norms[row] - 2 * scores
+
+    def squared_distance(self, x: np.ndarray, row: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        diff = x.astype(np.float64) - self.values[row, slots]
+        return np.einsum("nd,nd->n", diff, diff)
 
 
 def _rows_of(terms: pa.Array, book: Codebook) -> np.ndarray:
@@ -88,19 +125,20 @@ def descend_udf(tree: Broadcast, dim: int):
     """Term of the node that a vector reaches from the root, going to the nearest child each time."""
 
     @F.arrow_udf("string")
-    def descend(vec: pa.Array) -> pa.Array:
+    def descend(vectors: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = TreeTable(*tree.value)
-        x = vector_matrix(vec, dim)
-        node = np.zeros(len(x), dtype=np.int64)
-        open_rows = np.arange(len(x))
-        while True:
-            open_rows = open_rows[table.inner[node[open_rows]] >= 0]
-            if len(open_rows) == 0:
-                break
-            row = table.inner[node[open_rows]]
-            slot, _ = _nearest(x[open_rows], row, table.centroids)
-            node[open_rows] = table.children[row, slot]
-        return table.terms.take(pa.array(node))
+        centroids = _Centroids(table.centroids)
+        for vec in vectors:
+            x = vector_matrix(vec, dim)
+            node = np.zeros(len(x), dtype=np.int64)
+            open_rows = np.arange(len(x))
+            while True:
+                open_rows = open_rows[table.inner[node[open_rows]] >= 0]
+                if len(open_rows) == 0:
+                    break
+                row = table.inner[node[open_rows]]
+                node[open_rows] = table.children[row, centroids.nearest(x[open_rows], row)]
+            yield table.terms.take(pa.array(node))
 
     return descend
 
@@ -109,24 +147,48 @@ def assign_udf(book: Broadcast):
     """Cluster of a vector among the children of its node, null if the codebook does not hold the node."""
 
     @F.arrow_udf("int")
-    def assign(term: pa.Array, vec: pa.Array) -> pa.Array:
+    def assign(columns: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         codebook = Codebook(*book.value)
-        row = _rows_of(term, codebook)
-        known = row >= 0
-        out = np.zeros(len(row), dtype=np.int32)
-        if known.any():
-            x = vector_matrix(vec, codebook.centroids.shape[2])
-            out[known], _ = _nearest(x[known], row[known], codebook.centroids)
-        return pa.array(out, mask=~known)
+        centroids = _Centroids(codebook.centroids)
+        for term, vec in columns:
+            row = _rows_of(term, codebook)
+            known = row >= 0
+            out = np.zeros(len(row), dtype=np.int32)
+            if known.any():
+                x = vector_matrix(vec, codebook.centroids.shape[2])
+                out[known] = centroids.nearest(x[known], row[known])
+            yield pa.array(out, mask=~known)
 
     return assign
 
 
-def _add_by_group(sums: np.ndarray, counts: np.ndarray, group: np.ndarray, x: np.ndarray) -> None:
+def nearest_of_udf(dim: int):
+    """Position of the vector nearest to ``vec`` in a row's own list of vectors, laid end to end; null without any."""
+
+    @F.arrow_udf("int")
+    def nearest_of(vec: pa.Array, candidates: pa.Array) -> pa.Array:
+        x = vector_matrix(vec, dim)
+        counts = pc.fill_null(pc.list_value_length(candidates), 0).to_numpy(zero_copy_only=False) // dim
+        own = np.full((len(x), max(1, counts.max(initial=0)), dim), np.inf, dtype=np.float32)
+        used = np.arange(own.shape[1]) < counts[:, None]
+        own[used] = candidates.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        out = np.empty(len(x), dtype=np.int32)
+        step = max(1, _BLOCK_BYTES // (own.shape[1] * dim * 8))
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            diff = x[part, None, :].astype(np.float64) - own[part]
+            out[part] = np.einsum("nkd,nkd->nk", diff, diff).argmin(axis=1)
+        return pa.array(out, mask=counts == 0)
+
+    return nearest_of
+
+
+def _add_by_group(sums: np.ndarray, counts: np.ndarray, group: np.ndarray, x: np.ndarray, n: np.ndarray | None = None) -> None:
+    """Add each row of ``x`` (which stands for ``n`` rows, or one) to its group."""
     order = np.argsort(group, kind="stable")
     groups, first = np.unique(group[order], return_index=True)
     sums[groups] += np.add.reduceat(x[order].astype(np.float64), first, axis=0)
-    counts[groups] += np.diff(np.append(first, len(order)))
+    counts[groups] += np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
 
 
 def cluster_sums(book: Broadcast):
@@ -134,8 +196,8 @@ def cluster_sums(book: Broadcast):
 
     def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codebook = Codebook(*book.value)
-        centroids = codebook.centroids
-        nodes, slots, dim = centroids.shape
+        nodes, slots, dim = codebook.centroids.shape
+        centroids = _Centroids(codebook.centroids)
         sums = np.zeros((nodes * slots, dim))
         counts = np.zeros(nodes * slots, dtype=np.int64)
         for batch in batches:
@@ -144,7 +206,7 @@ def cluster_sums(book: Broadcast):
             if not known.any():
                 continue
             x = vector_matrix(batch.column(1), dim)[known]
-            slot, _ = _nearest(x, row[known], centroids)
+            slot = centroids.nearest(x, row[known])
             _add_by_group(sums, counts, row[known].astype(np.int64) * slots + slot, x)
         met = np.flatnonzero(counts)
         for part in np.array_split(met, max(1, len(met) // 4096)):
@@ -161,6 +223,34 @@ def cluster_sums(book: Broadcast):
     return reduce_partition
 
 
+def merge_cluster_sums(partials: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``cluster_sums``, all of a cluster in one partition -> (term_id, cluster, n, centroid)."""
+    merged: dict[tuple[str, int], int] = {}
+    counts, sums = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+    for batch in partials:
+        if batch.num_rows == 0:
+            continue
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        place = np.array([merged.setdefault(key, len(merged)) for key in keys])
+        more = vector_matrix(batch.column(3))
+        if len(merged) > len(counts):
+            room = max(len(merged), 2 * len(counts))
+            counts = np.concatenate([counts, np.zeros(room - len(counts), dtype=np.int64)])
+            sums = np.concatenate([sums.reshape(-1, more.shape[1]), np.zeros((room - len(sums), more.shape[1]))])
+        _add_by_group(sums, counts, place, more, batch.column(2).to_numpy())
+    if merged:
+        n = counts[: len(merged)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([term for term, _ in merged]),
+                pa.array([cluster for _, cluster in merged], pa.int32()),
+                pa.array(n),
+                matrix_column((sums[: len(merged)] / n[:, None]).astype(np.float32)),
+            ],
+            names=["term_id", "cluster", "n", "centroid"],
+        )
+
+
 def seed_race(book: Broadcast, first: bool):
     """(term_id, vec, hash, u) -> the row of each node that wins the partition.
 
@@ -171,27 +261,26 @@ def seed_race(book: Broadcast, first: bool):
 
     def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codebook = Codebook(*book.value)
-        parents, centroids = codebook
+        parents, dim = codebook.parents, codebook.centroids.shape[2]
+        centroids = _Centroids(codebook.centroids)
         best: dict[int, tuple[float, str, np.ndarray]] = {}
         for batch in batches:
             row = _rows_of(batch.column(0), codebook)
-            x = vector_matrix(batch.column(1), centroids.shape[2])
-            u = batch.column(3).to_numpy(zero_copy_only=False)
             known = np.flatnonzero(row >= 0)
-            if first:
-                weight = np.ones(len(known))
-            else:
-                _, weight = _nearest(x[known], row[known], centroids)
+            if len(known) == 0:
+                continue
+            x, node = vector_matrix(batch.column(1), dim)[known], row[known]
+            u = batch.column(3).to_numpy(zero_copy_only=False)[known]
+            weight = 1.0 if first else centroids.squared_distance(x, node, centroids.nearest(x, node))
             with np.errstate(divide="ignore"):
-                time = -np.log(np.maximum(u[known], 2.0**-53)) / weight
-            known, time = known[np.isfinite(time)], time[np.isfinite(time)]
-            hashes = batch.column(2).take(pa.array(known)).to_numpy(zero_copy_only=False)
-            order = np.lexsort((hashes.astype(str), time, row[known]))
-            nodes, at = np.unique(row[known][order], return_index=True)
-            for node, i in zip(nodes, order[at]):
-                entry = (float(time[i]), str(hashes[i]))
-                if node not in best or entry < best[node][:2]:
-                    best[node] = (*entry, x[known[i]].copy())
+                time = -np.log(np.maximum(u, 2.0**-53)) / weight
+            order = np.lexsort((time, node))
+            nodes, at = np.unique(node[order], return_index=True)
+            for winner, i in zip(nodes, order[at]):
+                if np.isfinite(time[i]):
+                    entry = (float(time[i]), batch.column(2)[int(known[i])].as_py())
+                    if winner not in best or entry < best[winner][:2]:
+                        best[winner] = (*entry, x[i].copy())
         if best:
             nodes = sorted(best)
             yield pa.RecordBatch.from_arrays(

@@ -148,23 +148,14 @@ def _plus_plus_seeds(rows: DataFrame, frontier: Frontier, k: int, dim: int, salt
 def cluster_means(rows: DataFrame, book: Codebook) -> DataFrame:
     """One Lloyd round: (term_id, cluster, n, centroid) with the mean of the vectors nearest to each centroid.
 
-    Partial sums travel as arrays, one exchange by cluster, and are opened only behind it.
+    Each partition sends one partial sum per cluster it met; one exchange by cluster brings them together.
     """
     shared = rows.sparkSession.sparkContext.broadcast(tuple(book))
     partial = rows.select("term_id", "vec").mapInArrow(
         kernels.cluster_sums(shared), "term_id string, cluster int, n long, sums array<double>"
     )
-    return (
-        partial.repartition("term_id", "cluster")
-        .select("term_id", "cluster", "n", F.posexplode("sums").alias("i", "s"))
-        .groupBy("term_id", "cluster", "i")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        .groupBy("term_id", "cluster")
-        .agg(
-            F.max("n").alias("n"),
-            F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).cast("float").alias("mean")))).alias("means"),
-        )
-        .select("term_id", "cluster", "n", F.col("means.mean").alias("centroid"))
+    return partial.repartition("term_id", "cluster").mapInArrow(
+        kernels.merge_cluster_sums, "term_id string, cluster int, n long, centroid array<float>"
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from bagtree.functions import kernels
 from bagtree.functions.kernels import TreeTable
 from bagtree.functions.paths import ROOT
-from bagtree.functions.vectors import squared_l2
 from bagtree.operators.cluster import DEFAULT_CODEBOOK_BYTES
 
 # Rows of one node that a task of the join takes before the node is salted.
@@ -42,19 +41,24 @@ def quantize(
     shared = features.sparkSession.sparkContext.broadcast(tuple(tree_table(upper, dim)))
     out = features.withColumn("term_id", kernels.descend_udf(shared, dim)("vec"))
     for depth in range(fit, levels[-1]["depth"]):
-        out = _descend_by_join(out, nodes.filter(F.col("depth") == depth + 1), rows_per_salt)
+        out = _descend_by_join(out, nodes.filter(F.col("depth") == depth + 1), dim, rows_per_salt)
     return out
 
 
-def _descend_by_join(rows: DataFrame, children: DataFrame, rows_per_salt: int) -> DataFrame:
+def _descend_by_join(rows: DataFrame, children: DataFrame, dim: int, rows_per_salt: int) -> DataFrame:
     """One level down. All children of a node come as one array, so the join keeps one row per feature."""
-    packed = children.groupBy(F.col("parent_id").alias("term_id")).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(_cluster_number(F.col("term_id")).alias("cluster"), "centroid", F.col("term_id").alias("child"))
-            )
-        ).alias("children"),
-        (F.floor(F.sum("n_features") / rows_per_salt) + 1).cast("int").alias("salts"),
+    # At most k children per node, in the order of their numbers.
+    packed = (
+        children.groupBy(F.col("parent_id").alias("term_id"))
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(_cluster_number(F.col("term_id")).alias("cluster"), "centroid", F.col("term_id").alias("child"))
+                )
+            ).alias("children"),
+            (F.floor(F.sum("n_features") / rows_per_salt) + 1).cast("int").alias("salts"),
+        )
+        .select("term_id", "salts", F.col("children.child").alias("child"), F.flatten("children.centroid").alias("centroids"))
     )
     # Nodes with many rows are spread over ``salts`` tasks; their children are repeated as often.
     crowded = packed.filter("salts > 1").select("term_id", "salts")
@@ -62,17 +66,10 @@ def _descend_by_join(rows: DataFrame, children: DataFrame, rows_per_salt: int) -
         "salt", F.pmod(F.xxhash64("vec", "doc_id", "pos"), F.coalesce("salts", F.lit(1))).cast("int")
     )
     repeated = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    nearest = F.array_min(
-        F.transform(
-            "children",
-            lambda c: F.struct(
-                squared_l2(F.col("vec"), c["centroid"]).alias("d"), c["cluster"].alias("cluster"), c["child"].alias("child")
-            ),
-        )
-    )
     return (
         salted.join(repeated, ["term_id", "salt"], "left")
-        .withColumn("term_id", F.coalesce(nearest["child"], F.col("term_id")))
+        .withColumn("nearest", kernels.nearest_of_udf(dim)("vec", "centroids"))
+        .withColumn("term_id", F.coalesce(F.get("child", F.col("nearest")), F.col("term_id")))
         .select(*rows.columns)
     )
 

@@ -20,8 +20,8 @@ MIN_SAMPLES = 100
 
 NODE_SCHEMA = "tree_id string, term_id string, parent_id string, depth int, centroid array<float>, n_features long"
 
-# From this many clusters on, a level's rows are stored in order of their nodes: a partition then meets few
-# nodes, and its partial sums stay few.
+# If the next level may have more clusters than this, rows are stored in order of their nodes: a partition then
+# meets few nodes, and its partial sums stay few.
 _ORDER_ROWS_ABOVE = 10_000
 
 
@@ -66,7 +66,7 @@ def split(rows: DataFrame, frontier: cluster.Frontier, dim: int, shape: TreeShap
             centroids.write.mode("append").parquet(centroid_path)
     if len(blocks) > 1:
         centroids = spark.read.schema("term_id string, parent_id string, centroid array<float>").parquet(centroid_path)
-    if len(frontier) * shape.k > shape.order_rows_above:
+    if len(frontier) * shape.k * shape.k > shape.order_rows_above:
         # The range goes on into document and position, so a node with very many rows spreads over partitions.
         moved = moved.repartitionByRange("term_id", "doc_id", "pos")
     moved = stage(moved, "level")

@@ -76,7 +76,9 @@ def append(
     rows = placed.unionByName(assignments.select("term_id", "doc_id", "pos", "vec")) if frontier else None
     stay = placed
     while frontier:
-        moved, children, sizes = split(cluster.rows_of(rows, frontier), frontier, dim, shape)
+        # Written once, as every round of the split reads these rows and no others of the tree.
+        full = stage(cluster.rows_of(rows, frontier), "full_leaves")
+        moved, children, sizes = split(full, frontier, dim, shape)
         kept = cluster.rows_not_of(stay, frontier)
         at_leaf = kept if at_leaf is None else at_leaf.unionByName(kept)
         postings = postings.unionByName(moved.groupBy("term_id", "doc_id").agg(F.count("*").alias("tf")))

@@ -20,6 +20,11 @@ from bagtree.sources.scratch import stage
 from bagtree.sources.tables import IndexTables
 
 
+# The namespaces of the two indexes.
+CAPTIONS = "captions"
+PICTURES = "ims"
+
+
 class NodeNotFound(Exception):
     """There is no finished tree to search."""
 
@@ -39,8 +44,8 @@ class SearchService:
     picture_dim: int | None = None
 
     def __post_init__(self) -> None:
-        self.caption_index = IndexTables(self.spark, self.base, "captions", "string")
-        self.picture_index = IndexTables(self.spark, self.base, "ims", "string")
+        self.caption_index = IndexTables(self.spark, self.base, CAPTIONS, "string")
+        self.picture_index = IndexTables(self.spark, self.base, PICTURES, "string")
 
     # --- ingest
 

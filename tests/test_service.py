@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from bagtree.operators.features import extract_features
 from bagtree.operators.tree import TreeShape
 from bagtree.plans.service import NodeNotFound, SearchService
 from bagtree.sources import captions as source
@@ -53,6 +54,17 @@ def test_image_files_and_paths(spark, data_set):
     assert ids.select(source.image_path("/base/", F.col("id")).alias("p")).first()["p"] == "/base/p7.jpg"
 
 
+def test_pictures_to_features(spark, data_set):
+    """Any function of a picture's bytes serves; a picture that gives nothing has no features."""
+
+    def extract(content):
+        return [[content[0], 0.0], [0.0, len(content)]] if content[0] % 2 else None
+
+    features = extract_features(source.read_image_files(spark, data_set[1]), extract)
+    got = {(r["doc_id"], r["pos"]): r["vec"] for r in features.collect()}
+    assert len(got) == 30 and got[("p7", 0)] == [7.0, 0.0] and got[("p7", 1)] == [0.0, 10.0]
+
+
 @pytest.fixture
 def service(spark, data_set, tmp_path):
     empty = spark.createDataFrame([], "doc_id string, pos int, vec array<float>")

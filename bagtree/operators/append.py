@@ -69,6 +69,7 @@ def append(
         touched_leaves(placed)
         .join(term_stats.select("term_id", "total_tf"), "term_id", "left")
         .select("term_id", (F.col("added") + F.coalesce("total_tf", F.lit(0))).alias("n"))
+        .filter(F.col("n") >= shape.min_samples)
         .collect()
     )
     frontier = split_worthy(sorted((s["term_id"], s["n"]) for s in sizes), shape)

@@ -25,9 +25,9 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-def compare(spark, sf_dir: str, name: str, sql: str | None) -> tuple[str, float]:
+def compare(spark, sf_dir: str, name: str, sql: str | None, run=None) -> tuple[str, float]:
     start = time.time()
-    frame = QUERIES[name](spark, sf_dir)
+    frame = (run or QUERIES[name])(spark, sf_dir)
     mine = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
     seconds = time.time() - start
     if sql is None:

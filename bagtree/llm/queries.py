@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagtree.llm import pfair, products, shards
+from bagtree.llm import pfair, products, separators, shards, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +65,15 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.drop("text")
+
+
+@query()
+def op7_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.read_documents(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer))
+
+
+@query()
+def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return separators.document_token_counts(table(spark, sf_dir, "documents"), tokenizer)

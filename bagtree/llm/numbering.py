@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 10_000
 
 
 def hash_bits(total_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagtree.llm import pfair, products, separators, shards, token_files
+from bagtree.llm import dartminhash, pfair, products, separators, shards, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,8 @@ def op7_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return separators.document_token_counts(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query()
+def op4_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagtree.llm import dartminhash, pfair, products, separators, shards, token_files
+from bagtree.llm import dartminhash, decontaminate, pfair, products, separators, shards, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +82,8 @@ def op9_separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query()
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -44,8 +44,24 @@ class Words:
     """The words of a batch of texts: ``hashes``, ``start`` and ``end`` (bytes in ``data``), and ``first``, the first word of each
     text and the end of the last."""
 
-    def __init__(self, data: np.ndarray, hashes, start, end, first):
-        self.data, self.hashes, self.start, self.end, self.first = data, hashes, start, end, first
+    def __init__(self, data: np.ndarray, total, start, end, first):
+        self.data, self.total, self.start, self.end, self.first = data, total, start, end, first
+        self.hashes = self._spans(start, end)
+
+    def _spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = (self.total[end] - self.total[start]) * _powers_to(len(self.total))[end]
+        return mix(hashes ^ ((end - start).astype(np.uint64) * _MULT))
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, word number) of the first ``size`` bytes of every longer word."""
+        longer = np.flatnonzero(self.end - self.start > size)
+        begin = self.start[longer]
+        return self._spans(begin, begin + size), longer
+
+    def owners(self) -> np.ndarray:
+        """The text of each word."""
+        count = np.diff(self.first)
+        return np.repeat(np.arange(len(count)), count)
 
 
 def words_of(texts: list[str | None], in_word: np.ndarray = _IN_WORD, lower: bool = True) -> Words:
@@ -66,10 +82,8 @@ def words_of(texts: list[str | None], in_word: np.ndarray = _IN_WORD, lower: boo
     inverse = _inverse_powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse, out=total[1:])
-    hashes = (total[end] - total[start]) * _powers_to(n + 1)[end]
-    hashes = mix(hashes ^ ((end - start).astype(np.uint64) * _MULT))
     first = np.searchsorted(start, np.concatenate([[0], bounds]))
-    return Words(data, hashes, start, end, first)
+    return Words(data, total, start, end, first)
 
 
 _inverse = np.ones(1, np.uint64)

@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagtree.llm import dartminhash, decontaminate, pfair, products, separators, shards, token_files
+from bagtree.llm import (
+    dartminhash,
+    decontaminate,
+    pfair,
+    products,
+    separators,
+    shards,
+    token_files,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +96,13 @@ def op4_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = model.score(documents)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

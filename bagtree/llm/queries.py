@@ -12,6 +12,7 @@ from bagtree.llm import (
     dartminhash,
     decontaminate,
     pfair,
+    pitman_yor,
     products,
     separators,
     shards,
@@ -106,3 +107,9 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pitman_yor.score_documents(documents, toxicity.held_out(F.col("doc_id"), parts=10))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from bagtree.llm.words import chunks
+
 # A control character stands between distinct words that are encoded in one call; a word that holds it goes alone.
 _BETWEEN = "\x01"
 # str.split() takes these for white space, tokenizers do not.
@@ -50,25 +52,46 @@ class TextEncoder:
         self.known = _Known()
         self.flat, self.filled = np.empty(1 << 16, np.uint32), 0
         self.starts = np.zeros(1 << 14, np.int64)  # of word number i; the next start is its end
+        self.met = np.zeros(1 << 14, np.int32)  # how often each word was asked for
         self.words = 0
 
+    def _keep_frequent(self) -> None:
+        """Forget the words that were met once, and all if those are few; what was met often must be so again."""
+        words = list(self.known)
+        kept = np.flatnonzero(self.met[: self.words] > 1)
+        if 2 * len(kept) > self.words:
+            return self._forget()
+        starts, ends = self.starts[kept], self.starts[kept + 1]
+        flat = [self.flat[a:b] for a, b in zip(starts, ends)]
+        self._forget()
+        for word in kept:
+            self.known[words[word]]
+        self.known.new = []
+        self._store(flat)
+
     def _learn(self) -> None:
         """Encode the words that were met for the first time."""
         new, self.known.new = self.known.new, []
         lists: list[np.ndarray] = []
         for at in range(0, len(new), 20_000):
             lists += self._encode_words(new[at : at + 20_000])
+        self._store(lists)
+
+    def _store(self, lists: list[np.ndarray]) -> None:
+        """Remember the ids of the next words."""
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         more = np.concatenate(lists) if lists else np.empty(0, np.uint32)
         while self.filled + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.words + len(lists) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         self.flat[self.filled : self.filled + len(more)] = more
         self.starts[self.words + 1 : self.words + len(lists) + 1] = self.filled + np.cumsum(lengths)
         self.filled, self.words = self.filled + len(more), self.words + len(lists)
 
     def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word, all words in few calls."""
         if self.between is None or any(_BETWEEN in w for w in words):
             return [np.array(x, np.uint32) for x in self._ids(words)]
         size = 200
@@ -80,6 +103,13 @@ class TextEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """In pieces, so that what is needed at a time stays small."""
+        parts = [self._encode(texts[piece]) for piece in chunks(texts, 1 << 20)]
+        if not parts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         texts = [t or "" for t in texts]
         if not self.words_apart or any(c in t for t in texts for c in _NOT_SPACE):
             lists = self._ids(texts)
@@ -87,7 +117,7 @@ class TextEncoder:
             flat = [np.array(x, np.uint32) for x in lists]
             return (np.concatenate(flat) if flat else np.empty(0, np.uint32)), counts
         if len(self.known) > self.max_words:
-            self._forget()
+            self._keep_frequent()
         numbers, words_of = [], []
         for text in texts:
             words = text.split()
@@ -96,6 +126,7 @@ class TextEncoder:
         if self.known.new:
             self._learn()
         number = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        self.met[: self.words] += np.bincount(number, minlength=self.words).astype(np.int32)
         begin = self.starts[number]
         length = self.starts[number + 1] - begin
         ends = np.cumsum(length)

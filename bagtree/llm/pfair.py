@@ -171,3 +171,12 @@ def _tables(spark: SparkSession, spans: list[tuple], slots: list[tuple]) -> tupl
         slots, "t_phase int, t_source string, t_block int, t_slot long, t_release long, t_deadline long"
     )
     return span, slot
+
+
+def in_mixed_order(docs: DataFrame, rows_per_file: int = 100_000, **options) -> DataFrame:
+    """``docs`` with its own columns, in partitions and rows of the mixed order: written files, in order of their names, hold it."""
+    total = docs.count()
+    mixed = mix(docs, **options)
+    files = max(1, -(-total // rows_per_file))
+    ordered = mixed.repartitionByRange(files, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
+    return ordered.select(*docs.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bagtree.llm import (
     dartminhash,
     decontaminate,
+    language,
     pfair,
     pitman_yor,
     products,
@@ -113,3 +114,8 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pitman_yor.score_documents(documents, toxicity.held_out(F.col("doc_id"), parts=10))
+
+
+@query()
+def op1_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), language.train(table(spark, sf_dir, "documents")))

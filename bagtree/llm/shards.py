@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.llm.numbering import hash_bits, leading, numbered, unsigned_order
+from bagtree.llm.numbering import ROWS_PER_BUCKET, hash_bits, leading, numbered, unsigned_order
 
 
 def rendezvous(key: Column, weights: Mapping[int, float], salt: str = "shard") -> Column:
@@ -64,3 +64,19 @@ def shard_digest(documents: DataFrame, shards: int = 16) -> DataFrame:
     )
     slotted = with_slots(narrow, "shard", F.xxhash64("doc_id", "text_crc32", "size"))
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
+
+
+def shard_in_file_order(docs: DataFrame, shards: Mapping[int, float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``docs``, read from files, with shard and slot: slots number a shard's rows from 0 in the order of file names and of rows in a
+    file. A shard's rows lie in few partitions in that order. Columns named shard or slot are replaced.
+    """
+    made = ["shard", "slot"]
+    plain = docs.drop(*made)
+    placed = plain.select(
+        "*",
+        rendezvous(F.col("doc_id"), shards).alias("shard"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    ).withColumn("_stretch", F.concat_ws("/", "_file", F.lpad(F.expr(f"_row div {rows_per_bucket * len(shards)}"), 12, "0")))
+    slotted = numbered(placed, ["shard"], "_stretch", [F.col("_row")], "slot")
+    return slotted.drop("_file", "_row", "_stretch")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.llm.words import Words, chunks, shingles_of, words_of
+from bagtree.llm.words import Words, chunks, shingles_of, slices, words_of
 
 SEED_WORDS = 3
 SEGMENT_WORDS = 4
@@ -90,7 +90,7 @@ def document_frequencies(documents: DataFrame, items: Items) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         seen = np.zeros(len(known), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             for piece in chunks(texts):
                 hashes, owner, _ = _grams(words_of(texts[piece]), sizes)
@@ -214,7 +214,7 @@ def leaks(
 
     def run(docs: DataFrame, shared) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = leaks_of(batch["text"].to_pylist(), shared.value, threshold)
                 text, item, score, first, last = zip(*rows) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -256,7 +256,7 @@ def without_leaks(
 
     def run(docs: DataFrame, shared) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 good = np.ones(batch.num_rows, bool)
                 good[[row[0] for row in leaks_of(batch["text"].to_pylist(), shared.value, threshold)]] = False
                 yield batch.filter(pa.array(good))

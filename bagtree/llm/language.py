@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.llm.words import chunks, mix
+from bagtree.llm.words import chunks, mix, slices
 from bagtree.sources.scratch import stage
 
 BUCKETS = 1 << 15
@@ -62,7 +62,7 @@ class TrigramModel:
     def likelihoods(self, texts: list[str | None], effective: float) -> np.ndarray:
         """(texts, languages): scaled log likelihoods; zeros for a text without trigrams."""
         out = np.zeros((len(texts), len(self.languages)))
-        for piece in chunks(texts, 1 << 20):
+        for piece in chunks(texts):
             bucket, owner = trigrams(texts[piece])
             docs = piece.stop - piece.start
             n = np.bincount(owner, minlength=docs)
@@ -83,10 +83,10 @@ def train(documents: DataFrame, max_languages: int = MAX_LANGUAGES) -> TrigramMo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(number) * BUCKETS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             language = np.array([number[x] for x in batch["lang"].to_pylist()], np.int64)
-            for piece in chunks(texts, 1 << 20):
+            for piece in chunks(texts):
                 bucket, owner = trigrams(texts[piece])
                 total += np.bincount(language[piece][owner] * BUCKETS + bucket, minlength=len(total))
         at = np.flatnonzero(total)
@@ -156,7 +156,7 @@ def identify(
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [visible_text(page) for page in batch["html"].to_pylist()]
             logs = shared.value.likelihoods(texts, effective_grams)
             has_text = np.array([bool(t.strip()) for t in texts], bool)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bagtree.llm.files import Whole, open_input
 from bagtree.llm.tokens import drops_white_space, encoder
+from bagtree.llm.words import slices
 from bagtree.sources.scratch import scratch_path, stage
 
 BLOCK_BYTES = 4 << 20
@@ -40,7 +41,7 @@ def write_flat(documents: DataFrame, tokenizer: str, end_id: int = END_ID, dtype
         path = f"{folder}/part-{part:08d}.bin"
         encode, out, doc_ids, size = encoder(tokenizer, apart, True).encode, None, [], 0
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 ids, counts = encode(batch["text"].to_pylist())
                 flat = np.insert(ids, np.cumsum(counts), end_id).astype(dtype)
                 out = out or Whole(path)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from bagtree.llm.coder import decode_block, encode_block
 from bagtree.llm.files import Whole, open_input
 from bagtree.llm.tokens import drops_white_space, encoder
+from bagtree.llm.words import slices
 from bagtree.sources.scratch import scratch_path, stage
 
 BLOCK_IDS = 1 << 20
@@ -140,7 +141,7 @@ def write_token_files(
         out, encode = BlockWriter(path, vocab), encoder(tokenizer, apart).encode
         end = np.array([end_id], np.uint32)
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 ids, counts = encode(batch["text"].to_pylist())
                 ends = np.cumsum(counts)
                 for doc_id, n, stop in zip(batch["doc_id"].to_pylist(), counts.tolist(), ends.tolist()):

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.llm.words import Words, chunks, mix, words_of
+from bagtree.llm.words import Words, chunks, mix, slices, words_of
 from bagtree.sources.scratch import stage, unstage
 
 SAMPLE_ROWS = 40_000
@@ -125,7 +126,7 @@ class Swaps:
         for n in hit:
             out += [data[done : words.start[n]], self.following[at[n]].encode()]
             done = words.end[n]
-        return b"".join([*out, data[done:]]).decode("utf-8", "replace")
+        return b"".join([*out, data[done:-1]]).decode("utf-8", "replace")
 
 
 @dataclass
@@ -147,7 +148,7 @@ class ToxicityModel:
         shared = documents.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 scores = shared.value.scores(batch["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"]
@@ -160,7 +161,7 @@ class ToxicityModel:
         shared = documents.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array(shared.value.scores(batch["text"].to_pylist()) < threshold))
 
         return documents.mapInArrow(run, documents.schema)
@@ -192,6 +193,8 @@ def fit_weights(
         if copies:
             change = np.bincount(swap_rows, swap_signs * at[swap_columns], copies)
             gradient += fairness * np.bincount(swap_columns, swap_signs * change[swap_rows], width) / copies
+        if max(np.abs(gradient).max(initial=0.0), abs(error.mean())) < 1e-8:
+            break
         new, new_bias = at - gradient / curve, at_bias - error.mean() / curve_bias
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         push = (momentum - 1) / following
@@ -239,7 +242,7 @@ def fit(
         return ToxicityModel(np.empty(0, np.uint64), np.empty(0), float(np.log((toxic + 0.1) / (clean + 0.5))), prefixes)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, label = batch["text"].to_pylist(), batch["toxic"].to_numpy()
             for piece in chunks(texts):
                 words = words_of(texts[piece])
@@ -269,7 +272,7 @@ def fit(
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, swaps = shared.value
         known = _Known(features)
-        for batch in batches:
+        for batch in slices(batches):
             texts, label = batch["text"].to_pylist(), batch["toxic"].to_pylist()
             present = _sets(texts, known, prefixes)
             copies = [swaps.swapped(t or "") for t in texts]
@@ -285,16 +288,16 @@ def fit(
                 names=["toxic", "present", "swapped"],
             )
 
-    rows = sample.mapInArrow(entries, "toxic int, present array<int>, swapped array<int>").collect()
+    table = sample.mapInArrow(entries, "toxic int, present array<int>, swapped array<int>").toArrow()
     shared.destroy()
     unstage(sample)
-    y = np.array([r["toxic"] for r in rows], float)
-    row = np.repeat(np.arange(len(rows)), [len(r["present"]) for r in rows])
-    column = np.array([f for r in rows for f in r["present"]], np.int64)
+    y = table["toxic"].to_numpy().astype(float)
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(table["present"]).to_numpy())
+    column = pc.list_flatten(table["present"]).to_numpy().astype(np.int64)
     copy, feature, sign = [], [], []
-    mates = [r for r in rows if r["swapped"] is not None]
-    for n, r in enumerate(mates):
-        before, after = set(r["present"]), set(r["swapped"])
+    mates = table.filter(table["swapped"].is_valid())
+    for n, (present, other) in enumerate(zip(mates["present"].to_pylist(), mates["swapped"].to_pylist())):
+        before, after = set(present), set(other)
         for change, value in ((after - before, 1.0), (before - after, -1.0)):
             copy += [n] * len(change)
             feature += sorted(change)

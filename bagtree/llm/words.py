@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3 * 2 + 1)  # odd, so that it has an inverse modulo 2**64
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +37,7 @@ _powers = np.ones(1, np.uint64)
 def _powers_to(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4 << 20), _STEP, np.uint64))])
+        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 20), _STEP, np.uint64))])
     return _powers[:n]
 
 
@@ -96,7 +97,7 @@ def _inverse_powers(n: int) -> np.ndarray:
     global _inverse
     if len(_inverse) < n:
         step = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4 << 20), step, np.uint64))])
+        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 20), step, np.uint64))])
     return _inverse[:n]
 
 
@@ -108,10 +109,12 @@ def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
     at = words.first[owner] + place
     length = np.minimum(count, size)[owner]
+    some_short = bool((length < size).any())
     hashes = np.zeros(len(owner), np.uint64)
     padded = np.concatenate([words.hashes, np.zeros(size, np.uint64)])
     for i in range(size):
-        hashes = (hashes + np.where(i < length, padded[at + i], np.uint64(0))) * _STEP
+        longer = (hashes + padded[at + i]) * _STEP
+        hashes = longer if not some_short else np.where(i < length, longer, hashes)
     return mix(hashes ^ (length.astype(np.uint64) << np.uint64(56))), owner
 
 
@@ -136,3 +139,10 @@ def chunks(texts: list[str | None], size: int = _CHUNK) -> Iterator[slice]:
         total += n
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)

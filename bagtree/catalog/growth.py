@@ -13,8 +13,10 @@ from bagtree.operators.append import append, current_assignments, touched_leaves
 from bagtree.operators.postings import postings_of
 from bagtree.operators.quantize import quantize
 from bagtree.operators.sample import log_entries, sample_next, unsampled
+from bagtree.operators.tree import frontier_nodes, with_sizes
 from bagtree.operators.versions import active_trees, keep_set, training_guard
 from bagtree.plans.index_jobs import start_training
+from bagtree.sources.captions import read_captions, read_metadata, store_images
 from bagtree.sources.scratch import scratch_path, stage
 from bagtree.sources.tables import IndexTables
 from bagtree.streaming.populate import document_stream, populate_stream
@@ -137,6 +139,85 @@ def stream_append(spark, sf_dir):
     return tables.term_stats(_TREE_ID).select("term_id", "df", "total_tf")
 
 
+@query(
+    sql.with_ctes(
+        _PICTURES,
+        """SELECT term_id, count(*) AS n_features FROM final GROUP BY term_id
+           HAVING count(*) >= 5 AND len(string_split(term_id, '.')) <= 4""",
+    )
+)
+def frontier_after_append(spark, sf_dir):
+    """The leaves that a lower limit and one more level would split, by their sizes after the append."""
+    built, growth = _append(spark, sf_dir)
+    nodes = with_sizes(built.tree.nodes.unionByName(growth.nodes), growth.term_stats)
+    return frontier_nodes(nodes, replace(_APPEND, min_samples=5, levels=4)).select("term_id", "n_features")
+
+
+_TWO_SOURCES = [
+    *sql.CAPTIONS,
+    *_sampled("caps"),
+    *sql.tree("old", "old"),
+    *sql.descend("new", "doc_id", "old_nodes", "placed"),
+    "final AS (SELECT term_id, doc_id, pos FROM old_leaves UNION ALL SELECT term_id, doc_id, pos FROM placed)",
+    *sql.postings("final"),
+]
+
+
+@query(sql.with_ctes(_TWO_SOURCES, "SELECT term_id, df, total_tf FROM post_stats"))
+def stream_append_two_sources(spark, sf_dir):
+    """Two streams of different documents, with a checkpoint each, into one index: even and odd items.
+
+    No leaf is large enough to be split, so the result does not depend on how the documents come in batches.
+    """
+    features = stage(caption_features(spark, sf_dir), "features")
+    docs = stage(features.select("doc_id").distinct(), "docs")
+    tables = IndexTables(spark, scratch_path(spark, "stored"), "captions")
+
+    def features_of(chosen):
+        return features.join(chosen.select("doc_id"), "doc_id", "left_semi")
+
+    start_training(tables, docs, features_of, docs.count() // 2, SHAPE, _TREE_ID, DIM)
+    unsplit = replace(SHAPE, min_samples=1 << 40)
+    for parity in (0, 1):
+        folder = scratch_path(spark, f"source{parity}")
+        docs.where(F.pmod("doc_id", F.lit(2)) == parity).write.parquet(folder)
+        arriving = document_stream(tables, folder, "doc_id long")
+        stream = populate_stream(tables, arriving, features_of, scratch_path(spark, "stream"), unsplit, available_now=True)
+        stream.awaitTermination()
+    return tables.term_stats(_TREE_ID).select("term_id", "df", "total_tf")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM documents) AS n_items, (SELECT count(*) FROM conversations) AS n_captions,
+       (SELECT count(*) FROM documents) AS docs_count"""
+)
+def seed_twice(spark, sf_dir):
+    """Items and captions stored twice, read back, and a tree trained on all items, each given twice: counted once."""
+    base = scratch_path(spark, "seeded")
+    items = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("dataset"), F.col("text").cast("binary").alias("content")
+    )
+    captions = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("id"), F.col("turn").cast("int").alias("pos"), "text"
+    )
+    for _ in range(2):
+        store_images(items, captions, base)
+    stored, lines = read_metadata(spark, base), read_captions(spark, base)
+    tables = IndexTables(spark, scratch_path(spark, "stored"), "seeded", "string")
+    features = stage(caption_features(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), "features")
+    ids = stored.select(F.col("id").alias("doc_id"))
+
+    def features_of(chosen):
+        return features.join(chosen.select("doc_id"), "doc_id", "left_semi")
+
+    tree_id = start_training(tables, ids.unionByName(ids), features_of, 1 << 40, SHAPE, dim=DIM)
+    return spark.range(1).select(
+        stored.select(F.count("*")).scalar().alias("n_items"),
+        lines.select(F.count("*")).scalar().alias("n_captions"),
+        F.lit(tables.commits(tree_id)[-1].docs_count).cast("long").alias("docs_count"),
+    )
+
+
 _REGISTRY = """(SELECT user_id || '/' || CAST(ts AS DATE) AS namespace, 'tree-' || event_id AS tree_id, ts AS created_at,
                CASE WHEN event_type = 'error' THEN 'training' ELSE 'ready' END AS state FROM events)"""
 

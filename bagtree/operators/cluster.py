@@ -24,6 +24,10 @@ DEFAULT_CODEBOOK_BYTES = 64 << 20
 # A node offers about this many times k of its rows, those with the lowest hashes, as candidates for its k seeds.
 _CANDIDATES_PER_SEED = 20
 
+# Rounds end when no centroid moves by more than this share of the largest coordinate, at the latest after so many.
+MAX_ROUNDS = 300
+_TOLERANCE = 1e-6
+
 # Up to this many nodes are named in a filter; beyond, they come as a table to join with.
 _NAMED_TERMS = 1000
 
@@ -160,16 +164,27 @@ def cluster_means(rows: DataFrame, book: Codebook) -> DataFrame:
 
 
 def fit(rows: DataFrame, frontier: Frontier, k: int, dim: int, iters: int, init: str, salt: str) -> Codebook:
-    """Centroids of all nodes of one block after at most ``iters`` rounds. Clusters that lose all rows vanish."""
+    """Centroids of all nodes of one block, moved until they rest, for at most ``iters`` rounds. Clusters that lose all rows
+    vanish."""
     book = seeds(rows, frontier, k, dim, init, salt)
     for _ in range(iters):
         moved = to_codebook(cluster_means(rows, book).select("term_id", "cluster", "centroid").toArrow(), k, dim)
-        if moved.parents.equals(book.parents) and np.array_equal(moved.centroids, book.centroids):
-            break
+        resting = moved.parents.equals(book.parents) and _resting(moved.centroids, book.centroids)
         book = moved
+        if resting:
+            break
     return book
 
 
+def _resting(now: np.ndarray, before: np.ndarray) -> bool:
+    """Whether the same clusters are left, all where they were; sums in another order may differ in the last digits."""
+    left = np.isfinite(now)
+    if not np.array_equal(left, np.isfinite(before)):
+        return False
+    most = np.abs(now[left]).max(initial=0.0)
+    return bool(np.abs(now[left] - before[left]).max(initial=0.0) <= _TOLERANCE * most)
+
+
 def assign(rows: DataFrame, book: Codebook) -> DataFrame:
     """Adds ``cluster``, the nearest centroid of the row's node; rows of other nodes are left out."""
     shared = rows.sparkSession.sparkContext.broadcast(tuple(book))

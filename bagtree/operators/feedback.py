@@ -22,7 +22,8 @@ def feedback_bag(ranked: DataFrame, features: DataFrame, salt: str = "feedback",
     """
     # Few rows; as a written table their size is known, and the join can broadcast them or not by it.
     ranked = stage(ranked.select("query_id", "rank", "doc_id"), "ranked")
-    given = ranked.join(features, "doc_id")
+    # A query has few documents: their features are read once and kept, the sizes and both draws start from that.
+    given = stage(ranked.join(features, "doc_id"), "given")
 
     sizes = ranked.join(
         given.groupBy("query_id", "doc_id").agg(F.count("*").alias("n")), ["query_id", "doc_id"], "left"

@@ -15,6 +15,12 @@ def unsampled(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) ->
     return docs.join(seen, "doc_id", "left_anti")
 
 
+def unsampled_of_batch(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) -> DataFrame:
+    """The same for a batch that is small beside the log: the log is cut down to the batch's documents first, for which the
+    batch, not the log, is broadcast or shuffled to it."""
+    return unsampled(docs, log.join(docs.select("doc_id"), "doc_id", "left_semi"), tree_id, namespace)
+
+
 def unsampled_count(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) -> DataFrame:
     return unsampled(docs, log, tree_id, namespace).agg(F.count("*").alias("remaining"))
 

@@ -44,9 +44,11 @@ def query_terms(queries: DataFrame, nodes: DataFrame, max_codebook_bytes: int =
 
 
 def term_weights(terms: DataFrame, index: Index) -> DataFrame:
-    """Adds idf, the total tf and the query's weight ``q_weight`` to each query term."""
+    """Adds idf, the total tf and the query's weight ``q_weight`` to each query term. A term without totals is an error."""
     total = F.col("total_tf")
-    return terms.join(index.term_stats, "term_id").select(
+    missing = F.raise_error(F.concat(F.lit("no totals of term "), F.col("term_id"))).cast("bigint")
+    known = terms.join(index.term_stats, "term_id", "left").withColumn("total_tf", F.coalesce("total_tf", missing))
+    return known.select(
         "query_id",
         "term_id",
         "query_tf",

@@ -30,7 +30,7 @@ class TreeShape:
     k: int = CLUSTERS
     levels: int | None = LEVELS
     min_samples: int = MIN_SAMPLES
-    iters: int = 10
+    iters: int = cluster.MAX_ROUNDS
     init: str = "kmeans++"
     salt: str = "seed"
     max_codebook_bytes: int = cluster.DEFAULT_CODEBOOK_BYTES
@@ -132,6 +132,14 @@ def leaf_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, ["tree_id", "term_id"], "left_anti")
 
 
+def with_sizes(nodes: DataFrame, term_stats: DataFrame) -> DataFrame:
+    """Nodes with ``n_features`` from the terms' totals: what lies at or below a node now, not when it was made."""
+    totals = term_stats.select("term_id", F.col("total_tf").alias("_total"))
+    return nodes.join(totals, "term_id", "left").select(
+        *[F.coalesce("_total", c).alias(c) if c == "n_features" else F.col(c) for c in nodes.columns]
+    )
+
+
 def frontier_nodes(nodes: DataFrame, shape: TreeShape) -> DataFrame:
     """Leaves that a training round would split."""
     worthy = F.col("n_features") >= shape.min_samples

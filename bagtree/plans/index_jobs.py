@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bagtree.operators.append import append
 from bagtree.operators.postings import postings_of, term_stats_of
-from bagtree.operators.sample import log_entries, sample_next, unsampled
+from bagtree.operators.sample import log_entries, sample_next, unsampled_of_batch
 from bagtree.operators.tree import TreeShape, train
 from bagtree.operators.versions import active_trees, check_may_start, retired_trees
 from bagtree.sources.scratch import stage
@@ -38,7 +38,7 @@ def start_training(
     tables.put_tree(tree_id, "training")
     try:
         log = tables.sample_log(tree_id)
-        sampled = stage(sample_next(docs, log, sample_size, tree_id, tables.namespace), "sampled")
+        sampled = stage(sample_next(docs.dropDuplicates(["doc_id"]), log, sample_size, tree_id, tables.namespace), "sampled")
         features = stage(features_of(sampled).select("doc_id", "pos", "vec"), "features")
         tree = train(features, tree_id, shape, dim)
         postings = stage(postings_of(tree.assignments), "postings")
@@ -94,7 +94,7 @@ def populate(
     batch_id = batch_id or f"append-{commits[-1].seq + 1:06d}"
     if any(c.batch_id == batch_id for c in commits):
         return False
-    fresh = stage(unsampled(docs.dropDuplicates(["doc_id"]), tables.sample_log(tree_id), tree_id, tables.namespace), "fresh")
+    fresh = stage(unsampled_of_batch(docs.dropDuplicates(["doc_id"]), tables.sample_log(tree_id), tree_id, tables.namespace), "fresh")
     added = fresh.count()
     if added == 0:
         return False

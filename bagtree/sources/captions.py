@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagtree.sources.scratch import path_exists
+
 # The caption file's fields, and the extension of picture files.
 CAPTION_FILE_SCHEMA = (
     "images array<struct<id: bigint, file_name: string>>, annotations array<struct<image_id: bigint, caption: string>>"
 )
 IMAGE_EXTENSION = "jpg"
-# The id that stands for no image.
-NO_IMAGE_ID = "00000000-0000-0000-0000-000000000000"
 
+CONTENT_SCHEMA = "id string, content binary"
 METADATA_SCHEMA = "id string, dataset string"
 CAPTION_SCHEMA = "id string, pos int, text string"
 
@@ -87,10 +88,24 @@ def with_content(items: DataFrame, files: DataFrame, key: str = "file_name") ->
 
 
 def store_images(items: DataFrame, captions: DataFrame, base: str) -> None:
-    """Store items (id, dataset, content) and their captions: metadata last, so that it never names what is missing."""
-    items.select("id", "content").write.mode("append").parquet(f"{base}/content")
-    captions.select("id", "pos", "text").write.mode("append").parquet(f"{base}/captions")
-    items.select("id", "dataset").write.mode("append").partitionBy("dataset").parquet(f"{base}/image_metadata")
+    """Store items (id, dataset, content) and their captions: metadata last, so that it never names what is missing.
+
+    An id is stored once: what the tables have already is left out, so a job may run again, whole or after a failure.
+    Within one call the least row of an id counts.
+    """
+    spark = items.sparkSession
+    new = items.groupBy("id").agg(F.min(F.struct("dataset", "content")).alias("item")).select("id", "item.*")
+    lines = captions.groupBy("id", "pos").agg(F.min("text").alias("text"))
+    for rows, table, schema, keys in (
+        (new.select("id", "content"), "content", CONTENT_SCHEMA, ["id"]),
+        (lines.select("id", "pos", "text"), "captions", CAPTION_SCHEMA, ["id", "pos"]),
+        (new.select("id", "dataset"), "image_metadata", METADATA_SCHEMA, ["id"]),
+    ):
+        path = f"{base}/{table}"
+        stored = spark.read.schema(schema).parquet(path).select(*keys) if path_exists(spark, path) else None
+        fresh = rows if stored is None else rows.join(stored, keys, "left_anti")
+        writer = fresh.write.mode("append")
+        (writer.partitionBy("dataset") if table == "image_metadata" else writer).parquet(path)
 
 
 def read_metadata(spark: SparkSession, base: str) -> DataFrame:

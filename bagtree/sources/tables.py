@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bagtree.operators.append import current_assignments
 from bagtree.operators.search import Index
-from bagtree.operators.tree import NODE_SCHEMA
+from bagtree.operators.tree import NODE_SCHEMA, with_sizes
 
 _TABLES = ("nodes", "assignments", "postings", "term_stats", "sample_log", "commits", "trees")
 _COMMIT_SCHEMA = "tree_id string, batch_id string, seq int, docs_count long, committed_at timestamp"
@@ -83,7 +83,8 @@ class IndexTables:
     # --- reading one tree
 
     def nodes(self, tree_id: str) -> DataFrame:
-        return self._read(tree_id, "nodes", NODE_SCHEMA)
+        """The tree's nodes; their sizes are those after the last batch."""
+        return with_sizes(self._read(tree_id, "nodes", NODE_SCHEMA), self.term_stats(tree_id))
 
     def assignments(self, tree_id: str) -> DataFrame:
         """Each feature at its current leaf."""

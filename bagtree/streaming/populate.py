@@ -21,6 +21,11 @@ def document_stream(tables: IndexTables, path: str, schema, max_files: int = 100
     return reader.parquet(path)
 
 
+def stream_id(tables: IndexTables, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint, written before its first batch."""
+    return tables.spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def populate_stream(
     tables: IndexTables,
     docs: DataFrame,
@@ -31,10 +36,13 @@ def populate_stream(
 ) -> StreamingQuery:
     """Append each micro-batch of ``docs`` once.
 
-    The sample log keeps out documents the tree has seen, in whatever batch. A batch replayed after a failure has
-    the same name: if its commit is there it is skipped, if not its partitions are overwritten. Once a new tree
-    takes over, one run of the ``populate`` job brings it the documents of earlier micro-batches.
+    The sample log keeps out documents the tree has seen, in whatever batch. Batches are named by the stream, which
+    its checkpoint identifies, and the batch's number in it: another stream, or this one with a new checkpoint, has names of its
+    own. A batch replayed after a failure has the same name: if its commit is there it is skipped, if not its partitions
+    are overwritten. Once a new tree takes over, one run of the ``populate`` job brings it the documents of earlier
+    micro-batches.
     """
+    names: list[str] = []
 
     def append_batch(batch: DataFrame, batch_id: int) -> None:
         if active_tree_id(tables) is None:
@@ -42,7 +50,9 @@ def populate_stream(
             raise RuntimeError(f"{tables.namespace} has no finished tree to append to")
         batch = batch.persist()
         try:
-            populate(tables, batch, features_of, shape, f"stream-{batch_id:09d}")
+            if not names:
+                names.append(stream_id(tables, checkpoint))
+            populate(tables, batch, features_of, shape, f"stream-{names[0]}-{batch_id:09d}")
         finally:
             batch.unpersist()
 

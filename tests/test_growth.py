@@ -123,6 +123,32 @@ def test_stream_in_several_micro_batches(spark, stored, tmp_path):
     check_whole(tables, tree_id)
 
 
+def test_streams_of_different_documents_lose_none(stored, tmp_path):
+    tables, docs, features_of = stored
+    tree_id = start_training(tables, docs.filter("doc_id < 20"), features_of, 10**6, SHAPE)
+
+    def run(folder, checkpoint, low, high):
+        path = str(tmp_path / folder)
+        docs.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)).coalesce(1).write.mode("append").parquet(path)
+        source = document_stream(tables, path, "doc_id long")
+        query = populate_stream(tables, source, features_of, str(tmp_path / checkpoint), SHAPE, available_now=True)
+        query.awaitTermination()
+
+    run("a", "checkpoint_a", 20, 30)
+    run("b", "checkpoint_b", 30, 45)
+    # The first source again, its checkpoint lost and more files in it.
+    run("a", "checkpoint_c", 45, 60)
+    check_whole(tables, tree_id)
+    sizes = {r["term_id"]: r["n_features"] for r in tables.nodes(tree_id).collect()}
+    assert sizes == {r["term_id"]: r["total_tf"] for r in tables.term_stats(tree_id).collect()}
+
+
+def test_documents_given_twice_count_once(stored):
+    tables, docs, features_of = stored
+    tree_id = start_training(tables, docs.unionByName(docs), features_of, 10**6, SHAPE)
+    check_whole(tables, tree_id)
+
+
 def test_stream_without_a_tree_stops(spark, stored, tmp_path):
     tables, docs, features_of = stored
     docs.write.parquet(str(tmp_path / "arriving"))

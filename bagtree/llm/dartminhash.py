@@ -9,10 +9,11 @@ coordinates are joined; candidates are verified by the similarity itself.
 Elements are shingles of five words, their weights how often they occur. With 32 bands of 4 coordinates a pair at similarity
 0.8 shares no band once in 2 * 10**7 pairs.
 
-A bucket of a band never gives all its pairs. A few members of each bucket, its pivots, are compared with the members of other
-classes; what is verified merges classes; buckets with one class left are done, the others get four times as many pivots, until
-all pairs between different classes of a bucket have been compared. So no link is lost, and a large group of copies costs about
-one comparison for each member.
+A bucket of a band never gives all its pairs. First the members of each bucket are compared with its pivot, the member that
+shares most buckets with others (of a group of copies that is the original or the like); what is verified merges classes. The buckets
+that still hold several classes get more pivots; of those that are larger than that, all members outside the leading class are compared with
+all members of other classes, block by block, each block in one task with every document in it once. So no link is lost, and a
+large group of copies costs about one comparison for each member that is linked to its middle.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagtree.llm.components import components
-from bagtree.llm.words import chunks, counted, mix, shingles_of, words_of
+from bagtree.llm.words import chunks, counted, mix, shingles_of, slices, words_of
 from bagtree.sources.scratch import stage, unstage
 
 K = 128
 BANDS = 32
+PIVOTS = (1, 3)  # per bucket, compared with all its members, round by round
+_OUTER, _INNER = 256, 2048
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7))
 # P(Poisson(1) <= n) as thresholds for 53-bit fractions; fixed values by the rule below.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
@@ -100,14 +104,14 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def weighted_shingles(texts: list[str | None], words: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """(slice of texts, hash, count, owner in the slice), in pieces of bounded size."""
-    for piece in chunks(texts, 1 << 20):
+    for piece in chunks(texts):
         hashes, owner = shingles_of(words_of(texts[piece]), words)
         distinct, who, count = counted(hashes, owner)
         yield piece, distinct, count, who
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, k: int, bands: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch["text"].to_pylist()
         for piece, hashes, count, who in weighted_shingles(texts, words):
             docs = piece.stop - piece.start
@@ -123,7 +127,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, k: int, bands: int) -
 def _element_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Each document's shingles as a set of numbers: the nth occurrence of a shingle is an element of its own, so the plain Jaccard
     similarity of the sets is the weighted one of the shingles."""
-    for batch in batches:
+    for batch in slices(batches):
         for piece, hashes, count, who in weighted_shingles(batch["text"].to_pylist(), words):
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             elements = mix(np.repeat(hashes, count) + nth.astype(np.uint64) * _C3).view(np.int64)
@@ -136,8 +140,9 @@ def _element_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 
 
 def document_key() -> Column:
-    """doc_id, or a hash of the text where it is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null doc_id"), F.coalesce("text", F.lit(""))))
+    """doc_id, or where it is null a hash of the text, above 2**62 and so above the ids."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit("null doc_id"), F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), hashed)
 
 
 def near_duplicates(
@@ -168,8 +173,7 @@ def near_duplicates(
     links = of_key.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))
     members = _buckets(exact)
     found = _verified(members, documents, words, similarity)
-    edges = found.unionByName(links) if links.limit(1).count() else found
-    comps = components(edges)
+    comps = components(found.unionByName(links))
     unstage(exact, members)
     classes = of_key.join(comps, "node", "left").select(
         "key", F.coalesce("comp", F.least("node", "key")).alias("class_id")
@@ -184,42 +188,33 @@ def near_duplicates(
 
 
 def _buckets(exact: DataFrame) -> DataFrame:
-    """(bucket, node) of the band buckets with two nodes or more; of buckets with the same members only one."""
+    """(bucket, node, n) of the band buckets with n > 1 nodes; of buckets with the same members only one."""
     rows = exact.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("who")
     )
     one_of_each = sizes.where("n > 1").groupBy("n", "least", "who").agg(F.min("bucket").alias("bucket"))
-    return stage(rows.join(one_of_each.select("bucket"), "bucket"), "members")
+    return stage(rows.join(one_of_each.select("bucket", "n"), "bucket"), "members")
 
 
 def _verified(members: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) that connect every two nodes that a chain of similar pairs within buckets connects."""
-    nodes = members.select("node").distinct()
+    degrees = stage(members.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     texts = (
         documents.select(document_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(nodes, "node", "left_semi")
+        .join(degrees.select("node"), "node", "left_semi")
         .groupBy("node")
         .agg(F.min("text").alias("text"))
     )
     sets = stage(texts.mapInArrow(lambda it: _element_sets(it, words), "node long, elements array<long>"), "sets")
-    comps = None
-    tested, edges = [], []
-    pivots = 1
-    while True:
-        if comps is None:
-            placed = members.withColumn("comp", F.col("node"))
-        else:
-            placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        open_buckets = stage(mixed.where("x <> y").select("bucket", "n"), "open")
-        largest = open_buckets.agg(F.max("n")).first()[0]
-        if largest is None:
-            unstage(open_buckets)
-            break
-        left = placed.join(open_buckets.select("bucket"), "bucket")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        chosen = left.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pivots)
+    edges: list[DataFrame] = []
+    tested: DataFrame | None = None
+    comps: DataFrame | None = None
+    for pivots in PIVOTS:
+        left = _unsettled(members, comps)
+        best = left.join(degrees, "node")
+        order = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("node"), "node")
+        chosen = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pivots)
         pairs = (
             chosen.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
             .join(left, "bucket")
@@ -227,26 +222,28 @@ def _verified(members: DataFrame, documents: DataFrame, words: int, similarity:
             .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
             .distinct()
         )
-        for earlier in tested:
-            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stage(_compare(stage(pairs, "pairs"), sets, similarity), "checked")
-        unstage(open_buckets)
-        tested.append(checked)
-        new = checked.where("linked").select("a", "b")
-        if new.limit(1).count():
-            edges.append(new)
-            comps = components(_union(edges))
-        if pivots >= largest:
-            break
-        pivots *= 4
-    return _union(edges) if edges else members.sparkSession.createDataFrame([], "a long, b long")
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        checked = stage(_compare(pairs, sets, similarity), "checked")
+        unstage(left)
+        tested = checked.select("a", "b")
+        edges.append(checked.where("linked").select("a", "b"))
+        unstage(comps)
+        comps = stage(components(_union(edges)), "comps")
+    left = _unsettled(members, comps)
+    edges.append(stage(_compare_blocks(left.where(F.col("n") > PIVOTS[-1]), sets, similarity), "block_links"))
+    unstage(left, sets, degrees, comps)
+    return _union(edges)
+
+
+def _unsettled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(bucket, node, n, comp) of the buckets that hold several classes."""
+    placed = members.withColumn("comp", F.col("node"))
+    if comps is not None:
+        named = comps.select("node", F.col("comp").alias("_comp"))
+        placed = members.join(named, "node", "left").select("bucket", "node", "n", F.coalesce("_comp", "node").alias("comp"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    return stage(placed.join(mixed.select("bucket"), "bucket"), "unsettled")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -258,6 +255,68 @@ def _compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (shared >= F.lit(similarity) * union - F.lit(1e-9)).alias("linked"))
 
 
+def _compare_blocks(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of different classes of a bucket, of each node one for each class it is linked to.
+
+    The least class of a bucket leads it. All nodes of the buckets that a class leads are compared with those of them that are in
+    other classes, ``_OUTER`` times ``_INNER`` of them in a task.
+    """
+    leads = left.groupBy("bucket").agg(F.min("comp").alias("lead"))
+    placed = left.join(leads, "bucket").select("lead", "node", "comp").distinct()
+    sizes = placed.groupBy("lead").agg(
+        F.ceil(F.count(F.lit(1)) / _INNER).cast("int").alias("inner"),
+        F.ceil(F.count(F.when(F.col("comp") != F.col("lead"), 1)) / _OUTER).cast("int").alias("outer"),
+    )
+    spread = placed.join(sizes, "lead").withColumn("_in", F.pmod(F.xxhash64("node"), "inner").cast("int")).withColumn(
+        "_out", F.pmod(F.xxhash64(F.lit(1), "node"), "outer").cast("int")
+    )
+    # Small leads share a task, about as many nodes as a block has.
+    together = max(1, left.count() // _INNER)
+    alone = (F.col("inner") > 1) | (F.col("outer") > 1)
+    shared = F.pmod(F.xxhash64(F.lit(2), "lead"), F.lit(together))
+    spread = spread.withColumn("task", F.when(alone, F.xxhash64("lead")).otherwise(shared))
+    every = [F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name) for n, name in (("outer", "x"), ("inner", "y"))]
+    kept = ["task", "lead", "node", "comp"]
+    inner = spread.select(*kept, F.lit(False).alias("outside"), every[0], F.col("_in").alias("y"))
+    outer = spread.where("comp <> lead").select(*kept, F.lit(True).alias("outside"), F.col("_out").alias("x"), every[1])
+    rows = inner.unionByName(outer).join(sets, "node")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return _block_links(frame, similarity)
+
+    found = rows.groupBy("task", "x", "y").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    inside = frame[~frame["outside"]]
+    nodes, comps, leads = (inside[c].to_numpy() for c in ("node", "comp", "lead"))
+    sizes = np.array([len(e) for e in inside["elements"]], np.int64)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    elements = np.concatenate([*inside["elements"], np.empty(0, np.int64)]).astype(np.int64)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    links = []
+    for row in frame[frame["outside"]].itertuples():
+        own = np.asarray(row.elements)
+        begin = np.searchsorted(elements, own, side="left")
+        length = np.searchsorted(elements, own, side="right") - begin
+        at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        shared = np.bincount(owner[at], minlength=len(nodes))
+        linked = shared >= similarity * (sizes + len(own) - shared) - 1e-9
+        linked = np.flatnonzero(linked & (comps != row.comp) & (leads == row.lead))
+        _, first = np.unique(comps[linked], return_index=True)
+        links += [(row.node, int(nodes[i])) for i in linked[first]]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def representatives(documents: DataFrame, **options) -> DataFrame:
     """One document of each class, the one with the least key, with all of its columns.
 

@@ -91,7 +91,8 @@ def populate(
     if tree_id is None:
         return False
     commits = tables.commits(tree_id)
-    batch_id = batch_id or f"append-{commits[-1].seq + 1:06d}"
+    # A name of its own for each run: two at once then write apart, and only one of them can commit.
+    batch_id = batch_id or f"append-{commits[-1].seq + 1:06d}-{uuid.uuid4().hex[:8]}"
     if any(c.batch_id == batch_id for c in commits):
         return False
     fresh = stage(unsampled_of_batch(docs.dropDuplicates(["doc_id"]), tables.sample_log(tree_id), tree_id, tables.namespace), "fresh")
@@ -115,6 +116,16 @@ def populate(
     return True
 
 
+def abandon_training(tables: IndexTables) -> list[str]:
+    """Drop the trees that are in training, for after a driver died in it: until then no other tree can be trained.
+    Not to be called while a training runs. Returns their ids."""
+    own = tables.trees().filter((F.col("namespace") == tables.namespace) & (F.col("state") == "training"))
+    dropped = [row["tree_id"] for row in own.collect()]
+    for tree_id in dropped:
+        tables.drop_tree(tree_id)
+    return dropped
+
+
 def retire(tables: IndexTables) -> list[str]:
     """Drop the older of two finished trees. Returns the ids of what was dropped: at most one."""
     own = tables.trees().filter(F.col("namespace") == tables.namespace)

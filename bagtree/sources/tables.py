@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ _COMMIT_SCHEMA = "tree_id string, batch_id string, seq int, docs_count long, com
 _TREE_SCHEMA = "namespace string, tree_id string, created_at timestamp, state string"
 
 
+class ConcurrentCommit(Exception):
+    """Another batch was committed since this one began."""
+
+
 @dataclass(frozen=True)
 class Commit:
     batch_id: str
@@ -42,7 +47,12 @@ class IndexTables:
     # --- versions
 
     def trees(self) -> DataFrame:
-        return self._read_all("trees", _TREE_SCHEMA)
+        """One row per tree. A change of state adds a row, and a finished tree's row counts, so no reader ever misses a tree."""
+        rows = self._read_all("trees", _TREE_SCHEMA)
+        newest = F.max(F.struct((F.col("state") != "training").alias("done"), "created_at", "state"))
+        return rows.groupBy("namespace", "tree_id").agg(newest.alias("row")).select(
+            "namespace", "tree_id", "row.created_at", "row.state"
+        )
 
     def put_tree(self, tree_id: str, state: str, created_at=None) -> None:
         """Insert a tree or change its state. The time of creation is now unless given."""
@@ -50,7 +60,7 @@ class IndexTables:
         row = self.spark.range(1).select(
             F.lit(self.namespace).alias("namespace"), F.lit(tree_id).alias("tree_id"), created.alias("created_at"), F.lit(state).alias("state")
         )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('trees')}/{tree_id}")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('trees')}/{tree_id}/{state}")
 
     def drop_tree(self, tree_id: str) -> None:
         """Remove a tree with all its partitions, the registry row first so that nobody picks it up."""
@@ -71,6 +81,8 @@ class IndexTables:
             own.write.mode("overwrite").parquet(f"{self.path(table)}/tree_id={tree_id}/batch_id={batch_id}")
 
     def commit(self, tree_id: str, batch_id: str, seq: int, docs_count: int) -> None:
+        """Make a batch visible. Of two batches with one sequence number only the first is committed."""
+        self._claim(f"{self.path('commits')}/tree_id={tree_id}/_seq-{seq:09d}", batch_id)
         row = self.spark.range(1).select(
             F.lit(tree_id).alias("tree_id"),
             F.lit(batch_id).alias("batch_id"),
@@ -131,6 +143,23 @@ class IndexTables:
 
     # --- file system
 
+    def _claim(self, path: str, owner: str) -> None:
+        """Create a file that only one owner can have. The same owner may claim it again."""
+        fs, hadoop_path = self._fs(path)
+        try:
+            out = fs.create(hadoop_path, False)
+        except Py4JJavaError as error:
+            if not fs.exists(hadoop_path):
+                raise
+            stream = fs.open(hadoop_path)
+            holder = stream.readLine()
+            stream.close()
+            if holder != owner:
+                raise ConcurrentCommit(f"{path} belongs to {holder}; run the batch again") from error
+            return
+        out.write(bytearray(owner.encode()))
+        out.close()
+
     def _fs(self, path: str):
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from bagtree.operators.append import append, current_assignments
 from bagtree.operators.postings import postings_of, term_stats_of
 from bagtree.operators.tree import TreeShape, leaf_nodes, train
-from bagtree.plans.index_jobs import active_tree_id, populate, start_training
+from bagtree.plans.index_jobs import abandon_training, active_tree_id, populate, start_training
 from bagtree.sources.scratch import stage
-from bagtree.sources.tables import IndexTables
+from bagtree.sources.tables import ConcurrentCommit, IndexTables
 from bagtree.streaming.populate import document_stream, populate_stream
 from tests.helpers import random_features
 
@@ -143,6 +143,31 @@ def test_streams_of_different_documents_lose_none(stored, tmp_path):
     assert sizes == {r["term_id"]: r["total_tf"] for r in tables.term_stats(tree_id).collect()}
 
 
+def test_two_appends_at_once_commit_once(stored):
+    tables, docs, features_of = stored
+    tree_id = start_training(tables, docs.filter("doc_id < 20"), features_of, 10**6, SHAPE)
+
+    def slow(chosen):  # another append begins and ends while this one reads its features
+        populate(tables, docs.filter("doc_id < 30"), features_of, SHAPE)
+        return features_of(chosen)
+
+    with pytest.raises(ConcurrentCommit):
+        populate(tables, docs, slow, SHAPE)
+    assert tables.commits(tree_id)[-1].docs_count == 30
+    assert populate(tables, docs, features_of, SHAPE) is True
+    check_whole(tables, tree_id)
+
+
+def test_a_dead_training_can_be_dropped(stored):
+    tables, docs, features_of = stored
+    tables.put_tree("dead", "training")
+    with pytest.raises(Exception):
+        start_training(tables, docs, features_of, 10**6, SHAPE)
+    assert abandon_training(tables) == ["dead"] and tables.trees().count() == 0
+    start_training(tables, docs, features_of, 10**6, SHAPE)
+    assert [r["state"] for r in tables.trees().collect()] == ["ready"]
+
+
 def test_documents_given_twice_count_once(stored):
     tables, docs, features_of = stored
     tree_id = start_training(tables, docs.unionByName(docs), features_of, 10**6, SHAPE)

@@ -25,27 +25,27 @@ def put(tables, tree, state="ready", year=2024):
 
 def put_frequencies(tables, tree, postings, docs=3):
     spark = tables.spark
-    rows = spark.createDataFrame([("foo", d, n) for d, n in postings.items()], "term_id string, doc_id string, tf long")
+    rows = spark.createDataFrame([("0.4", d, n) for d, n in postings.items()], "term_id string, doc_id string, tf long")
     tables.write_batch(tree, "train", postings=rows, term_stats=term_stats_of(rows))
     tables.commit(tree, "train", 0, docs)
 
 
 def test_df_of_a_missing_term(tables):
-    assert tables.term_stats("green").filter("term_id = 'foo'").count() == 0
+    assert tables.term_stats("north").filter("term_id = '0.4'").count() == 0
 
 
 def test_df_and_tfs_of_a_term(tables):
-    put_frequencies(tables, "green", {"a": 20, "b": 105, "c": 1})
-    assert tables.term_stats("green").select("df", "total_tf").collect() == [(3, 126)]
-    put_frequencies(tables, "blue", {"a": 21, "b": 135})
-    assert {r["doc_id"]: r["tf"] for r in tables.postings("blue").collect()} == {"a": 21, "b": 135}
+    put_frequencies(tables, "north", {"k3": 8, "k5": 31, "k9": 4, "k11": 2})
+    assert tables.term_stats("north").select("df", "total_tf").collect() == [(4, 45)]
+    put_frequencies(tables, "south", {"k3": 17, "k8": 6})
+    assert {r["doc_id"]: r["tf"] for r in tables.postings("south").collect()} == {"k3": 17, "k8": 6}
 
 
 def test_document_counts_per_tree(tables):
-    assert tables.commits("green") == []
-    put_frequencies(tables, "blue", {"a": 1}, docs=15)
-    put_frequencies(tables, "green", {"a": 1}, docs=1500)
-    assert tables.commits("green")[-1].docs_count == 1500
+    assert tables.commits("north") == []
+    put_frequencies(tables, "south", {"k3": 2}, docs=62)
+    put_frequencies(tables, "north", {"k3": 2}, docs=740)
+    assert tables.commits("north")[-1].docs_count == 740
 
 
 def test_document_count_includes_empty_bags(spark):
@@ -54,16 +54,16 @@ def test_document_count_includes_empty_bags(spark):
 
 
 def test_uncommitted_batches_are_invisible(tables):
-    put_frequencies(tables, "green", {"a": 1})
-    rows = tables.spark.createDataFrame([("bar", "b", 1)], "term_id string, doc_id string, tf long")
-    tables.write_batch("green", "append-1", postings=rows)
-    assert tables.postings("green").count() == 1
-    tables.commit("green", "append-1", 1, 4)
-    assert tables.postings("green").count() == 2
+    put_frequencies(tables, "north", {"k3": 2})
+    rows = tables.spark.createDataFrame([("0.5", "b", 1)], "term_id string, doc_id string, tf long")
+    tables.write_batch("north", "append-1", postings=rows)
+    assert tables.postings("north").count() == 1
+    tables.commit("north", "append-1", 1, 4)
+    assert tables.postings("north").count() == 2
 
 
 def test_no_new_tree_while_one_is_in_training(tables):
-    put(tables, "blue", "training")
+    put(tables, "south", "training")
     with pytest.raises(TrainingInProgress):
         check_may_start(tables.trees(), "captions")
     check_may_start(tables.trees(), "ims")
@@ -71,9 +71,9 @@ def test_no_new_tree_while_one_is_in_training(tables):
 
 def test_no_third_tree(tables):
     check_may_start(tables.trees(), "captions")
-    put(tables, "blue")
+    put(tables, "south")
     check_may_start(tables.trees(), "captions")
-    put(tables, "green")
+    put(tables, "north")
     with pytest.raises(TooManyTrees):
         check_may_start(tables.trees(), "captions")
 
@@ -82,28 +82,28 @@ def nodes(spark, *rows):
     return spark.createDataFrame([(t, i, p, d, [0.5, -1.25], 3) for t, i, p, d in rows], NODE_SCHEMA)
 
 
-BLUE = (("blue", "0", None, 0), ("blue", "0.0", "0", 1), ("blue", "0.1", "0", 1))
-GREEN = (("green", "0", None, 0),)
+BLUE = (("south", "0", None, 0), ("south", "0.0", "0", 1), ("south", "0.1", "0", 1))
+GREEN = (("north", "0", None, 0),)
 
 
 def test_nodes_can_be_fetched_and_replaced(tables):
-    assert tables.nodes("blue").count() == 0
-    tables.write_batch("blue", "train", nodes=nodes(tables.spark, *BLUE))
-    tables.commit("blue", "train", 0, 1)
-    assert {r["term_id"] for r in tables.nodes("blue").collect()} == {"0", "0.0", "0.1"}
-    assert tables.nodes("blue").filter("term_id = '0.7'").count() == 0
-    tables.write_batch("blue", "train", nodes=nodes(tables.spark, *BLUE, ("blue", "0.0.0", "0.0", 2)))
-    assert {r["term_id"] for r in leaf_nodes(tables.nodes("blue")).collect()} == {"0.1", "0.0.0"}
+    assert tables.nodes("south").count() == 0
+    tables.write_batch("south", "train", nodes=nodes(tables.spark, *BLUE))
+    tables.commit("south", "train", 0, 1)
+    assert {r["term_id"] for r in tables.nodes("south").collect()} == {"0", "0.0", "0.1"}
+    assert tables.nodes("south").filter("term_id = '0.7'").count() == 0
+    tables.write_batch("south", "train", nodes=nodes(tables.spark, *BLUE, ("south", "0.0.0", "0.0", 2)))
+    assert {r["term_id"] for r in leaf_nodes(tables.nodes("south")).collect()} == {"0.1", "0.0.0"}
 
 
 @pytest.mark.parametrize(
     "states, roots, active",
     [
         ({}, set(), set()),
-        ({"blue": "ready"}, {"blue"}, {"blue"}),
-        ({"blue": "training"}, set(), set()),
-        ({"blue": "ready", "green": "ready"}, {"blue", "green"}, {"green"}),
-        ({"blue": "ready", "green": "training"}, {"blue"}, {"blue"}),
+        ({"south": "ready"}, {"south"}, {"south"}),
+        ({"south": "training"}, set(), set()),
+        ({"south": "ready", "north": "ready"}, {"south", "north"}, {"north"}),
+        ({"south": "ready", "north": "training"}, {"south"}, {"south"}),
     ],
 )
 def test_root_choice(spark, tables, states, roots, active):
@@ -118,16 +118,16 @@ def test_root_choice(spark, tables, states, roots, active):
     "states, gone",
     [
         ({}, []),
-        ({"blue": "training"}, []),
-        ({"blue": "ready"}, []),
-        ({"blue": "ready", "green": "training"}, []),
-        ({"blue": "ready", "green": "ready"}, ["blue"]),
+        ({"south": "training"}, []),
+        ({"south": "ready"}, []),
+        ({"south": "ready", "north": "training"}, []),
+        ({"south": "ready", "north": "ready"}, ["south"]),
     ],
 )
 def test_retiring(tables, states, gone):
     for year, (tree, state) in enumerate(states.items(), 2020):
         put(tables, tree, state, year)
-        put_frequencies(tables, tree, {"a": 1})
+        put_frequencies(tables, tree, {"k3": 2})
     assert [r["tree_id"] for r in retired_trees(tables.trees()).collect()] == gone
     assert {r["tree_id"] for r in keep_set(tables.trees()).collect()} == set(states) - set(gone)
     assert retire(tables) == gone
@@ -160,5 +160,5 @@ def test_json_round_trip(spark):
     assert {r["term_id"]: (r["depth"], r["centroid"], r["children"]) for r in back.collect()} == {
         "0": (0, [0.5, -1.25], ["0.0", "0.1"]), "0.0": (1, [0.5, -1.25], []), "0.1": (1, [0.5, -1.25], [])
     }
-    rows = spark.createDataFrame([("blue", "0.1", 7, 2, [0.1, 2.5])], "tree_id string, term_id string, doc_id long, pos int, vec array<float>")
+    rows = spark.createDataFrame([("south", "0.1", 7, 2, [0.1, 2.5])], "tree_id string, term_id string, doc_id long, pos int, vec array<float>")
     assert import_features(export_features(rows), "long").collect() == rows.collect()

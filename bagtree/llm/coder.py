@@ -29,6 +29,10 @@ _LIMIT = np.uint64(1 << 32)
 _LEVELS = 16
 
 
+# The next confidence, by confidence and hit.
+_NEXT = np.array([[c >> 1, min(c + 1, _LEVELS - 1)] for c in range(_LEVELS)], np.int64).ravel()
+
+
 def _refresh_steps(steps: int) -> set[int]:
     """When the tables are made anew: often at first, then less and less."""
     at, out = 1.0, set()
@@ -44,8 +48,8 @@ class Model:
             raise ValueError(f"ids must be below {(1 << BITS) // (_FLOOR * 2)}")
         self.vocab = vocab
         self.counts = np.zeros(vocab, np.int64)
-        self.next1, self.sure1 = np.zeros(vocab + 1, np.int64), np.zeros(vocab + 1, np.int64)
-        self.next2, self.sure2 = np.zeros(_TABLE2, np.int64), np.zeros(_TABLE2, np.int64)
+        # Per context: the id that followed last and the confidence in it, as id * 16 + confidence.
+        self.order1, self.order2 = np.zeros(vocab + 1, np.int64), np.zeros(_TABLE2, np.int64)
         self.tried = np.ones((2, _LEVELS))
         self.right = np.full((2, _LEVELS), 0.2)
         self.refresh()
@@ -58,8 +62,11 @@ class Model:
         freq[0] += (1 << BITS) - int(freq.sum())
         self.cum = np.zeros(self.vocab + 1, np.uint64)
         np.cumsum(freq, out=self.cum[1:], dtype=np.uint64)
-        self.mass = np.minimum(_MOST, self.right / self.tried * (1 << BITS) * 0.95).astype(np.uint64)
-        self.mass[:, 0] = 0
+        mass = np.minimum(_MOST, self.right / self.tried * (1 << BITS) * 0.95).astype(np.uint64)
+        mass[:, 0] = 0
+        # For each pair of confidences (order 2, order 1): the masses of both predictions and what is left to order 0.
+        self.mass2 = np.repeat(mass[1], _LEVELS)
+        self.mass1 = (np.tile(mass[0], _LEVELS) * (TOTAL - self.mass2)) >> np.uint64(BITS)
         if symbols:  # the id of each value, for the decoder
             self.symbols = np.repeat(np.arange(self.vocab, dtype=np.uint32), freq)
 
@@ -70,53 +77,53 @@ class Model:
     def predict(self, last: np.ndarray, context2: np.ndarray) -> None:
         """Sets this step's predictions a1, a2, their masses m1, m2, and what is left to order 0."""
         self.last, self.context = last, context2
-        self.a1, self.c1 = self.next1[last], self.sure1[last]
-        self.a2, self.c2 = self.next2[context2], self.sure2[context2]
-        self.m2 = self.mass[1][self.c2]
-        self.m1 = (self.mass[0][self.c1] * (TOTAL - self.m2)) >> np.uint64(BITS)
+        entry1, entry2 = self.order1[last], self.order2[context2]
+        self.a1, self.a2 = entry1 >> 4, entry2 >> 4
+        self.c1, self.c2 = entry1 & 15, entry2 & 15
+        both = (self.c2 << 4) | self.c1
+        self.m1, self.m2 = self.mass1[both], self.mass2[both]
         self.m1[(self.a1 == self.a2) & (self.c2 > 0)] = 0
         self.rest = TOTAL - self.m1 - self.m2
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first value and the number of values of each id."""
+        self.hit1, self.hit2 = self.a1 == ids, self.a2 == ids
         low = (self.cum[ids] * self.rest) >> np.uint64(BITS)
-        high = (self.cum[ids + 1] * self.rest) >> np.uint64(BITS)
-        low += self.m1 * (self.a1 < ids) + self.m2 * (self.a2 < ids)
-        high += self.m1 * (self.a1 <= ids) + self.m2 * (self.a2 <= ids)
-        return low, high - low
+        size = ((self.cum[ids + 1] * self.rest) >> np.uint64(BITS)) - low
+        size += self.m1 * self.hit1
+        size += self.m2 * self.hit2
+        low += self.m1 * (self.a1 < ids)
+        low += self.m2 * (self.a2 < ids)
+        return low, size
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the values lie."""
-        swap = self.a1 > self.a2
-        a, b = np.where(swap, self.a2, self.a1), np.where(swap, self.a1, self.a2)
-        ma, mb = np.where(swap, self.m2, self.m1), np.where(swap, self.m1, self.m2)
         shift = np.uint64(BITS)
-        a_low = (self.cum[a] * self.rest) >> shift
-        a_high = ((self.cum[a + 1] * self.rest) >> shift) + ma
-        b_low = ((self.cum[b] * self.rest) >> shift) + ma
-        b_high = ((self.cum[b + 1] * self.rest) >> shift) + ma + mb
-        same = a == b
-        a_high += mb * same
-        off = ma * (values >= a_high) + mb * ((values >= b_high) | (same & (values >= a_high)))
-        plain = values - np.minimum(off, values)
+        # The intervals of both predictions; equal ids have one, with the mass of both.
+        first1 = ((self.cum[self.a1] * self.rest) >> shift) + self.m2 * (self.a2 < self.a1)
+        first2 = ((self.cum[self.a2] * self.rest) >> shift) + self.m1 * (self.a1 < self.a2)
+        end1 = ((self.cum[self.a1 + 1] * self.rest) >> shift) + self.m2 * (self.a2 <= self.a1) + self.m1
+        end2 = ((self.cum[self.a2 + 1] * self.rest) >> shift) + self.m1 * (self.a1 <= self.a2) + self.m2
+        # Any other id: without the masses below it, the value is one of order 0.
+        plain = values - self.m1 * (values >= end1) - self.m2 * (values >= end2)
         at = ((plain + np.uint64(1)) * TOTAL - np.uint64(1)) // self.rest
         ids = self.symbols[np.minimum(at, TOTAL - np.uint64(1)).astype(np.int64)].astype(np.int64)
-        ids = np.where((values >= b_low) & (values < b_high) & ~same, b, ids)
-        return np.where((values >= a_low) & (values < a_high), a, ids)
+        ids = np.where((values >= first2) & (values < end2), self.a2, ids)
+        return np.where((values >= first1) & (values < end1), self.a1, ids)
 
     def learn(self, ids: np.ndarray, tally: bool) -> None:
-        hit1, hit2 = self.a1 == ids, self.a2 == ids
         if tally:
-            for row, (sure, hit) in enumerate(((self.c1, hit1), (self.c2, hit2))):
+            for row, (sure, hit) in enumerate(((self.c1, self.hit1), (self.c2, self.hit2))):
                 self.tried[row] += np.bincount(sure, minlength=_LEVELS)
                 self.right[row] += np.bincount(sure[hit], minlength=_LEVELS)
-        for nexts, sures, at, old, sure, hit in (
-            (self.next1, self.sure1, self.last, self.a1, self.c1, hit1),
-            (self.next2, self.sure2, self.context, self.a2, self.c2, hit2),
+        fresh = (ids << 4) | 1
+        for table, at, guess, sure, hit in (
+            (self.order1, self.last, self.a1, self.c1, self.hit1),
+            (self.order2, self.context, self.a2, self.c2, self.hit2),
         ):
-            keep = hit | (sure >= 4)
-            nexts[at] = np.where(keep, old, ids)
-            sures[at] = np.where(hit & (sure > 0), np.minimum(sure + 1, _LEVELS - 1), np.where(keep & ~hit, sure >> 1, 1))
+            # A right prediction gains; a wrong one that has often been right keeps its place with half the confidence.
+            kept = (guess << 4) | _NEXT[(sure << 1) | hit]
+            table[at] = np.where(hit | (sure >= 4), kept, fresh)
 
 
 def _renormalise(low: np.ndarray, span: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from bagtree.llm.words import chunks
@@ -10,6 +12,14 @@ from bagtree.llm.words import chunks
 _BETWEEN = "\x01"
 # str.split() takes these for white space, tokenizers do not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
+# Marks that such tokenizers part from the letters before them.
+_MARKS = ".,;:!?"
+_NO_IDS = np.empty(0, np.uint32)
+
+
+def _only_letters(word: str) -> bool:
+    """Whether a word is letters also as the tokenizer sees it; some letters are composed of, or lower-cased to, a letter and a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class _Known(dict):
@@ -43,6 +53,7 @@ class TextEncoder:
         self.words_apart, self.max_words = words_apart, max_words
         between = self._ids([_BETWEEN])[0]
         self.between = between[0] if len(between) == 1 else None
+        self.marks = [np.array(x, np.uint32) for x in self._ids(list(_MARKS))] if words_apart else []
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -70,11 +81,32 @@ class TextEncoder:
         self._store(flat)
 
     def _learn(self) -> None:
-        """Encode the words that were met for the first time."""
+        """Encode the words that were met for the first time: those that are another word and a mark, or that in capitals, from
+        that word's ids."""
         new, self.known.new = self.known.new, []
-        lists: list[np.ndarray] = []
-        for at in range(0, len(new), 20_000):
-            lists += self._encode_words(new[at : at + 20_000])
+        before = self.words
+        base_of: dict[int, tuple[int, int]] = {}  # place in new -> (number of the other word, mark)
+        plain: list[int] = []
+        for place, word in enumerate(new):  # which grows by the other words
+            mark = _MARKS.find(word[-1]) if len(word) > 1 else -1
+            base = word[:-1] if mark >= 0 else word
+            if base.isascii() and base.isalpha():
+                base = base.lower()
+            if base != word and _only_letters(base):
+                base_of[place] = self.known[base], mark
+                if self.known.new:
+                    new += self.known.new
+                    self.known.new = []
+            else:
+                plain.append(place)
+        lists: list[np.ndarray] = [_NO_IDS] * len(new)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            for place, ids in zip(part, self._encode_words([new[i] for i in part])):
+                lists[place] = ids
+        for place, (number, mark) in sorted(base_of.items(), reverse=True):  # another word may itself have another
+            ids = lists[number - before] if number >= before else self.flat[self.starts[number] : self.starts[number + 1]]
+            lists[place] = np.concatenate([ids, self.marks[mark]]) if mark >= 0 else ids
         self._store(lists)
 
     def _store(self, lists: list[np.ndarray]) -> None:
@@ -104,7 +136,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """In pieces, so that what is needed at a time stays small."""
-        parts = [self._encode(texts[piece]) for piece in chunks(texts, 1 << 20)]
+        parts = [self._encode(texts[piece]) for piece in chunks(texts)]
         if not parts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

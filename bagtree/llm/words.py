@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,8 +142,18 @@ def chunks(texts: list[str | None], size: int = _CHUNK) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that few texts are Python strings at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python strings at a time. At the end the worker, which stays for
+    later tasks, gives free memory back."""
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(at, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

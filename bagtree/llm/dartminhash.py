@@ -33,7 +33,7 @@ from bagtree.sources.scratch import stage, unstage
 
 K = 128
 BANDS = 32
-PIVOTS = (1, 3)  # per bucket, compared with all its members, round by round
+PIVOTS = (1,)  # per bucket, compared with all its members, round by round; more rounds mean more jobs
 _OUTER, _INNER = 256, 2048
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7))
 # P(Poisson(1) <= n) as thresholds for 53-bit fractions; fixed values by the rule below.

@@ -96,7 +96,11 @@ class IndexTables:
 
     def nodes(self, tree_id: str) -> DataFrame:
         """The tree's nodes; their sizes are those after the last batch."""
-        return with_sizes(self._read(tree_id, "nodes", NODE_SCHEMA), self.term_stats(tree_id))
+        nodes = self._read(tree_id, "nodes", NODE_SCHEMA)
+        last = self.commits(tree_id)[-1:]
+        if not last or not self._glob(f"{self.path('term_stats')}/tree_id={tree_id}/batch_id={last[0].batch_id}"):
+            return nodes  # without totals the sizes are those at the nodes' making
+        return with_sizes(nodes, self.term_stats(tree_id))
 
     def assignments(self, tree_id: str) -> DataFrame:
         """Each feature at its current leaf."""

@@ -99,3 +99,28 @@ def test_seeds_are_the_rarest_of_their_segment():
     by_place = dict(zip(items.place.tolist(), items.gram.tolist()))
     common[by_place[2]], common[by_place[5]] = 1, 2
     assert sorted(rare_seeds(items, common, 4).place.tolist()) == [2, 5]
+
+
+def test_edited_copies_are_found_wherever_the_edits_are(spark):
+    """Edited copies alone and beside one verbatim copy: all that score the threshold, also with an edit in every trigram."""
+    rng = random.Random(21)
+    items, data, scores = {}, [], {}
+    for n in range(60):
+        words = even(rng, rng.choice([12, 20, 40])).split()
+        items[n] = " ".join(words)
+        if n % 2:
+            data.append((n, " ".join(prose(rng, 20).split() + words + prose(rng, 20).split()), "en", "s", 1))
+            scores[n, n] = 1.0
+        sixth = [w if i % 6 else f"edit{i}" for i, w in enumerate(words)]
+        third = [w if i % 3 != 2 else f"edit{i}" for i, w in enumerate(words)]
+        drawn = [w if rng.random() > share else f"edit{i}" for share in (0.1, 0.2, 0.3) for i, w in enumerate(words)]
+        drawn = [drawn[at : at + len(words)] for at in range(0, len(drawn), len(words))]
+        for kind, copy in enumerate((sixth, third, *drawn)):
+            doc = 1000 + 10 * n + kind
+            body = prose(rng, 20).split() + copy + prose(rng, 20).split()
+            data.append((doc, " ".join(body), "en", "s", 1))
+            scores[doc, n] = plain_score(words, body)
+    benchmark = spark.createDataFrame([(n, t, "x") for n, t in items.items()], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in leaks(documents(spark, data), benchmark).collect()}
+    assert {k for k, s in scores.items() if s >= 0.5} <= got
+    assert all(scores.get(k, 0) >= 0.5 for k in got)

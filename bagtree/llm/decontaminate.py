@@ -183,6 +183,11 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return scores
 
 
+def _reach(length: np.ndarray, threshold: float) -> np.ndarray:
+    """The most words that an alignment of the threshold can insert or pass over: each costs ``_MISS`` of what all matches score."""
+    return np.floor(_MATCH * (1 - threshold) * length / _MISS + 1e-9).astype(np.int64)
+
+
 def leaks_of(texts: list[str | None], items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word of the passage looked at) of the leaks, one for each text and item."""
     found = []
@@ -202,7 +207,7 @@ def leaks_of(texts: list[str | None], items: Items, threshold: float) -> list[tu
         order = np.lexsort((shift, item, text))
         text, item, shift = text[order], item[order], shift[order]
         length = np.array([len(w) for w in items.words])[item]
-        slack = np.maximum(4, length // 4)
+        slack = _reach(length, threshold)
         # A copy begins with a seed that has enough others after it in reach.
         ahead = np.arange(len(text)) + items.needed[item] - 1
         there = np.minimum(ahead, len(text) - 1)

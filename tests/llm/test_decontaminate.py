@@ -124,3 +124,24 @@ def test_edited_copies_are_found_wherever_the_edits_are(spark):
     got = {(r.doc_id, r.item_id) for r in leaks(documents(spark, data), benchmark).collect()}
     assert {k for k, s in scores.items() if s >= 0.5} <= got
     assert all(scores.get(k, 0) >= 0.5 for k in got)
+
+
+def test_copies_with_long_insertions_are_found(spark):
+    """A passage inserted in the middle, long or short, with edits in both halves; a word inserted after every word."""
+    rng = random.Random(22)
+    items, data, scores = {}, [], {}
+    for n in range(20):
+        words = even(rng, 40).split()
+        items[n] = " ".join(words)
+        edited = [w if i not in (5, 14, 25, 34) else f"edit{i}" for i, w in enumerate(words)]
+        copies = [edited[:20] + even(rng, size).split() + edited[20:] for size in (8, 15, 20, 27, 29)]
+        copies.append([x for i, w in enumerate(words) for x in (w, f"in{i}")])
+        for kind, copy in enumerate(copies):
+            doc = 1000 + 10 * n + kind
+            body = prose(rng, 20).split() + copy + prose(rng, 20).split()
+            data.append((doc, " ".join(body), "en", "s", 1))
+            scores[doc, n] = plain_score(words, body)
+    assert {round(s, 2) for (doc, _), s in scores.items() if doc % 10 == 2} == {0.6}
+    benchmark = spark.createDataFrame([(n, t, "x") for n, t in items.items()], ITEMS)
+    got = {(r.doc_id, r.item_id): r.score for r in leaks(documents(spark, data), benchmark).collect()}
+    assert got == {k: s for k, s in scores.items() if s >= 0.5}

@@ -105,7 +105,10 @@ class Searcher:
         self.verified = 0
 
     def bucket(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
-        """One bucket, its longest vector first."""
+        """One bucket, in any order: a batch may run over several files, which are not read in the order of their lengths."""
+        if (norms[1:] > norms[:-1]).any():
+            order = np.argsort(-norms, kind="stable")
+            ids, vectors, norms = ids[order], vectors[order], norms[order]
         theta = np.maximum(self.seed, self.best.theta)
         longest = norms[0] if len(norms) else 0.0
         reach = self.norms * longest

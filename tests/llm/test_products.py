@@ -45,6 +45,48 @@ def test_equals_brute_force_with_odd_rows(spark):
         assert run(spark, data, **options) == expected
 
 
+def test_batches_over_many_files_equal_brute_force(spark):
+    """All files in one partition, read in order of their sizes: the shorter vectors' files are the larger ones."""
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(600):
+        vec = rng.normal(size=8)
+        size = 4.0 if i % 10 == 0 else float(rng.uniform(0.2, 1.5))
+        vec = vec / np.linalg.norm(vec) * size
+        data.append((i, [float(x) for x in (np.full(8, size / 8**0.5) if i % 10 == 0 and i % 3 else vec)], "x"))
+    plain = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in data}
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = "50"
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        expected = brute(plain)
+        for options in ({}, {"coordinate_from": 0.0}, {"coordinate_from": 2.0}):
+            assert run(spark, data, rows_per_bucket=30, seed_rows=8, **options) == expected
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_bucket_may_come_in_any_order():
+    rng = np.random.default_rng(6)
+    vectors = (rng.normal(size=(500, 8)) * rng.uniform(1, 400, (500, 1))).astype(np.int64)
+    norms = np.sqrt((vectors**2).sum(1))
+    order = np.argsort(norms)
+    queries = rng.integers(-200, 200, (20, 8))
+    for coordinate_from in (0.0, 0.7, 2.0):
+        scores = queries @ vectors.T
+        theta = np.sort(scores, 1)[:, -3].astype(float)
+        searcher = Searcher(np.arange(20) - 100, queries, theta, 3, coordinate_from, 3)
+        for at in range(0, 500, 125):
+            part = order[at : at + 125]
+            searcher.bucket(part, vectors[part], norms[part])
+        for q in range(20):
+            mine = searcher.best.query == q
+            assert sorted(searcher.best.scores[mine].tolist()) == np.sort(scores[q])[-3:].tolist()
+
+
 def test_few_vectors_and_none(spark):
     assert run(spark, [(50, [1.0], "x")]) == {}
     assert run(spark, [(50, [1.0], "x"), (1, [2.0], "y")]) == {50: [(1, 256 * 512)]}

@@ -4,25 +4,28 @@ A source's rows, in hashed order, are cut into blocks. Block j (from 0) of a sou
 ``floor(j / w)`` and is due by slot ``ceil((j + 1) / w)``. Taking the released block with the earliest deadline meets every
 deadline, so after any number of slots each source is less than one block away from its share.
 
-The shares are rational (``period`` slots hold a whole number of blocks of each source), so the schedule repeats: one
-period is computed on the driver, a table of ``period`` rows, and every block finds its slot in it by an equi join. Where a source
-has no blocks left, a new phase begins in which the others share the slots in proportion to their weights. No row is dropped
-or repeated.
+Weights are exact fractions: the driver deals one slot per block, a table that is joined by (source, block). Where a source has
+no blocks left, a new phase begins in which the others share the slots in proportion to their weights. No row is dropped or
+repeated. For tables whose blocks are too many for the driver, ``period`` rounds the weights to whole blocks per period (one each at
+least): one period is computed then and repeats, and sources are within a block of the rounded shares only.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagtree.llm.numbering import hash_bits, leading, numbered, unsigned_order
 
 BLOCK_ROWS = 16
-PERIOD = 1000
+BROADCAST_BLOCKS = 1 << 18  # Tables of more slots are joined by a shuffle.
 MAX_SOURCES = 2000  # The table of weights is a setting, not data: beyond this it is refused.
 
 
@@ -90,11 +93,56 @@ def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> tuple[list[t
     return spans, slots
 
 
+def dealt(blocks: Mapping[str, int], weights: Mapping[str, float]) -> pa.Table:
+    """(phase, source, block, slot, release, deadline) of every block, release and deadline of the phase, by exact weights:
+    earliest deadline first, ties to the lesser source name."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    exact = [Fraction(weights[s]) for s in names]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * scale) for w in exact]
+    end = [blocks[s] for s in names]
+    total, most = sum(end), np.iinfo(np.int64).max
+    phase, source = np.empty(total, np.int32), np.empty(total, np.int32)
+    number, release, deadline = (np.empty(total, np.int64) for _ in range(3))
+    done, left = [0] * len(names), set(range(len(names)))
+    slot = phase_number = 0
+    while left:
+        mass = sum(whole[i] for i in left)
+        waiting, ready, start = [(0, i, 0) for i in sorted(left)], [], slot
+        while True:
+            while waiting and waiting[0][0] <= slot - start:
+                r, i, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * mass // whole[i]), i, j, r))
+            d, i, j, r = heapq.heappop(ready)
+            phase[slot], source[slot], number[slot], release[slot], deadline[slot] = phase_number, i, done[i], r, min(d, most)
+            slot += 1
+            done[i] += 1
+            if done[i] == end[i]:
+                left.remove(i)
+                break
+            heapq.heappush(waiting, ((j + 1) * mass // whole[i], i, j + 1))
+        phase_number += 1
+    by_name = pa.DictionaryArray.from_arrays(pa.array(source), pa.array(names, pa.string())).cast(pa.string())
+    return pa.table(
+        {
+            "mix_phase": phase,
+            "t_source": by_name,
+            "t_block": number,
+            "mix_slot": np.arange(total),
+            "mix_release": release,
+            "mix_deadline": deadline,
+        }
+    )
+
+
 def temperature_weights(rows: Mapping[str, int], exponent: float = 0.5) -> dict[str, float]:
     """Weights that flatten the sizes: rows ** exponent."""
     return {s: float(n) ** exponent for s, n in rows.items()}
 
 
+_DEALT = "mix_phase int, t_source string, t_block long, mix_slot long, mix_release long, mix_deadline long"
+
+
 def _name(source):
     return F.coalesce(source.cast("string"), F.lit(""))
 
@@ -104,7 +152,7 @@ def mix(
     weights: Mapping[str, float] | None = None,
     exponent: float = 0.5,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
 ) -> DataFrame:
     """``docs`` with mix_phase, mix_block (of the source), mix_slot, mix_release, mix_deadline (both of the phase) and
     mix_offset (in the block): the mixed order is (mix_slot, mix_offset).
@@ -128,8 +176,7 @@ def mix(
         if any(not w > 0 for w in named.values()):
             raise ValueError("weights must be positive")
         wanted |= named
-    shares = whole_shares(wanted, period) if wanted else {}
-    spans, slots = phases({s: -(-n // block_rows) for s, n in rows.items()}, shares)
+    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
 
     hashed = docs.withColumn("_source", _name(F.col("source"))).withColumn("_hash", F.xxhash64("doc_id", "text"))
     bucketed = hashed.withColumn("_bucket", leading(F.col("_hash"), hash_bits(sum(rows.values()))))
@@ -138,7 +185,15 @@ def mix(
     blocked = ranked.withColumn("mix_block", F.expr(f"_rank div {block_rows}")).withColumn(
         "mix_offset", (F.col("_rank") % block_rows).cast("int")
     )
-    span, slot = _tables(spark, spans, slots)
+    if period is None:
+        table = dealt(blocks, wanted)
+        slots = spark.createDataFrame(table, _DEALT) if table.num_rows else spark.createDataFrame([], _DEALT)
+        slots = F.broadcast(slots) if table.num_rows <= BROADCAST_BLOCKS else slots
+        own = (F.col("_source") == F.col("t_source")) & (F.col("mix_block") == F.col("t_block"))
+        return blocked.join(slots, own).select(
+            *docs.columns, "mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"
+        )
+    span, slot = _tables(spark, *phases(blocks, whole_shares(wanted, period) if wanted else {}))
     # Both tables are bounded by the number of sources and the period.
     in_phase = blocked.join(
         F.broadcast(span),

@@ -76,3 +76,26 @@ def test_empty_and_bad_input(spark):
         mix(documents(spark), {"s0": 0.0})
     with pytest.raises(ValueError):
         mix(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.col("id").cast("string").alias("source")))
+
+
+def test_lag_is_below_a_block_of_the_target_weights(spark):
+    """Every prefix, for few and for many sources, one of which has half of the weight."""
+    from bagtree.llm.pfair import dealt
+
+    for others, slots in ((9, 3000), (100, 3000), (1000, 4000)):
+        weights = {"half": 0.5} | {f"s{i}": 0.5 / others for i in range(others)}
+        table = dealt(dict.fromkeys(weights, slots), weights).slice(0, slots).to_pydict()
+        seen, total = Counter(), sum(map(Fraction, weights.values()))
+        for t, (s, j, release, deadline) in enumerate(zip(*(table[c] for c in ("t_source", "t_block", "mix_release", "mix_deadline")))):
+            assert release <= t < deadline and j == seen[s]
+            seen[s] += 1
+            assert abs(seen["half"] - Fraction(weights["half"]) / total * (t + 1)) < 1
+            if t % 100 == 0 or others < 10:
+                assert all(abs(seen[s] - Fraction(w) / total * (t + 1)) < 1 for s, w in weights.items())
+    data = [(i, f"text {i}", "half" if i < 600 else f"s{i % 150}", "en", 1) for i in range(1200)]
+    frame = spark.createDataFrame([(i, t, "en", s, n) for i, t, s, _, n in data], DOCUMENTS)
+    weights = {"half": 0.5} | {f"s{i}": 0.5 / 150 for i in range(150)}
+    got = sorted((r.mix_slot, r.source) for r in mix(frame, weights, block_rows=1).collect())
+    assert [t for t, _ in got] == list(range(1200))
+    for t in range(1, 600):
+        assert abs(sum(s == "half" for _, s in got[:t]) - t / 2) <= 1

@@ -120,7 +120,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, k: int, bands: int) -
             rows = [None if empty else row for empty, row in zip(bare, keys)]
             part = batch.slice(piece.start, docs)
             yield pa.RecordBatch.from_arrays(
-                [part["key"], part["content"], pa.array(rows, pa.list_(pa.int64()))], names=["key", "content", "bands"]
+                [part["key"], part["node"], pa.array(rows, pa.list_(pa.int64()))], names=["key", "node", "bands"]
             )
 
 
@@ -145,6 +145,11 @@ def document_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), hashed)
 
 
+def text_node() -> Column:
+    """A hash of the text: each distinct text is a node, whatever documents hold it."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(
     documents: DataFrame, words: int = 5, similarity: float = 0.8, k: int = K, bands: int = BANDS
 ) -> DataFrame:
@@ -156,28 +161,10 @@ def near_duplicates(
     one row in the result, whose texts all count. Rows without a doc_id are one document per distinct text. Other columns are
     not read. An empty table gives an empty result.
     """
-    narrow = documents.select("doc_id", "text").select(
-        document_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("content")
-    )
-    signed = stage(
-        narrow.mapInArrow(lambda it: _signed(it, words, k, bands), "key long, content string, bands array<long>"), "signed"
-    )
-    # Equal texts: the least key stands for them, and so does the least key for all texts of one document.
-    exact = stage(
-        signed.groupBy("content").agg(F.min("key").alias("node"), F.first("bands", ignorenulls=True).alias("bands")), "exact"
-    )
-    of_key = signed.select("key", "content").join(exact.select("content", "node"), "content").select("key", "node")
-    of_key = stage(of_key.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last")), "of_key")
-    unstage(signed)
-
-    links = of_key.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))
-    members = _buckets(exact)
-    found = _verified(members, documents, words, similarity)
-    comps = components(found.unionByName(links))
-    unstage(exact, members)
-    classes = of_key.join(comps, "node", "left").select(
-        "key", F.coalesce("comp", F.least("node", "key")).alias("class_id")
-    )
+    of_key, found = _linked_texts(documents, words, similarity, k, bands)
+    several = of_key.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    links = of_key.join(several.select("key", "a"), "key").where("a <> node").select("a", F.col("node").alias("b"))
+    classes = _named_by_key(of_key, components(found.unionByName(links))).groupBy("key").agg(F.min("class_id").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     doc_id = documents.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     nulls = doc_id.where("doc_id IS NULL").select("key").distinct().withColumn("_null", F.lit(True))
@@ -187,6 +174,30 @@ def near_duplicates(
     )
 
 
+def _linked_texts(documents: DataFrame, words: int, similarity: float, k: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct (key, node) of the rows, and verified links (a, b) between nodes."""
+    narrow = documents.select("doc_id", "text").select(
+        document_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), text_node().alias("node")
+    )
+    signed = stage(narrow.mapInArrow(lambda it: _signed(it, words, k, bands), "key long, node long, bands array<long>"), "signed")
+    # Of the documents with one text, the one with the least key gives it.
+    exact = stage(
+        signed.groupBy("node").agg(F.min("key").alias("key"), F.first("bands", ignorenulls=True).alias("bands")), "exact"
+    )
+    of_key = stage(signed.select("key", "node").distinct(), "of_key")
+    unstage(signed)
+    members = _buckets(exact)
+    found = stage(_verified(members, documents, exact, words, similarity), "found")
+    unstage(exact, members)
+    return of_key, found
+
+
+def _named_by_key(of_key: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, comp, class_id): class_id is the least key of a component of texts."""
+    placed = of_key.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    return placed.join(placed.groupBy("comp").agg(F.min("key").alias("class_id")), "comp")
+
+
 def _buckets(exact: DataFrame) -> DataFrame:
     """(bucket, node, n) of the band buckets with n > 1 nodes; of buckets with the same members only one."""
     rows = exact.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
@@ -197,12 +208,12 @@ def _buckets(exact: DataFrame) -> DataFrame:
     return stage(rows.join(one_of_each.select("bucket", "n"), "bucket"), "members")
 
 
-def _verified(members: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(members: DataFrame, documents: DataFrame, exact: DataFrame, words: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) that connect every two nodes that a chain of similar pairs within buckets connects."""
     degrees = stage(members.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     texts = (
-        documents.select(document_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(degrees.select("node"), "node", "left_semi")
+        documents.select(document_key().alias("key"), text_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+        .join(exact.join(degrees, "node").select("key", "node"), ["key", "node"], "left_semi")
         .groupBy("node")
         .agg(F.min("text").alias("text"))
     )
@@ -317,12 +328,18 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def representatives(documents: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the least key, with all of its columns.
+def representatives(
+    documents: DataFrame, words: int = 5, similarity: float = 0.8, k: int = K, bands: int = BANDS
+) -> DataFrame:
+    """One row of each class of near-duplicate texts, of the document with the least key, with all of its columns.
 
-    Rows that share a doc_id are one document; the least of them (by all columns) stays.
+    Different texts of one doc_id that are not near duplicates all stay. Of rows with the same doc_id and text the least (by all
+    columns) stays.
     """
-    kept = near_duplicates(documents, **options).where("key = class_id").select(F.col("key").alias("_key"))
+    of_key, found = _linked_texts(documents, words, similarity, k, bands)
+    placed = _named_by_key(of_key, components(found)).where("key = class_id")
+    kept = placed.groupBy("comp", F.col("key").alias("_key")).agg(F.min("node").alias("_node")).select("_key", "_node")
     rest = [F.col(c) for c in documents.columns]
-    one = documents.withColumn("_key", document_key()).groupBy("_key").agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.join(kept, "_key", "left_semi").select("_row.*")
+    keyed = documents.withColumn("_key", document_key()).withColumn("_node", text_node())
+    one = keyed.groupBy("_key", "_node").agg(F.min(F.struct(*rest)).alias("_row"))
+    return one.join(kept, ["_key", "_node"], "left_semi").select("_row.*")

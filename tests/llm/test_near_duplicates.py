@@ -122,3 +122,18 @@ def test_block_links_stay_within_a_lead():
     )
     links = dartminhash._block_links(frame, 0.8)
     assert sorted(map(tuple, links.to_numpy())) == [(9, 1), (9, 5)]
+
+
+def test_all_texts_of_a_repeated_id_count(spark):
+    rng = random.Random(12)
+    x, y, z = (prose(rng, 100, 10**6) for _ in range(3))
+
+    def near(text, n):
+        return " ".join(w if i != 50 else f"near{n}" for i, w in enumerate(text.split()))
+
+    x, y = "z" + x, "a" + y  # the lesser text is not the one that links
+    data = [(3, x), (5, x), (3, y), (7, near(x, 7)), (9, near(y, 9)), (11, z), (12, near(z, 12))]
+    frame = documents(spark, [(i, t, "en", "s", 1) for i, t in data])
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(frame).collect()}
+    assert got == {3: (3, 4), 5: (3, 4), 7: (3, 4), 9: (3, 4), 11: (11, 2), 12: (11, 2)}
+    assert sorted((r.doc_id, r.text) for r in representatives(frame).collect()) == sorted([(3, x), (3, y), (11, z)])

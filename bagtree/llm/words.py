@@ -66,12 +66,17 @@ class Words:
         return np.repeat(np.arange(len(count)), count)
 
 
-def words_of(texts: list[str | None], in_word: np.ndarray = _IN_WORD, ascii_case: bool = False) -> Words:
-    """Words are maximal runs of ``in_word`` bytes of the lower-cased texts (``ascii_case``: only A-Z are); a null text has none.
+def words_of(
+    texts: list[str | None], in_word: np.ndarray = _IN_WORD, ascii_case: bool = False, keep_case: bool = False
+) -> Words:
+    """Words are maximal runs of ``in_word`` bytes of the lower-cased texts (``ascii_case``: only A-Z are; ``keep_case``: nothing
+    is); a null text has none.
 
     Equal words have equal hashes: sum of byte * step**(places to the word's end), modulo 2**64, mixed with the length.
     """
-    if ascii_case:
+    if keep_case:
+        encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    elif ascii_case:
         encoded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     else:
         encoded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]

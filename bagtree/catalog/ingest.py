@@ -11,7 +11,18 @@ from bagtree.operators.encode import char_ngrams, encode_text, hashed_term_weigh
 from bagtree.operators.features import explode_documents, lookup, vectors_of
 from bagtree.operators.sample import sample_next, unsampled, unsampled_count
 from bagtree.functions.weights import sample_ratio
-from bagtree.sources.captions import caption_counts, caption_rows, image_path, orphan_annotations
+from bagtree.sources.captions import (
+    caption_counts,
+    caption_rows,
+    image_path,
+    numbered_captions,
+    orphan_annotations,
+    read_captioned_images,
+    read_captions,
+    read_metadata,
+    store_images,
+)
+from bagtree.sources.scratch import scratch_path
 
 
 def captioned_items(spark, sf_dir):
@@ -42,6 +53,48 @@ def ingest_captions(spark, sf_dir):
     return images.join(captions, "id", "left").select("id", "dataset", "pos", F.md5("text").alias("text_hash"))
 
 
+@query(
+    """WITH c AS (SELECT DISTINCT conv_id, turn % 2 AS file, turn, text FROM conversations)
+       SELECT doc_id AS id, count(c.text) AS n_captions, count(DISTINCT c.text) AS n_texts, count(DISTINCT file) AS n_files,
+              max(CASE WHEN c.text IS NULL THEN 0 ELSE 1 END) AS captioned, md5(coalesce(min(c.text), '')) AS first_text
+       FROM documents LEFT JOIN c ON conv_id = doc_id GROUP BY doc_id"""
+)
+def ingest_two_files(spark, sf_dir):
+    """Captions written as caption files, those of an item turn about in two, read back, stored twice, and counted."""
+    images, notes = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "conversations")
+    folder, base = scratch_path(spark, "caption_files"), scratch_path(spark, "seeded")
+    known = notes.join(images.withColumnRenamed("doc_id", "conv_id"), "conv_id", "left_semi").distinct()
+    # A caption file is one JSON object, so there are as many as keep each small.
+    bucket = F.pmod(F.xxhash64("id"), F.lit(-(-images.count() // 2000))).alias("bucket")
+    parts = images.select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("file")).select("*", bucket)
+    listed = parts.groupBy("file", "bucket").agg(F.collect_list(F.struct("id", F.col("id").cast("string").alias("file_name"))).alias("images"))
+    told = known.select(F.col("conv_id").alias("id"), F.pmod("turn", F.lit(2)).cast("int").alias("file"), "text").select("*", bucket)
+    annotated = told.groupBy("file", "bucket").agg(
+        F.collect_list(F.struct(F.col("id").alias("image_id"), F.col("text").alias("caption"))).alias("annotations")
+    )
+    whole = listed.join(annotated, ["file", "bucket"], "left").select("images", F.coalesce("annotations", F.array()).alias("annotations"))
+    whole.write.option("maxRecordsPerFile", 1).json(folder)
+    for _ in range(2):
+        items, captions = read_captioned_images(spark, folder, "set")
+        items = items.select(F.col("id").cast("string").alias("id"), "dataset", F.lit(None).cast("binary").alias("content"))
+        store_images(items, captions.withColumn("id", F.col("id").cast("string")), base)
+    stored = read_captions(spark, base)
+    per_item = stored.groupBy("id").agg(
+        F.count("*").alias("n_captions"), F.countDistinct("text").alias("n_texts"), F.countDistinct("source").alias("n_files"), F.min("text").alias("first")
+    )
+    last = numbered_captions(stored).groupBy("id").agg(F.max("pos").alias("last"))
+    counts = read_metadata(spark, base).select("id").join(per_item, "id", "left").join(last, "id", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("bigint")).alias(name)
+    return counts.select(
+        F.col("id").cast("bigint").alias("id"),
+        zero("n_captions"),
+        zero("n_texts"),
+        zero("n_files"),
+        F.when(F.col("last") + 1 == F.col("n_captions"), 1).otherwise(0).alias("captioned"),
+        F.md5(F.coalesce("first", F.lit(""))).alias("first_text"),
+    )
+
+
 @query(
     """SELECT vec_id AS image_id, label FROM embeddings e
        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)"""

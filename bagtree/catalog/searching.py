@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from bagtree.catalog import sql
 from bagtree.catalog.data import THRESHOLD, build_index, captions, picture_features, pictures, test_captions
 from bagtree.catalog.registry import query
+from bagtree.operators.blocks import assign_blocks, block_terms, with_blocks
 from bagtree.operators.feedback import NEAREST_CAPTIONS, feedback_bag
 from bagtree.operators.search import prune, query_terms, search, term_weights
 from bagtree.operators.tree import TreeShape
@@ -77,6 +80,26 @@ def search_topn(spark, sf_dir):
     return _output(search(_self_queries(built), built.index, 5, THRESHOLD, exclude_self=True))
 
 
+def _in_blocks(built, name):
+    """The index with its postings in blocks, made once per session."""
+    key = (id(built), name)
+    if key not in _blocked:
+        placed = assign_blocks(built.index.postings, name)
+        postings = stage(with_blocks(built.index.postings, placed).sortWithinPartitions("term_id", "block"), "postings")
+        _blocked[key] = replace(built.index, postings=postings, blocks=stage(block_terms(postings), "blocks"))
+    return _blocked[key]
+
+
+_blocked: dict[tuple, object] = {}
+
+
+@query(sql.with_ctes([*_SELF_QUERIES, *sql.ranking(5, THRESHOLD, exclude_self=True)], _HITS))
+def search_topn_in_blocks(spark, sf_dir):
+    """The same as ``search_topn``, from blocks of postings: those that cannot hold an answer are not read."""
+    built = pictures(spark, sf_dir)
+    return _output(search(_self_queries(built), _in_blocks(built, "ims"), 5, THRESHOLD, exclude_self=True))
+
+
 _FLAT = [
     sql.PICTURES,
     *sql.tree("pics", k=10, levels=1),
@@ -96,6 +119,12 @@ def search_embeddings(spark, sf_dir):
     return _output(search(_self_queries(built), built.index, 5, 0.005))
 
 
+@query(sql.with_ctes(TEXT_HITS, _HITS))
+def search_text_in_blocks(spark, sf_dir):
+    """The same as ``search_text``, from blocks of postings."""
+    return _output(search(test_captions(spark, sf_dir), _in_blocks(captions(spark, sf_dir), "captions"), 20, THRESHOLD))
+
+
 @query(sql.with_ctes(TEXT_HITS, _HITS))
 def search_text(spark, sf_dir):
     """For every test caption the twenty captioned items nearest to it."""

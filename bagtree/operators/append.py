@@ -1,4 +1,4 @@
-"""Adding documents to a trained tree: new rows only, nothing is rewritten but the per-term totals.
+"""Adding documents to a trained tree: new rows only, nothing is rewritten.
 
 New documents bring new (term, document) pairs, and the children of a split leaf are new terms, so postings only
 grow. A feature whose leaf was split gets a further assignment row at the child; rows at nodes that are no longer
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.functions.paths import ROOT
+from bagtree.functions.paths import ROOT, depth_of
 from bagtree.operators import cluster
 from bagtree.operators.postings import postings_of, term_stats_of
 from bagtree.operators.quantize import quantize
@@ -22,11 +22,12 @@ from bagtree.sources.scratch import stage
 
 @dataclass(frozen=True)
 class Growth:
-    """New nodes, assignments and postings, and the totals of all terms after the append."""
+    """New nodes, assignments and postings, what these add to the totals of terms, and the totals of all terms after it."""
 
     nodes: DataFrame
     assignments: DataFrame
     postings: DataFrame
+    added_stats: DataFrame
     term_stats: DataFrame
 
 
@@ -70,9 +71,10 @@ def append(
         .join(term_stats.select("term_id", "total_tf"), "term_id", "left")
         .select("term_id", (F.col("added") + F.coalesce("total_tf", F.lit(0))).alias("n"))
         .filter(F.col("n") >= shape.min_samples)
-        .collect()
     )
-    frontier = split_worthy(sorted((s["term_id"], s["n"]) for s in sizes), shape)
+    if shape.levels is not None:  # leaves of the last level stay in Spark, however many are full
+        sizes = sizes.filter(depth_of(F.col("term_id")) < shape.levels)
+    frontier = split_worthy(sorted((s["term_id"], s["n"]) for s in sizes.collect()), shape)
     at_leaf, new_nodes = None, None
     rows = placed.unionByName(assignments.select("term_id", "doc_id", "pos", "vec")) if frontier else None
     stay = placed
@@ -89,7 +91,8 @@ def append(
     at_leaf = stay if at_leaf is None else at_leaf.unionByName(stay)
 
     postings = stage(postings.select("term_id", "doc_id", "tf"), "postings")
-    totals = merge_stats(term_stats.select("term_id", "df", "total_tf"), term_stats_of(postings))
+    added = term_stats_of(postings)
+    totals = merge_stats(term_stats.select("term_id", "df", "total_tf"), added)
     tree = F.lit(tree_id).alias("tree_id")
     if new_nodes is None:
         new_nodes = nodes.limit(0).drop("tree_id")
@@ -97,5 +100,6 @@ def append(
         new_nodes.select(tree, "term_id", "parent_id", "depth", "centroid", "n_features"),
         at_leaf.select(tree, "term_id", "doc_id", "pos", "vec"),
         postings,
+        added,
         totals,
     )

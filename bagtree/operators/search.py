@@ -22,15 +22,23 @@ PUSHED_TERMS = 1000
 # Distances are compared at this many digits, so that sums in another order rank alike.
 SCORE_DIGITS = 9
 
+# How far two sums of the same numbers may lie apart.
+_SLACK = 1e-14
+
 
 @dataclass(frozen=True)
 class Index:
-    """One tree's tables: nodes, postings (term_id, doc_id, tf), term_stats (term_id, df, total_tf), docs_count."""
+    """One tree's tables: nodes, postings (term_id, doc_id, tf), term_stats (term_id, df, total_tf), docs_count.
+
+    With ``blocks`` (see ``operators.blocks``), which all postings then name in a column ``block``, a search reads only the
+    blocks of documents that can be among its answers.
+    """
 
     nodes: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     docs_count: DataFrame
+    blocks: DataFrame | None = None
 
     def total_docs(self) -> Column:
         return self.docs_count.select("docs_count").scalar()
@@ -87,6 +95,73 @@ def term_scores(kept: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def open_blocks(kept: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """(query_id, block): the blocks that can hold one of a query's n best documents, as a written table.
+
+    Of each block and term the least and the largest tf are known, so least and largest document weights. A document's part in a
+    term, d_t / sum(d), lies between the quotients with the one extreme above and the other below, and so does its similarity
+    sum(min(q_t, d_t)) (the distance is 2 - 2 times that). The blocks with the best lower bounds that have n documents together
+    give a bar for the n-th best; whatever has a lower upper bound is left closed. So is a block that can only draw level
+    with the bar and whose documents all have larger ids than those n, as ties go to the lower id.
+
+    One row per query, block and shared term is read, no posting. Each task passes on n blocks per query towards the bar.
+    """
+    weight = lambda tf: normalised_tf(F.col(tf), F.col("query_tf"), F.col("total_tf")) * F.col("idf")
+    terms = kept.join(blocks, "term_id").select(
+        "query_id",
+        "block",
+        "n_docs",
+        "min_doc",
+        "max_doc",
+        (F.col("q_weight") / F.col("q_norm")).alias("q"),
+        weight("max_tf").alias("most"),
+        weight("min_tf").alias("least"),
+    )
+    of_block = Window.partitionBy("query_id", "block")
+    others = terms.select(
+        "*",
+        (F.sum("least").over(of_block) - F.col("least")).alias("other_least"),
+        (F.sum("most").over(of_block) - F.col("most")).alias("other_most"),
+    )
+    part = lambda own, other: F.when(F.col(own) > 0, F.col(own) / (F.col(own) + F.greatest(other, F.lit(0.0)))).otherwise(0.0)
+    bounds = others.groupBy("query_id", "block").agg(
+        F.sum(F.least("q", part("most", "other_least"))).alias("upper"),
+        F.sum(F.least("q", part("least", "other_most"))).alias("lower"),
+        F.max("n_docs").alias("n_docs"),
+        F.max("min_doc").alias("min_doc"),
+        F.max("max_doc").alias("max_doc"),
+    )
+    bounds = stage(bounds, "bounds")
+    best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "max_doc", "block")
+    near = bounds.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+    before = F.coalesce(F.sum("n_docs").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = near.withColumn("before", before).filter(F.col("before") < n)
+    # A query whose blocks have fewer than n documents keeps them all.
+    bars = chosen.groupBy("query_id").agg(
+        F.when(F.sum("n_docs") >= n, F.min("lower")).otherwise(F.lit(-1.0)).alias("bar"), F.max("max_doc").alias("last_doc")
+    )
+    level = (F.col("upper") <= F.col("bar") + F.lit(_SLACK)) & (F.col("min_doc") > F.col("last_doc"))
+    fits = (F.col("upper") >= F.col("bar") - F.lit(_SLACK) - F.lit(10.0**-SCORE_DIGITS)) & ~level
+    return stage(bounds.join(bars, "query_id").filter(fits).select("query_id", "block"), "open_blocks")
+
+
+def term_scores_of_blocks(kept: DataFrame, index: Index, blocks: DataFrame) -> DataFrame:
+    """``term_scores`` of the documents in the given (query_id, block) pairs. Few blocks are named to the postings scan."""
+    named = [row["block"] for row in blocks.select("block").distinct().limit(PUSHED_TERMS + 1).collect()]
+    postings = postings_of_terms(index.postings, kept)
+    if len(named) <= PUSHED_TERMS:
+        postings = postings.filter(F.col("block").isin(named))
+    wanted = kept.join(blocks, "query_id")
+    return wanted.join(postings, ["term_id", "block"]).select(
+        "query_id",
+        "term_id",
+        "doc_id",
+        "q_weight",
+        "q_norm",
+        (normalised_tf(F.col("tf"), F.col("query_tf"), F.col("total_tf")) * F.col("idf")).alias("d_weight"),
+    )
+
+
 def distances(scores: DataFrame) -> DataFrame:
     """(query_id, doc_id, distance): L1 distance of the L1-normalised weight vectors.
 
@@ -123,7 +198,11 @@ def search(
     # As a written table the kept terms have a known size: while small they are broadcast to the postings, which then
     # need no exchange.
     kept = stage(kept, "kept")
-    scored = distances(term_scores(kept, postings_of_terms(index.postings, kept)))
+    if index.blocks is None:
+        scores = term_scores(kept, postings_of_terms(index.postings, kept))
+    else:
+        scores = term_scores_of_blocks(kept, index, open_blocks(kept, index.blocks, n + exclude_self))
+    scored = distances(scores)
     if exclude_self:
         scored = scored.filter(F.col("doc_id") != F.col("query_id"))
     scored = scored.withColumn("distance", F.round("distance", SCORE_DIGITS))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bagtree.functions.paths import ROOT, child_term, depth_of
 from bagtree.functions.vectors import zero_vector
 from bagtree.operators import cluster
-from bagtree.sources.scratch import scratch_path, stage
+from bagtree.sources.scratch import path_exists, scratch_path, stage
 
 # The tree shape recommended for vocabulary trees.
 CLUSTERS = 10
@@ -46,11 +46,13 @@ class Tree:
     assignments: DataFrame
 
 
-def split(rows: DataFrame, frontier: cluster.Frontier, dim: int, shape: TreeShape) -> tuple[DataFrame, DataFrame, list]:
+def split(
+    rows: DataFrame, frontier: cluster.Frontier, dim: int, shape: TreeShape, into: str | None = None
+) -> tuple[DataFrame, DataFrame, list]:
     """Split all nodes of the frontier once. ``rows`` holds the rows of these nodes and no others.
 
     Returns the rows with their child's term, the children as (term_id, parent_id, depth, centroid, n_features),
-    and the children's (term_id, size) list. The rows are a written table.
+    and the children's (term_id, size) list. The rows are a written table: in the folder ``into`` if one is given.
     """
     spark = rows.sparkSession
     moved, centroids = None, None
@@ -69,7 +71,11 @@ def split(rows: DataFrame, frontier: cluster.Frontier, dim: int, shape: TreeShap
     if len(frontier) * shape.k * shape.k > shape.order_rows_above:
         # The range goes on into document and position, so a node with very many rows spreads over partitions.
         moved = moved.repartitionByRange("term_id", "doc_id", "pos")
-    moved = stage(moved, "level")
+    if into is None:
+        moved = stage(moved, "level")
+    else:
+        moved.write.mode("overwrite").parquet(into)
+        moved = spark.read.schema(moved.schema).parquet(into)
     counts = moved.groupBy("term_id").count().toArrow().rename_columns(["term_id", "n_features"])
     sizes = sorted(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
     children = centroids.join(spark.createDataFrame(counts), "term_id").select(
@@ -97,11 +103,40 @@ def root_frame(spark, dim: int, n_features: int) -> DataFrame:
     )
 
 
-def train(features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim: int | None = None) -> Tree:
+class Progress:
+    """Finished levels of a training in a folder that outlives the driver: rows, nodes, then a mark. A level without its mark is
+    made again, over what there is of it."""
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def path(self, level: int, part: str) -> str:
+        return f"{self.folder}/level-{level:03d}/{part}"
+
+    def finished(self, level: int) -> bool:
+        return path_exists(self.spark, self.path(level, "finished"))
+
+    def read(self, level: int, rows_schema, nodes_schema) -> tuple[DataFrame, DataFrame, list]:
+        rows = self.spark.read.schema(rows_schema).parquet(self.path(level, "rows"))
+        nodes = self.spark.read.schema(nodes_schema).parquet(self.path(level, "nodes"))
+        sizes = nodes.select("term_id", "n_features").toArrow()
+        return rows, nodes, sorted(zip(sizes.column(0).to_pylist(), sizes.column(1).to_pylist()))
+
+    def finish(self, level: int, nodes: DataFrame) -> DataFrame:
+        nodes.write.mode("overwrite").parquet(self.path(level, "nodes"))
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(self.path(level, "finished"))
+        return self.spark.read.schema(nodes.schema).parquet(self.path(level, "nodes"))
+
+
+def train(
+    features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim: int | None = None, progress: Progress | None = None
+) -> Tree:
     """Train a tree on features (doc_id, pos, vec).
 
     ``features`` is scanned once per round, so pass a stored table, not a plan that encodes text on the way.
-    The driver keeps the open nodes and their sizes, and one block of centroids at a time.
+    The driver keeps the open nodes and their sizes, and one block of centroids at a time. With ``progress`` every level is
+    kept once it is finished, and a training that begins with finished levels goes on after them: the features and the
+    shape must be those of its first run.
     """
     spark = features.sparkSession
     if dim is None:
@@ -111,7 +146,8 @@ def train(features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim
         dim = first["dim"]
     total = features.count()
     rows = features.select(F.lit(ROOT).alias("term_id"), "doc_id", "pos", "vec")
-    nodes, leaves, sizes = root_frame(spark, dim, total), None, [(ROOT, total)]
+    rows_schema, nodes_schema = rows.schema, root_frame(spark, dim, total).schema
+    nodes, leaves, sizes, level = root_frame(spark, dim, total), None, [(ROOT, total)], 0
     while sizes:
         frontier = split_worthy(sizes, shape)
         if len(frontier) < len(sizes):
@@ -120,7 +156,14 @@ def train(features: DataFrame, tree_id: str, shape: TreeShape = TreeShape(), dim
             rows = cluster.rows_of(rows, frontier) if frontier else rows
         if not frontier:
             break
-        rows, children, sizes = split(rows, frontier, dim, shape)
+        level += 1
+        if progress is None:
+            rows, children, sizes = split(rows, frontier, dim, shape)
+        elif progress.finished(level):
+            rows, children, sizes = progress.read(level, rows_schema, nodes_schema)
+        else:
+            rows, children, sizes = split(rows, frontier, dim, shape, progress.path(level, "rows"))
+            children = progress.finish(level, children)
         nodes = nodes.unionByName(children)
     nodes = stage(nodes.select(F.lit(tree_id).alias("tree_id"), "*"), "nodes")
     return Tree(tree_id, nodes, leaves.select(F.lit(tree_id).alias("tree_id"), "term_id", "doc_id", "pos", "vec"))

@@ -57,7 +57,7 @@ class SearchService:
         ids = items.select("id", stored_id)
         self.seed_items(
             items.select(stored_id.alias("id"), "dataset", "content"),
-            captions.join(ids, "id").select(F.col("stored_id").alias("id"), F.col("pos").cast("int").alias("pos"), "text"),
+            captions.join(ids, "id").select(F.col("stored_id").alias("id"), "source", "pos", "text"),
         )
 
     def seed_items(self, items: DataFrame, captions: DataFrame) -> None:
@@ -82,8 +82,8 @@ class SearchService:
         return self.metadata().withColumn("doc_id", F.col("id"))
 
     def _caption_features(self, docs: DataFrame) -> DataFrame:
-        chosen = self.captions().withColumnRenamed("id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
-        return encode_text(chosen, self.encoder)
+        chosen = self.captions().join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+        return encode_text(source.numbered_captions(chosen).withColumnRenamed("id", "doc_id"), self.encoder)
 
     def _picture_features(self, docs: DataFrame) -> DataFrame:
         return self.picture_features.join(docs.select("doc_id"), "doc_id", "left_semi")

@@ -1,12 +1,13 @@
 """Captioned items: the caption file, item metadata and picture files.
 
-Captions are stored as rows (id, pos, text) beside the metadata (id, dataset). A list per item would put all captions
-of an item, however many, into one value; lists are made only in answers about single items.
+Captions are stored as rows (id, source, pos, text) beside the metadata (id, dataset): ``source`` is the file that a caption comes
+from and ``pos`` its place there, so captions of one item may come from any number of files and seeds. A list per item would put all
+captions of an item, however many, into one value; lists are made only in answers about single items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bagtree.sources.scratch import path_exists
@@ -19,7 +20,7 @@ IMAGE_EXTENSION = "jpg"
 
 CONTENT_SCHEMA = "id string, content binary"
 METADATA_SCHEMA = "id string, dataset string"
-CAPTION_SCHEMA = "id string, pos int, text string"
+CAPTION_SCHEMA = "id string, source string, pos int, text string"
 
 
 class OrphanAnnotations(Exception):
@@ -28,15 +29,24 @@ class OrphanAnnotations(Exception):
 
 def read_caption_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of caption files: one JSON object per file, a folder of files spreads over tasks."""
-    content = spark.read.schema(CAPTION_FILE_SCHEMA).option("multiLine", True).json(path)
-    images = content.select(F.explode("images").alias("image")).select("image.id", "image.file_name")
-    annotations = content.select(F.posexplode("annotations").alias("seq", "a")).select("a.image_id", "a.caption", "seq")
-    return images, annotations
+    content = spark.read.schema(CAPTION_FILE_SCHEMA).option("multiLine", True).json(path).select("*", "_metadata.file_name")
+    images = content.select(F.explode("images").alias("image")).select("image.id", "image.file_name").distinct()
+    places = content.select(F.col("file_name").alias("source"), F.posexplode("annotations").alias("seq", "a"))
+    return images, places.select("a.image_id", "a.caption", "seq", "source")
 
 
 def caption_rows(annotations: DataFrame) -> DataFrame:
-    """(id, pos, text); ``pos`` orders the captions of an item as in the file."""
-    return annotations.select(F.col("image_id").alias("id"), F.col("seq").alias("pos"), F.col("caption").alias("text"))
+    """(id, source, pos, text); ``pos`` orders the captions of an item that come from one file."""
+    source = F.col("source") if "source" in annotations.columns else F.lit("")
+    return annotations.select(
+        F.col("image_id").alias("id"), source.alias("source"), F.col("seq").alias("pos"), F.col("caption").alias("text")
+    )
+
+
+def numbered_captions(captions: DataFrame) -> DataFrame:
+    """Captions with ``pos`` counted from 0 per item, over all its sources."""
+    order = Window.partitionBy("id").orderBy("source", "pos", F.md5("text"))
+    return captions.withColumn("pos", F.row_number().over(order) - 1).drop("source")
 
 
 def caption_counts(items: DataFrame, captions: DataFrame) -> DataFrame:
@@ -48,21 +58,26 @@ def caption_counts(items: DataFrame, captions: DataFrame) -> DataFrame:
 def fold_captions(items: DataFrame, captions: DataFrame) -> DataFrame:
     """Items with their ``captions`` as a list, empty without any: for an answer about a few items."""
     lists = captions.join(items.select("id"), "id", "left_semi").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("captions")
+        F.array_sort(F.collect_list(F.struct(*_place(captions), "pos", "text"))).alias("captions")
     )
     return items.join(lists, "id", "left").withColumn(
         "captions", F.coalesce(F.col("captions.text"), F.array().cast("array<string>"))
     )
 
 
+def _place(captions: DataFrame) -> list[str]:
+    return ["source"] if "source" in captions.columns else []
+
+
 def orphan_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti")
 
 
 def read_captioned_images(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """(items, captions) of a caption file: (id, file_name, dataset) and (id, pos, text).
+    """(items, captions) of a caption file, or a folder of them: (id, file_name, dataset) and (id, source, pos, text).
 
-    An item without captions is an item all the same; a caption of an unknown image is an error.
+    An item without captions is an item all the same, one that several files list is one item, with the captions of all; a caption of
+    an unknown image is an error.
     """
     images, annotations = read_caption_file(spark, path)
     orphan = orphan_annotations(images, annotations).first()
@@ -90,20 +105,24 @@ def with_content(items: DataFrame, files: DataFrame, key: str = "file_name") ->
 def store_images(items: DataFrame, captions: DataFrame, base: str) -> None:
     """Store items (id, dataset, content) and their captions: metadata last, so that it never names what is missing.
 
-    An id is stored once: what the tables have already is left out, so a job may run again, whole or after a failure.
-    Within one call the least row of an id counts.
+    An item is stored once: what the tables have already is left out, so a job may run again, whole or after a failure.
+    Within one call the least row of an id counts. A caption is known by item, source, place and text: another text, or the same from
+    another file, is a further caption, also of an item that is stored already. ``captions`` is (id, pos, text), with or without source.
     """
     spark = items.sparkSession
     new = items.groupBy("id").agg(F.min(F.struct("dataset", "content")).alias("item")).select("id", "item.*")
-    lines = captions.groupBy("id", "pos").agg(F.min("text").alias("text"))
+    source = F.coalesce("source", F.lit("")) if "source" in captions.columns else F.lit("")
+    lines = captions.select("id", source.alias("source"), F.col("pos").cast("int").alias("pos"), "text").distinct()
     for rows, table, schema, keys in (
         (new.select("id", "content"), "content", CONTENT_SCHEMA, ["id"]),
-        (lines.select("id", "pos", "text"), "captions", CAPTION_SCHEMA, ["id", "pos"]),
+        (lines, "captions", CAPTION_SCHEMA, ["id", "source", "pos", "text"]),
         (new.select("id", "dataset"), "image_metadata", METADATA_SCHEMA, ["id"]),
     ):
         path = f"{base}/{table}"
-        stored = spark.read.schema(schema).parquet(path).select(*keys) if path_exists(spark, path) else None
-        fresh = rows if stored is None else rows.join(stored, keys, "left_anti")
+        fresh = rows
+        if path_exists(spark, path):
+            stored = spark.read.schema(schema).parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            fresh = rows.join(stored, [rows[k].eqNullSafe(stored[f"_{k}"]) for k in keys], "left_anti")
         writer = fresh.write.mode("append")
         (writer.partitionBy("dataset") if table == "image_metadata" else writer).parquet(path)
 

@@ -1,12 +1,17 @@
 """The stored index: parquet tables per namespace, partitioned by tree and batch.
 
-A batch (the training, or one append) writes its own partition of each table in overwrite mode and then its row
-of the commit table. Readers take committed batches only, so a batch that dies half-way is invisible and can
-simply run again.
+A batch (the training, or one append) writes its own partition of each table in overwrite mode and then its commit: one
+small file that carries the batch's sequence number as its name and appears whole or not at all. Readers take committed
+batches only, so a batch that dies half-way, at whatever step, is invisible, blocks nobody and can simply run again.
+
+Totals of terms are stored as what each batch adds. A read sums them; ``fold_totals`` writes the sum up to a commit, which
+later reads start from.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -17,8 +22,12 @@ from bagtree.operators.append import current_assignments
 from bagtree.operators.search import Index
 from bagtree.operators.tree import NODE_SCHEMA, with_sizes
 
-_TABLES = ("nodes", "assignments", "postings", "term_stats", "sample_log", "commits", "trees")
-_COMMIT_SCHEMA = "tree_id string, batch_id string, seq int, docs_count long, committed_at timestamp"
+_TABLES = ("nodes", "assignments", "postings", "blocks", "term_stats", "totals", "sample_log", "commits", "progress", "trees")
+_STATS_SCHEMA = "tree_id string, term_id string, df long, total_tf long"
+_BLOCK_SCHEMA = "tree_id string, term_id string, block string, n_docs long, max_tf long, min_tf long, min_doc {doc}, max_doc {doc}"
+
+# Totals are folded once so many batches have come since the last fold.
+FOLD_EVERY = 16
 _TREE_SCHEMA = "namespace string, tree_id string, created_at timestamp, state string"
 
 
@@ -38,6 +47,7 @@ class IndexTables:
 
     def __init__(self, spark: SparkSession, base: str, namespace: str, doc_type: str = "bigint") -> None:
         self.spark, self.base, self.namespace, self.doc_type = spark, base.rstrip("/"), namespace, doc_type
+        self._seen: dict[str, Commit] = {}  # commit files never change
 
     def path(self, table: str) -> str:
         if table not in _TABLES:
@@ -68,12 +78,35 @@ class IndexTables:
         for table in _TABLES:
             self._delete(f"{self.path(table)}/tree_id={tree_id}")
 
+    def claim_training(self, tree_id: str) -> str:
+        """Take the one training place of the namespace; returns the tree that has it, which is another's if it was taken."""
+        path = self._training_claim()
+        return tree_id if self._create(path, tree_id) else self._content(path)
+
+    def release_training(self) -> None:
+        self._delete(self._training_claim())
+
+    def _training_claim(self) -> str:
+        return f"{self.base}/{self.namespace}_training"
+
+    def drop_progress(self, tree_id: str) -> None:
+        self._delete(f"{self.path('progress')}/tree_id={tree_id}")
+
     # --- batches
 
     def commits(self, tree_id: str) -> list[Commit]:
-        """Committed batches in order. One small row per batch."""
-        rows = self._read_all("commits", _COMMIT_SCHEMA, f"/tree_id={tree_id}/*").collect()
-        return sorted((Commit(r["batch_id"], r["seq"], r["docs_count"]) for r in rows), key=lambda c: c.seq)
+        """Committed batches in order. One small file per batch, each read once."""
+        folder = f"{self.path('commits')}/tree_id={tree_id}"
+        fs, pattern = self._fs(f"{folder}/seq-*.json")
+        found = []
+        for status in fs.globStatus(pattern) or []:
+            path = status.getPath().toString()
+            key = f"{path}@{status.getModificationTime()}"  # a dropped tree's id may come again
+            if key not in self._seen:
+                row = json.loads(self._content(path))
+                self._seen[key] = Commit(row["batch_id"], row["seq"], row["docs_count"])
+            found.append(self._seen[key])
+        return sorted(found, key=lambda c: c.seq)
 
     def write_batch(self, tree_id: str, batch_id: str, **tables: DataFrame) -> None:
         for table, df in tables.items():
@@ -81,26 +114,43 @@ class IndexTables:
             own.write.mode("overwrite").parquet(f"{self.path(table)}/tree_id={tree_id}/batch_id={batch_id}")
 
     def commit(self, tree_id: str, batch_id: str, seq: int, docs_count: int) -> None:
-        """Make a batch visible. Of two batches with one sequence number only the first is committed."""
-        self._claim(f"{self.path('commits')}/tree_id={tree_id}/_seq-{seq:09d}", batch_id)
-        row = self.spark.range(1).select(
-            F.lit(tree_id).alias("tree_id"),
-            F.lit(batch_id).alias("batch_id"),
-            F.lit(seq).alias("seq"),
-            F.lit(docs_count).cast("long").alias("docs_count"),
-            F.current_timestamp().alias("committed_at"),
-        )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('commits')}/tree_id={tree_id}/{batch_id}")
+        """Make a batch visible. Of two batches with one sequence number only the first is committed; a batch may commit again."""
+        path = f"{self.path('commits')}/tree_id={tree_id}/seq-{seq:09d}.json"
+        if not self._create(path, json.dumps({"batch_id": batch_id, "seq": seq, "docs_count": docs_count})):
+            holder = json.loads(self._content(path))["batch_id"]
+            if holder != batch_id:
+                raise ConcurrentCommit(f"{path} belongs to {holder}; run the batch again")
+
+    # --- totals
+
+    def fold_totals(self, tree_id: str) -> int | None:
+        """Write the totals of all commits as one table, from which later reads go on. Returns the commit's number; None if there is
+        nothing new. Folds of one commit are equal, so two at once do no harm."""
+        commits, folded = self.commits(tree_id), self._folded(tree_id)
+        if not commits or (folded is not None and folded >= commits[-1].seq):
+            return None
+        seq, folder = commits[-1].seq, f"{self.path('totals')}/tree_id={tree_id}"
+        path = f"{folder}/{seq:09d}-{uuid.uuid4().hex}"
+        self.term_stats(tree_id).drop("tree_id").write.parquet(path)
+        self._create(f"{folder}/_fold-{seq:09d}.json", json.dumps({"seq": seq, "path": path}))
+        return seq
+
+    def unfolded(self, tree_id: str) -> int:
+        """How many batches a read of the totals adds up on top of the last fold."""
+        folded = self._folded(tree_id)
+        return sum(folded is None or c.seq > folded for c in self.commits(tree_id))
+
+    def _folded(self, tree_id: str) -> int | None:
+        folds = self._files(f"{self.path('totals')}/tree_id={tree_id}/_fold-*.json")
+        return max((int(path.rsplit("-", 1)[1].split(".")[0]) for path in folds), default=None)
 
     # --- reading one tree
 
     def nodes(self, tree_id: str) -> DataFrame:
         """The tree's nodes; their sizes are those after the last batch."""
         nodes = self._read(tree_id, "nodes", NODE_SCHEMA)
-        last = self.commits(tree_id)[-1:]
-        if not last or not self._glob(f"{self.path('term_stats')}/tree_id={tree_id}/batch_id={last[0].batch_id}"):
-            return nodes  # without totals the sizes are those at the nodes' making
-        return with_sizes(nodes, self.term_stats(tree_id))
+        # Nodes without totals keep the sizes of their making.
+        return with_sizes(nodes, self.term_stats(tree_id)) if self.commits(tree_id) else nodes
 
     def assignments(self, tree_id: str) -> DataFrame:
         """Each feature at its current leaf."""
@@ -108,11 +158,21 @@ class IndexTables:
         return current_assignments(rows, self.nodes(tree_id))
 
     def postings(self, tree_id: str) -> DataFrame:
-        return self._read(tree_id, "postings", f"tree_id string, term_id string, doc_id {self.doc_type}, tf long")
+        return self._read(tree_id, "postings", f"tree_id string, term_id string, doc_id {self.doc_type}, tf long, block string")
+
+    def blocks(self, tree_id: str) -> DataFrame:
+        """What is known of each block of documents and term; empty where batches were written without blocks."""
+        return self._read(tree_id, "blocks", _BLOCK_SCHEMA.format(doc=self.doc_type))
 
     def term_stats(self, tree_id: str) -> DataFrame:
-        """Totals of all terms; every batch writes them in full, the last one counts."""
-        return self._read(tree_id, "term_stats", "tree_id string, term_id string, df long, total_tf long", last_only=True)
+        """Totals of all terms: the last fold and what later batches added."""
+        folded = self._folded(tree_id)
+        added = self._read(tree_id, "term_stats", _STATS_SCHEMA, after=folded)
+        if folded is not None:
+            path = json.loads(self._content(f"{self.path('totals')}/tree_id={tree_id}/_fold-{folded:09d}.json"))["path"]
+            own = self.spark.read.schema(_STATS_SCHEMA.split(", ", 1)[1]).parquet(path)
+            added = own.withColumn("tree_id", F.lit(tree_id)).unionByName(added)
+        return added.groupBy("tree_id", "term_id").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
 
     def sample_log(self, tree_id: str) -> DataFrame:
         schema = f"doc_id {self.doc_type}, tree_id string, namespace string, sampled_at timestamp"
@@ -125,53 +185,68 @@ class IndexTables:
             self.postings(tree_id).drop("tree_id"),
             self.term_stats(tree_id).drop("tree_id"),
             self.spark.range(1).select(F.lit(docs_count).cast("long").alias("docs_count")),
+            self.blocks(tree_id).drop("tree_id"),
         )
 
-    def _read(self, tree_id: str, table: str, schema: str, last_only: bool = False) -> DataFrame:
-        commits = self.commits(tree_id)[-1:] if last_only else self.commits(tree_id)
+    def _read(self, tree_id: str, table: str, schema: str, after: int | None = None) -> DataFrame:
+        """The table's partitions of all committed batches, or of those after a commit; a batch need not have the table."""
+        commits = [c for c in self.commits(tree_id) if after is None or c.seq > after]
         own = ", ".join(part for part in schema.split(", ") if part.split()[0] not in ("tree_id", "namespace"))
         columns = [part.split()[0] for part in schema.split(", ") if part.split()[0] != "namespace"]
-        if commits:
-            paths = [f"{self.path(table)}/tree_id={tree_id}/batch_id={c.batch_id}" for c in commits]
-            rows = self.spark.read.schema(own).parquet(*paths)
-        else:
-            rows = self.spark.createDataFrame([], own)
+        written = {path.rsplit("=", 1)[1] for path in self._files(f"{self.path(table)}/tree_id={tree_id}/batch_id=*")} if commits else set()
+        paths = [f"{self.path(table)}/tree_id={tree_id}/batch_id={c.batch_id}" for c in commits if c.batch_id in written]
+        rows = self.spark.read.schema(own).parquet(*paths) if paths else self.spark.createDataFrame([], own)
         return rows.withColumn("tree_id", F.lit(tree_id)).select(*columns)
 
     def _read_all(self, table: str, schema: str, below: str = "/*") -> DataFrame:
         pattern = f"{self.path(table)}{below}"
-        if not self._glob(pattern):
+        if not self._files(pattern):
             return self.spark.createDataFrame([], schema)
         # The folder names repeat what the rows say and are not read as columns.
         return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(pattern)
 
     # --- file system
 
-    def _claim(self, path: str, owner: str) -> None:
-        """Create a file that only one owner can have. The same owner may claim it again."""
-        fs, hadoop_path = self._fs(path)
+    def _create(self, path: str, content: str) -> bool:
+        """Make a file that appears whole, or not at all if it is there already: written aside, then linked or renamed without
+        overwriting. False if it was there. Whoever dies before leaves nothing but a hidden file that nobody reads."""
+        fs, final = self._fs(path)
+        aside = self._fs(f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")[1]
+        out = fs.create(aside, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         try:
-            out = fs.create(hadoop_path, False)
-        except Py4JJavaError as error:
-            if not fs.exists(hadoop_path):
+            if fs.getScheme() == "file":
+                local = [jvm.java.io.File(fs.makeQualified(p).toUri().getPath()).toPath() for p in (final, aside)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                context.rename(aside, final, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            return True
+        except Py4JJavaError:
+            if not fs.exists(final):
                 raise
-            stream = fs.open(hadoop_path)
-            holder = stream.readLine()
+            return False
+        finally:
+            fs.delete(aside, False)
+
+    def _content(self, path: str) -> str:
+        fs, hadoop_path = self._fs(path)
+        stream = fs.open(hadoop_path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
             stream.close()
-            if holder != owner:
-                raise ConcurrentCommit(f"{path} belongs to {holder}; run the batch again") from error
-            return
-        out.write(bytearray(owner.encode()))
-        out.close()
+
+    def _files(self, pattern: str) -> list[str]:
+        fs, path = self._fs(pattern)
+        return [status.getPath().toString() for status in fs.globStatus(path) or []]
 
     def _fs(self, path: str):
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
-    def _glob(self, pattern: str) -> bool:
-        fs, path = self._fs(pattern)
-        return bool(fs.globStatus(path))
-
     def _delete(self, path: str) -> None:
         fs, hadoop_path = self._fs(path)
         if fs.exists(hadoop_path):

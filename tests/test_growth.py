@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagtree.operators.append import append, current_assignments
+from bagtree.operators.blocks import block_terms
 from bagtree.operators.postings import postings_of, term_stats_of
-from bagtree.operators.tree import TreeShape, leaf_nodes, train
-from bagtree.plans.index_jobs import abandon_training, active_tree_id, populate, start_training
+from bagtree.operators.search import search
+from bagtree.operators.tree import TreeShape, leaf_nodes, split, train
+from bagtree.operators.versions import TrainingInProgress
+from bagtree.plans.index_jobs import NothingToResume, abandon_training, active_tree_id, populate, resume_training, start_training
 from bagtree.sources.scratch import stage
 from bagtree.sources.tables import ConcurrentCommit, IndexTables
 from bagtree.streaming.populate import document_stream, populate_stream
@@ -168,6 +171,87 @@ def test_a_dead_training_can_be_dropped(stored):
     assert [r["state"] for r in tables.trees().collect()] == ["ready"]
 
 
+def test_two_trainings_at_once(stored):
+    tables, docs, features_of = stored
+    refused = []
+
+    def meanwhile(chosen):  # another training begins while this one reads its features
+        with pytest.raises(TrainingInProgress):
+            start_training(tables, docs, features_of, 10**6, SHAPE)
+        refused.append(True)
+        return features_of(chosen)
+
+    tree_id = start_training(tables, docs, meanwhile, 10**6, SHAPE)
+    assert refused and [r["tree_id"] for r in tables.trees().collect()] == [tree_id]
+    check_whole(tables, tree_id)
+
+
+@pytest.mark.parametrize("levels_done", [0, 1, 2])
+def test_a_dead_training_goes_on(stored, monkeypatch, levels_done):
+    """The driver dies while it makes a level: the next one reads the finished levels and ends with the same tree."""
+    tables, docs, features_of = stored
+    shape = replace(SHAPE, levels=3, min_samples=10)
+    whole = train(features_of(docs), "whole", shape)
+    made = []
+
+    def deadly(*args, **kwargs):
+        if len(made) == levels_done:
+            raise KeyboardInterrupt  # no handler of ours runs: what a killed process leaves
+        made.append(True)
+        return split(*args, **kwargs)
+
+    with monkeypatch.context() as broken:
+        broken.setattr("bagtree.operators.tree.split", deadly)
+        with pytest.raises(KeyboardInterrupt):
+            start_training(tables, docs, features_of, 10**6, shape, "t")
+    with pytest.raises(TrainingInProgress):
+        start_training(tables, docs, features_of, 10**6, shape)
+
+    again = []
+    monkeypatch.setattr("bagtree.operators.tree.split", lambda *a, **k: again.append(True) or split(*a, **k))
+    assert resume_training(tables) == "t" and len(again) == 3 - levels_done
+    check_whole(tables, "t")
+    assert rows_of(tables.nodes("t"), "term_id", "n_features") == rows_of(whole.nodes, "term_id", "n_features")
+    assert rows_of(tables.assignments("t"), "term_id", "doc_id", "pos") == rows_of(whole.assignments, "term_id", "doc_id", "pos")
+    assert [r["state"] for r in tables.trees().collect()] == ["ready"]
+    with pytest.raises(NothingToResume):
+        resume_training(tables)
+
+
+def test_totals_are_folded_in_time(stored, monkeypatch):
+    tables, docs, features_of = stored
+    monkeypatch.setattr("bagtree.plans.index_jobs.FOLD_EVERY", 2)
+    tree_id = start_training(tables, docs.filter("doc_id < 30"), features_of, 10**6, SHAPE)
+    for top in (40, 50, 60):
+        assert populate(tables, docs.filter(F.col("doc_id") < top), features_of, SHAPE)
+    assert tables.unfolded(tree_id) < 2
+    check_whole(tables, tree_id)
+    # What a batch writes of the totals is what it adds.
+    last = tables.commits(tree_id)[-1].batch_id
+    added = tables.spark.read.parquet(f"{tables.path('term_stats')}/tree_id={tree_id}/batch_id={last}")
+    assert added.filter("term_id = '0'").first()["df"] == 10
+
+
+def test_blocks_of_a_grown_index(stored):
+    """Blocks name every posting's extremes after appends and splits, and searches through them equal searches without."""
+    tables, docs, features_of = stored
+    shape = replace(SHAPE, levels=4, min_samples=20)
+    tree_id = start_training(tables, docs.filter("doc_id < 25"), features_of, 10**6, SHAPE)
+    for top in (45, 60):
+        populate(tables, docs.filter(F.col("doc_id") < top), features_of, shape)
+    check_whole(tables, tree_id)
+    index = tables.index(tree_id)
+    recount = block_terms(index.postings)
+    columns = ("term_id", "block", "n_docs", "max_tf", "min_tf", "min_doc", "max_doc")
+    assert rows_of(index.blocks, *columns) == rows_of(recount, *columns)
+    assert index.postings.groupBy("doc_id").agg(F.countDistinct("block").alias("n")).filter("n > 1").count() == 0
+    queries = features_of(docs).withColumnRenamed("doc_id", "query_id")
+    for threshold in (0.0001, 0.05):
+        with_blocks = search(queries, index, 5, threshold)
+        without = search(queries, replace(index, blocks=None), 5, threshold)
+        assert sorted(with_blocks.collect()) == sorted(without.collect()) != []
+
+
 def test_documents_given_twice_count_once(stored):
     tables, docs, features_of = stored
     tree_id = start_training(tables, docs.unionByName(docs), features_of, 10**6, SHAPE)

@@ -39,6 +39,45 @@ def test_caption_file(spark, data_set):
     assert counts == {i: 2 if i else 0 for i in range(30)}
 
 
+def caption_file(path, images, notes):
+    listed = [{"id": i, "file_name": f"p{i}.jpg"} for i in images]
+    path.write_text(json.dumps({"images": listed, "annotations": [{"image_id": i, "caption": c} for i, c in notes]}))
+
+
+def test_captions_of_one_item_from_several_files(spark, tmp_path):
+    """Places repeat over files; no caption is lost, and the item is one."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    caption_file(folder / "a.json", [1, 2], [(1, "one"), (1, "two"), (2, "three")])
+    caption_file(folder / "b.json", [1], [(1, "four"), (1, "two"), (1, "one")])
+    items, captions = source.read_captioned_images(spark, str(folder), "set")
+    assert sorted(r["id"] for r in items.collect()) == [1, 2]
+    base = str(tmp_path / "store")
+    items = items.select(F.col("id").cast("string").alias("id"), "dataset", F.lit(b"x").alias("content"))
+    captions = captions.withColumn("id", F.col("id").cast("string"))
+    for _ in range(2):
+        source.store_images(items, captions, base)
+        stored = {(r["id"], r["source"], r["text"]) for r in source.read_captions(spark, base).collect()}
+        assert source.read_captions(spark, base).count() == len(stored) == 6
+    numbered = source.numbered_captions(source.read_captions(spark, base)).orderBy("id", "pos").collect()
+    assert [(r["id"], r["pos"], r["text"]) for r in numbered] == [
+        ("1", 0, "one"), ("1", 1, "two"), ("1", 2, "four"), ("1", 3, "two"), ("1", 4, "one"), ("2", 0, "three"),
+    ]
+
+
+def test_new_captions_of_a_known_item(spark, tmp_path):
+    base = str(tmp_path / "store")
+    items = spark.createDataFrame([("i", "set", b"x")], "id string, dataset string, content binary")
+    lines = lambda *texts: spark.createDataFrame([("i", n, t) for n, t in enumerate(texts)], "id string, pos int, text string")
+    source.store_images(items, lines("a", "b"), base)
+    source.store_images(items, lines("c", "b"), base)
+    source.store_images(items, lines("a", "b"), base)
+    assert sorted(r["text"] for r in source.read_captions(spark, base).collect()) == ["a", "b", "c"]
+    assert source.read_metadata(spark, base).count() == 1
+    folded = source.fold_captions(items.select("id"), source.read_captions(spark, base)).first()
+    assert folded["captions"] == ["a", "c", "b"]
+
+
 def test_orphan_caption_is_an_error(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"images": [{"id": 1, "file_name": "a"}], "annotations": [{"image_id": 2, "caption": "x"}]}))

@@ -10,6 +10,7 @@ from bagtree.catalog.ingest import captioned_items
 from bagtree.catalog.registry import query
 from bagtree.catalog.searching import TEXT_HITS
 from bagtree.operators import evaluate as quality
+from bagtree.operators import metric
 from bagtree.operators.search import search
 from bagtree.sources.captions import caption_counts
 from bagtree.sources.scratch import stage
@@ -42,6 +43,14 @@ def exact_topk(spark, sf_dir):
     return _exact(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(sql.with_ctes(_EXACT, "SELECT query_id, rank, doc_id, round(similarity, 6) AS similarity FROM best"))
+def exact_topk_by_tree(spark, sf_dir):
+    """The same as ``exact_topk``, through the caption tree: leaves that cannot hold an answer are passed over."""
+    built = captions(spark, sf_dir)
+    found = metric.exact_topk_by_tree(built.tree.assignments, built.index.nodes, test_captions(spark, sf_dir))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(sql.with_ctes(_EXACT, "SELECT query_id, CAST(21 - rank AS INTEGER) AS rank, round(similarity, 6) AS relevance FROM best"))
 def ideal_relevances(spark, sf_dir):
     """The best possible similarities, smallest first."""

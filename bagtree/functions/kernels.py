@@ -312,6 +312,150 @@ def densify_udf(dim: int):
     return densify
 
 
+def _merge_best(best: pa.Table | None, found: pa.Table, n: int) -> pa.Table:
+    """(query, doc_id, similarity) rows together, one per query and document, cut to n per query."""
+    if best is not None:
+        found = pa.concat_tables([best, found])
+    found = found.group_by(["query", "doc_id"]).aggregate([("similarity", "max")])
+    found = found.rename_columns(["query", "doc_id", "similarity"])
+    order = pc.sort_indices(
+        found, sort_keys=[("query", "ascending"), ("similarity", "descending"), ("doc_id", "ascending")]
+    )
+    found = found.take(order)
+    place, _ = _places(found)
+    return found.filter(pa.array(place < n))
+
+
+def _places(sorted_rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    query = sorted_rows.column("query").to_numpy()
+    first = np.append(True, query[1:] != query[:-1])[: len(query)]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+    return np.arange(len(query)) - start, query
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norms = np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+    return x / np.where(norms == 0, 1.0, norms)
+
+
+def angle_udf():
+    """Angle between two vectors, and the straight angle (which bounds all) where one of them has no direction."""
+
+    @F.arrow_udf("double")
+    def angle(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = vector_matrix(a).astype(np.float64), vector_matrix(b).astype(np.float64)
+        if not len(x):
+            return pa.array([], pa.float64())
+        cosine = np.einsum("nd,nd->n", _unit(x), _unit(y))
+        pathless = ~(x.any(axis=1) & y.any(axis=1))
+        return pa.array(np.where(pathless, np.pi, np.arccos(np.clip(cosine, -1, 1))))
+
+    return angle
+
+
+def nearest_balls(queries: Broadcast, m: int):
+    """(term_id, centre, n_docs) -> the m balls of this partition whose centres are nearest to each query's direction."""
+
+    def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = queries.value
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = matrix @ _unit(vector_matrix(batch.column(1)).astype(np.float64)).T
+            if scores.shape[1] > m:
+                column = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+            else:
+                column = np.tile(np.arange(scores.shape[1]), (len(matrix), 1))
+            row = np.repeat(np.arange(len(matrix)), column.shape[1])
+            column = column.reshape(-1)
+            found = pa.table(
+                {
+                    "query": pa.array(row),
+                    "doc_id": batch.column(0).take(pa.array(column)),
+                    "similarity": pa.array(scores[row, column]),
+                    "n_docs": batch.column(2).take(pa.array(column)),
+                }
+            )
+            held = found if held is None else pa.concat_tables([held, found])
+            order = pc.sort_indices(held, sort_keys=[("query", "ascending"), ("similarity", "descending"), ("doc_id", "ascending")])
+            held = held.take(order)
+            held = held.filter(pa.array(_places(held)[0] < m)).combine_chunks()
+        if held is not None:
+            yield from held.rename_columns(["query", "term_id", "cosine", "n_docs"]).to_batches()
+
+    return reduce_partition
+
+
+def open_balls(shared: Broadcast, slack: float, chunk: int):
+    """(term_id, upper_id, centre, radius) -> (term_id, queries): the queries that a ball may hold an answer of, in lists of at most
+    ``chunk``. ``shared`` is (unit queries, their bars, upper nodes' terms, unit centres, radii): a ball below an upper node is compared with
+    the queries that the upper node is open to, and not at all if there are none."""
+
+    def bounds(matrix: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        theta = np.arccos(np.clip(matrix @ centres.T, -1, 1))
+        return np.maximum(np.cos(np.maximum(theta - radius[None, :], 0.0)), 0.0) + slack
+
+    def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, bars, terms, upper_centres, upper_radius = shared.value
+        open_above = bounds(matrix, upper_centres, upper_radius) >= bars[:, None]
+        for batch in batches:
+            above = pc.index_in(batch.column(1), value_set=terms).to_numpy(zero_copy_only=False)
+            centres = _unit(vector_matrix(batch.column(2)).astype(np.float64))
+            radius = batch.column(3).to_numpy()
+            for node in np.unique(above):
+                mine, asked = np.flatnonzero(above == node), np.flatnonzero(open_above[:, int(node)])
+                if not len(asked):
+                    continue
+                fits = bounds(matrix[asked], centres[mine], radius[mine]) >= bars[asked][:, None]
+                ball, query = np.nonzero(fits.T)
+                lists, owners = [], []
+                for i in np.unique(ball):
+                    own = asked[query[ball == i]]
+                    for at in range(0, len(own), chunk):
+                        lists.append(own[at : at + chunk].astype(np.int32))
+                        owners.append(mine[i])
+                if lists:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(owners)), pa.array(lists, pa.list_(pa.int32()))], names=["term_id", "queries"]
+                    )
+
+    return reduce_partition
+
+
+def best_of_lists(shared: Broadcast, n: int, digits: int):
+    """(doc_id, vec, queries) -> the n best documents of each query in this partition, every row being compared with the queries of its
+    list and no others. ``shared`` is (query ids as an Arrow array, unit queries, their bars)."""
+
+    def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, bars = shared.value
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(vector_matrix(batch.column(1), matrix.shape[1]).astype(np.float64))
+            lists = batch.column(2)
+            number = np.diff(lists.offsets.to_numpy())
+            query = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(x)), number)
+            for at in range(0, len(row), 1 << 18):
+                r, q = row[at : at + (1 << 18)], query[at : at + (1 << 18)]
+                scores = np.round(np.maximum(np.einsum("nd,nd->n", x[r], matrix[q]), 0.0), digits)
+                good = scores >= bars[q]
+                if good.any():
+                    found = {"query": pa.array(q[good]), "doc_id": batch.column(0).take(pa.array(r[good])), "similarity": pa.array(scores[good])}
+                    best = _merge_best(best, pa.table(found), n)
+        if best is not None and best.num_rows:
+            columns = {
+                "query_id": ids.take(best.column("query").combine_chunks()),
+                "doc_id": best.column("doc_id"),
+                "similarity": best.column("similarity"),
+            }
+            yield from pa.table(columns).combine_chunks().to_batches()
+
+    return reduce_partition
+
+
 def best_similarities(queries: Broadcast, n: int, digits: int):
     """(doc_id, vec) -> the n best documents per query of this partition, by cosine clamped at 0.
 
@@ -320,25 +464,6 @@ def best_similarities(queries: Broadcast, n: int, digits: int):
     ``queries`` is (query ids as an Arrow array, unit rows as float64).
     """
 
-    def merge(best: pa.Table | None, found: pa.Table) -> pa.Table:
-        """Both together, one row per query and document, cut to n per query."""
-        if best is not None:
-            found = pa.concat_tables([best, found])
-        found = found.group_by(["query", "doc_id"]).aggregate([("similarity", "max")])
-        found = found.rename_columns(["query", "doc_id", "similarity"])
-        order = pc.sort_indices(
-            found, sort_keys=[("query", "ascending"), ("similarity", "descending"), ("doc_id", "ascending")]
-        )
-        found = found.take(order)
-        place, _ = places(found)
-        return found.filter(pa.array(place < n))
-
-    def places(sorted_rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        query = sorted_rows.column("query").to_numpy()
-        first = np.append(True, query[1:] != query[:-1])[: len(query)]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
-        return np.arange(len(query)) - start, query
-
     def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = queries.value
         step = max(1, _SCORE_BYTES // (len(ids) * 8))
@@ -366,8 +491,8 @@ def best_similarities(queries: Broadcast, n: int, digits: int):
                         "similarity": pa.array(scores[doc, query]),
                     }
                 )
-                best = merge(best, found)
-                place, query = places(best)
+                best = _merge_best(best, found, n)
+                place, query = _places(best)
                 full = place == n - 1
                 bar[query[full]] = best.column("similarity").to_numpy()[full]
         if best is not None and best.num_rows:

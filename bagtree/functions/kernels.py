@@ -7,6 +7,7 @@ keep one entry per node of that codebook and partition, so their memory has the
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from typing import Iterator, NamedTuple, Tuple
 
@@ -223,6 +224,29 @@ def cluster_sums(book: Broadcast):
     return reduce_partition
 
 
+def cluster_counts(book: Broadcast):
+    """(term_id, vec) -> (term_id, cluster, n): how many rows of the partition are nearest to each centroid."""
+
+    def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codebook = Codebook(*book.value)
+        nodes, slots, dim = codebook.centroids.shape
+        centroids = _Centroids(codebook.centroids)
+        counts = np.zeros(nodes * slots, dtype=np.int64)
+        for batch in batches:
+            row = _rows_of(batch.column(0), codebook)
+            known = row >= 0
+            if known.any():
+                slot = centroids.nearest(vector_matrix(batch.column(1), dim)[known], row[known])
+                counts += np.bincount(row[known].astype(np.int64) * slots + slot, minlength=nodes * slots)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [codebook.parents.take(pa.array(met // slots)), pa.array((met % slots).astype(np.int32)), pa.array(counts[met])],
+            names=["term_id", "cluster", "n"],
+        )
+
+    return reduce_partition
+
+
 def merge_cluster_sums(partials: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``cluster_sums``, all of a cluster in one partition -> (term_id, cluster, n, centroid)."""
     merged: dict[tuple[str, int], int] = {}
@@ -296,6 +320,126 @@ def seed_race(book: Broadcast, first: bool):
     return reduce_partition
 
 
+def seed_races(book: Broadcast, take: int):
+    """(term_id, vec, hash, u) -> the ``take`` rows of each node that win the partition, by the race of ``seed_race``: together they are
+    draws without repeats, each with probability proportional to the squared distance to the seeds so far."""
+
+    def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codebook = Codebook(*book.value)
+        parents, dim = codebook.parents, codebook.centroids.shape[2]
+        centroids = _Centroids(codebook.centroids)
+        held = None
+        for batch in batches:
+            row = _rows_of(batch.column(0), codebook)
+            known = np.flatnonzero(row >= 0)
+            if len(known) == 0:
+                continue
+            x, node = vector_matrix(batch.column(1), dim)[known], row[known]
+            u = batch.column(3).to_numpy(zero_copy_only=False)[known]
+            weight = centroids.squared_distance(x, node, centroids.nearest(x, node))
+            with np.errstate(divide="ignore"):
+                time = -np.log(np.maximum(u, 2.0**-53)) / weight
+            hashes = np.array(batch.column(2).take(pa.array(known)).to_pylist())
+            running = np.isfinite(time)
+            own = (node[running], time[running], hashes[running], x[running])
+            held = own if held is None else tuple(np.concatenate(pair) for pair in zip(held, own))
+            order = np.lexsort((held[2], held[1], held[0]))
+            first = np.searchsorted(held[0][order], held[0][order])
+            held = tuple(part[order[np.arange(len(order)) - first < take]] for part in held)
+        if held is not None and len(held[0]):
+            yield pa.RecordBatch.from_arrays(
+                [parents.take(pa.array(held[0])), pa.array(held[1]), pa.array(held[2].tolist(), pa.string()), matrix_column(held[3].astype(np.float32))],
+                names=["term_id", "time", "hash", "vec"],
+            )
+
+    return reduce_partition
+
+
+def draw_hashes(salt: str, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """md5 hex of 'salt:key' and its first 52 bits as a number in [0, 1): what ``row_hash`` and ``hash_fraction`` give."""
+    hexes = [hashlib.md5(f"{salt}:{key}".encode()).hexdigest() for key in keys]
+    return np.array(hexes), np.array([int(h[:13], 16) for h in hexes], np.float64) / float(1 << 52)
+
+
+def plus_plus(x: np.ndarray, weights: np.ndarray, keys: list[str], k: int, salt: str) -> np.ndarray:
+    """k-means++ over the rows of one node, drawn by the same races as over a table: (1, k, dim) with infinite unused slots."""
+    centroids = np.full((1, k, x.shape[1]), np.inf, np.float32)
+    node = np.zeros(len(x), np.int64)
+    for slot in range(k):
+        hashes, u = draw_hashes(f"{salt}:{slot}", keys)
+        own = weights.astype(np.float64)
+        if slot:
+            chosen = _Centroids(centroids[:, :slot])
+            own = own * chosen.squared_distance(x, node, chosen.nearest(x, node))
+        with np.errstate(divide="ignore"):
+            time = -np.log(np.maximum(u, 2.0**-53)) / own
+        if not np.isfinite(time).any():
+            break
+        centroids[0, slot] = x[np.lexsort((hashes, time))[0]]
+    return centroids
+
+
+def lloyd(x: np.ndarray, weights: np.ndarray, centroids: np.ndarray, rounds: int, resting) -> np.ndarray:
+    """Lloyd rounds over the rows of one node, until ``resting`` or for at most ``rounds``. Clusters without rows vanish."""
+    node, slots = np.zeros(len(x), np.int64), centroids.shape[1]
+    for _ in range(rounds):
+        slot = _Centroids(centroids).nearest(x, node)
+        sums, counts = np.zeros((slots, x.shape[1])), np.zeros(slots)
+        np.add.at(sums, slot, x.astype(np.float64) * weights[:, None])
+        np.add.at(counts, slot, weights)
+        moved = np.full_like(centroids, np.inf)
+        met = counts > 0
+        moved[0, met] = (sums[met] / counts[met, None]).astype(np.float32)
+        still = resting(moved, centroids)
+        centroids = moved
+        if still:
+            break
+    return centroids
+
+
+def cluster_whole_node(dim: int, k: int, rounds: int, init: str, salt: str, resting):
+    """All rows of one node (term_id, doc_id, pos, vec, key) -> the rows with their child's term, each child's first row with its centroid."""
+
+    def split_node(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("key").combine_chunks()
+        x, keys = vector_matrix(rows.column("vec"), dim), rows.column("key").to_pylist()
+        ones = np.ones(len(x))
+        if init == "hash":
+            lowest = np.argsort(draw_hashes(salt, keys)[0], kind="stable")[:k]
+            centroids = np.full((1, k, dim), np.inf, np.float32)
+            centroids[0, : len(lowest)] = x[lowest]
+        else:
+            centroids = plus_plus(x, ones, keys, k, salt)
+        centroids = lloyd(x, ones, centroids, rounds, resting)
+        slot = _Centroids(centroids).nearest(x, np.zeros(len(x), np.int64))
+        met, first = np.unique(slot, return_index=True)
+        shown = [None] * len(x)
+        for s, i in zip(met, first):
+            shown[i] = centroids[0, s].tolist()
+        term = rows.column("term_id")[0].as_py()
+        child = pa.array([f"{term}.{s}" for s in range(k)]).take(pa.array(slot))
+        columns = {"term_id": child, **{name: rows.column(name) for name in ("doc_id", "pos", "vec")}}
+        return pa.table({**columns, "centroid": pa.array(shown, pa.list_(pa.float32()))})
+
+    return split_node
+
+
+def reduce_candidates(dim: int, k: int, rounds: int, salt: str, resting):
+    """The weighted candidates of one node (term_id, cluster, n, centroid) -> k of their centres (term_id, cluster, centroid)."""
+
+    def reduce_node(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster").combine_chunks()
+        term = rows.column("term_id")[0].as_py()
+        x, n = vector_matrix(rows.column("centroid"), dim), rows.column("n").to_numpy().astype(np.float64)
+        keys = [f"{term}:{c}" for c in rows.column("cluster").to_pylist()]
+        centroids = lloyd(x, n, plus_plus(x, n, keys, k, f"{salt}:reduce"), rounds, resting)
+        used = np.flatnonzero(np.isfinite(centroids[0]).all(axis=1))
+        columns = {"term_id": pa.array([term] * len(used)), "cluster": pa.array(used.astype(np.int32))}
+        return pa.table({**columns, "centroid": matrix_column(centroids[0, used])})
+
+    return reduce_node
+
+
 def densify_udf(dim: int):
     """Bucket numbers of a text's tokens -> L2-normalised counts; a text without tokens gives zeros."""
 

@@ -24,6 +24,13 @@ DEFAULT_CODEBOOK_BYTES = 64 << 20
 # A node offers about this many times k of its rows, those with the lowest hashes, as candidates for its k seeds.
 _CANDIDATES_PER_SEED = 20
 
+# k-means||: rounds after the first seed, and how many times k rows each draws per node.
+OVERSAMPLING_ROUNDS = 3
+OVERSAMPLING = 2
+
+# Rounds over the weighted candidates, which cost nothing.
+_CANDIDATE_ROUNDS = 20
+
 # Rounds end when no centroid moves by more than this share of the largest coordinate, at the latest after so many.
 MAX_ROUNDS = 300
 _TOLERANCE = 1e-6
@@ -109,7 +116,9 @@ def codebook_table(book: Codebook) -> pa.Table:
     )
 
 
-def seeds(rows: DataFrame, frontier: Frontier, k: int, dim: int, init: str, salt: str) -> Codebook:
+def seeds(
+    rows: DataFrame, frontier: Frontier, k: int, dim: int, init: str, salt: str, max_codebook_bytes: int = DEFAULT_CODEBOOK_BYTES
+) -> Codebook:
     if init == "hash":
         found = hash_seeds(rows, frontier, k, salt).toArrow()
         expected = sum(min(k, n) for _, n in frontier)
@@ -122,9 +131,65 @@ def seeds(rows: DataFrame, frontier: Frontier, k: int, dim: int, init: str, salt
         return to_codebook(found, k, dim)
     if init == "kmeans++":
         return _plus_plus_seeds(rows, frontier, k, dim, salt)
+    if init == "kmeans||":
+        return _parallel_seeds(rows, frontier, k, dim, salt, max_codebook_bytes)
     raise ValueError(f"unknown init {init!r}")
 
 
+def _parallel_seeds(rows: DataFrame, frontier: Frontier, k: int, dim: int, salt: str, max_codebook_bytes: int) -> Codebook:
+    """k-means||: a first seed per node, then a few rounds that each draw OVERSAMPLING * k rows of every node with probabilities
+    proportional to the squared distance to what is drawn so far; the drawn rows, weighted by the rows nearest to them, are reduced to k by
+    weighted k-means++, each node in one task. The rows are read OVERSAMPLING_ROUNDS + 2 times whatever k is."""
+    take = OVERSAMPLING * k
+    slots = 1 + OVERSAMPLING_ROUNDS * take
+    blocks = list(blocks_of(frontier, slots, dim, max_codebook_bytes))
+    books = [_parallel_block(rows_of(rows, b) if len(blocks) > 1 else rows, b, k, take, slots, dim, salt) for b in blocks]
+    return Codebook(pa.concat_arrays([b.parents for b in books]), np.concatenate([b.centroids for b in books]))
+
+
+def _parallel_block(rows: DataFrame, frontier: Frontier, k: int, take: int, slots: int, dim: int, salt: str) -> Codebook:
+    spark = rows.sparkSession
+    parents = pa.array([term for term, _ in frontier], pa.string())
+    book = Codebook(parents, np.full((len(frontier), slots, dim), np.inf, np.float32))
+    for number in range(OVERSAMPLING_ROUNDS + 1):
+        used = 1 + max(0, number - 1) * take
+        drawn = row_hash(f"{salt}:{number}", F.col("term_id"), F.col("doc_id"), F.col("pos"))
+        asked = rows.select("term_id", "vec", drawn.alias("hash")).withColumn("u", hash_fraction(F.col("hash")))
+        shared = spark.sparkContext.broadcast(tuple(Codebook(parents, book.centroids[:, :used])))
+        kernel = kernels.seed_races(shared, take) if number else kernels.seed_race(shared, first=True)
+        found = asked.mapInArrow(kernel, "term_id string, time double, hash string, vec array<float>")
+        place = F.row_number().over(Window.partitionBy("term_id").orderBy("time", "hash"))
+        winners = found.withColumn("place", place - 1).filter(F.col("place") < (take if number else 1)).toArrow()
+        shared.unpersist()
+        if winners.num_rows == 0:
+            break  # no node has a vector unlike those drawn
+        row = pc.index_in(winners.column("term_id"), value_set=parents).to_numpy()
+        first = 0 if number == 0 else 1 + (number - 1) * take
+        book.centroids[row, first + winners.column("place").to_numpy()] = kernels.vector_matrix(winners.column("vec"), dim)
+    shared = spark.sparkContext.broadcast(tuple(book))
+    weights = rows.select("term_id", "vec").mapInArrow(kernels.cluster_counts(shared), "term_id string, cluster int, n long")
+    weights = weights.groupBy("term_id", "cluster").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    row = pc.index_in(weights.column("term_id"), value_set=parents).to_numpy()
+    drawn = book.centroids[row, weights.column("cluster").to_numpy()]
+    candidates = spark.createDataFrame(weights.append_column("centroid", kernels.matrix_column(drawn)))
+    reduced = candidates.groupBy("term_id").applyInArrow(
+        kernels.reduce_candidates(dim, k, _CANDIDATE_ROUNDS, salt, _resting), "term_id string, cluster int, centroid array<float>"
+    )
+    return to_codebook(reduced.toArrow(), k, dim)
+
+
+def split_whole_nodes(rows: DataFrame, k: int, dim: int, rounds: int, init: str, salt: str) -> DataFrame:
+    """Rows of nodes that each fit one task (term_id, doc_id, pos, vec) -> the rows at their children, with ``centroid`` in one row of
+    each child. One exchange by node takes the place of all passes of seeds and rounds; seeds are those that the passes would draw
+    (of 'kmeans||' those of 'kmeans++')."""
+    types = {field.name: field.dataType.simpleString() for field in rows.schema.fields}
+    schema = f"term_id string, doc_id {types['doc_id']}, pos {types['pos']}, vec array<float>, centroid array<float>"
+    key = F.concat_ws(":", "term_id", F.col("doc_id").cast("string"), F.col("pos").cast("string"))
+    keyed = rows.select("term_id", "doc_id", "pos", "vec", key.alias("key"))
+    return keyed.groupBy("term_id").applyInArrow(kernels.cluster_whole_node(dim, k, rounds, init, salt, _resting), schema)
+
+
 def _plus_plus_seeds(rows: DataFrame, frontier: Frontier, k: int, dim: int, salt: str) -> Codebook:
     """k-means++: each seed is drawn with probability proportional to the squared distance to those before it."""
     spark = rows.sparkSession
@@ -163,10 +228,19 @@ def cluster_means(rows: DataFrame, book: Codebook) -> DataFrame:
     )
 
 
-def fit(rows: DataFrame, frontier: Frontier, k: int, dim: int, iters: int, init: str, salt: str) -> Codebook:
+def fit(
+    rows: DataFrame,
+    frontier: Frontier,
+    k: int,
+    dim: int,
+    iters: int,
+    init: str,
+    salt: str,
+    max_codebook_bytes: int = DEFAULT_CODEBOOK_BYTES,
+) -> Codebook:
     """Centroids of all nodes of one block, moved until they rest, for at most ``iters`` rounds. Clusters that lose all rows
     vanish."""
-    book = seeds(rows, frontier, k, dim, init, salt)
+    book = seeds(rows, frontier, k, dim, init, salt, max_codebook_bytes)
     for _ in range(iters):
         moved = to_codebook(cluster_means(rows, book).select("term_id", "cluster", "centroid").toArrow(), k, dim)
         resting = moved.parents.equals(book.parents) and _resting(moved.centroids, book.centroids)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagtree.functions.paths import ROOT, child_term, depth_of
+from bagtree.functions.paths import ROOT, child_term, depth_of, parent_term
 from bagtree.functions.vectors import zero_vector
 from bagtree.operators import cluster
 from bagtree.sources.scratch import path_exists, scratch_path, stage
@@ -24,6 +25,9 @@ NODE_SCHEMA = "tree_id string, term_id string, parent_id string, depth int, cent
 # meets few nodes, and its partial sums stay few.
 _ORDER_ROWS_ABOVE = 10_000
 
+# A node whose vectors take no more than this is clustered whole by one task.
+WHOLE_NODE_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class TreeShape:
@@ -31,10 +35,11 @@ class TreeShape:
     levels: int | None = LEVELS
     min_samples: int = MIN_SAMPLES
     iters: int = cluster.MAX_ROUNDS
-    init: str = "kmeans++"
+    init: str = "kmeans||"
     salt: str = "seed"
     max_codebook_bytes: int = cluster.DEFAULT_CODEBOOK_BYTES
     order_rows_above: int = _ORDER_ROWS_ABOVE
+    whole_node_bytes: int = WHOLE_NODE_BYTES
 
 
 @dataclass(frozen=True)
@@ -55,19 +60,27 @@ def split(
     and the children's (term_id, size) list. The rows are a written table: in the folder ``into`` if one is given.
     """
     spark = rows.sparkSession
-    moved, centroids = None, None
-    blocks = list(cluster.blocks_of(frontier, shape.k, dim, shape.max_codebook_bytes))
+    most = shape.whole_node_bytes // (dim * 4)
+    whole = [(term, n) for term, n in frontier if n <= most]
+    crowded = [(term, n) for term, n in frontier if n > most]
+    parts, centroids = [], []
+    columns = ["term_id", "doc_id", "pos", "vec", "centroid"]
+    no_centroid = F.lit(None).cast("array<float>").alias("centroid")
+    # Crowded nodes: passes over all their rows, a block of nodes after the other.
     centroid_path = scratch_path(spark, "centroids")
-    for block in blocks:
-        own = cluster.rows_of(rows, block) if len(blocks) > 1 else rows
-        book = cluster.fit(own, block, shape.k, dim, shape.iters, shape.init, shape.salt)
-        part = cluster.assign(own, book).select(child_term(F.col("term_id"), F.col("cluster")).alias("term_id"), "doc_id", "pos", "vec")
-        moved = part if moved is None else moved.unionAll(part)
-        centroids = spark.createDataFrame(cluster.codebook_table(book))
-        if len(blocks) > 1:
-            centroids.write.mode("append").parquet(centroid_path)
-    if len(blocks) > 1:
-        centroids = spark.read.schema("term_id string, parent_id string, centroid array<float>").parquet(centroid_path)
+    for block in cluster.blocks_of(crowded, shape.k, dim, shape.max_codebook_bytes):
+        own = cluster.rows_of(rows, block) if len(block) < len(frontier) else rows
+        book = cluster.fit(own, block, shape.k, dim, shape.iters, shape.init, shape.salt, shape.max_codebook_bytes)
+        child = child_term(F.col("term_id"), F.col("cluster")).alias("term_id")
+        parts.append(cluster.assign(own, book).select(child, "doc_id", "pos", "vec", no_centroid))
+        spark.createDataFrame(cluster.codebook_table(book)).write.mode("append").parquet(centroid_path)
+    if crowded:
+        centroids.append(spark.read.schema("term_id string, parent_id string, centroid array<float>").parquet(centroid_path))
+    # All others: one exchange, a task each.
+    if whole:
+        own = cluster.rows_of(rows, whole) if crowded else rows
+        parts.append(cluster.split_whole_nodes(own, shape.k, dim, shape.iters, shape.init, shape.salt).select(*columns))
+    moved = reduce(DataFrame.unionAll, parts)
     if len(frontier) * shape.k * shape.k > shape.order_rows_above:
         # The range goes on into document and position, so a node with very many rows spreads over partitions.
         moved = moved.repartitionByRange("term_id", "doc_id", "pos")
@@ -78,7 +91,11 @@ def split(
         moved = spark.read.schema(moved.schema).parquet(into)
     counts = moved.groupBy("term_id").count().toArrow().rename_columns(["term_id", "n_features"])
     sizes = sorted(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
-    children = centroids.join(spark.createDataFrame(counts), "term_id").select(
+    if whole:
+        found = moved.filter(F.col("centroid").isNotNull())
+        centroids.append(found.select("term_id", parent_term(F.col("term_id")).alias("parent_id"), "centroid"))
+    moved = moved.select("term_id", "doc_id", "pos", "vec")
+    children = reduce(DataFrame.unionAll, centroids).join(spark.createDataFrame(counts), "term_id").select(
         "term_id", "parent_id", depth_of(F.col("term_id")).alias("depth"), "centroid", "n_features"
     )
     return moved, children, sizes

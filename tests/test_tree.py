@@ -8,6 +8,7 @@ from bagtree.functions.paths import ROOT
 from bagtree.operators import cluster
 from bagtree.operators.quantize import quantize
 from bagtree.operators.tree import TreeShape, leaf_nodes, train
+from bagtree.sources.scratch import stage
 from tests.helpers import FEATURE, random_features
 
 SMALL = dict(k=3, levels=3, min_samples=20, iters=2)
@@ -21,7 +22,7 @@ def places(rows):
     return {(r["doc_id"], r["pos"]): r["term_id"] for r in rows.select("doc_id", "pos", "term_id").collect()}
 
 
-@pytest.mark.parametrize("init", ["hash", "kmeans++"])
+@pytest.mark.parametrize("init", ["hash", "kmeans||"])
 def test_children_share_out_their_parents_features(spark, init):
     features = random_features(spark)
     tree = train(features, "t", TreeShape(init=init, **SMALL))
@@ -46,7 +47,7 @@ def test_blocks_and_row_order_do_not_change_the_tree(spark, monkeypatch):
     shape = TreeShape(k=3, levels=2, min_samples=20, iters=1, init="hash")
     whole = train(features, "t", shape)
     monkeypatch.setattr(cluster, "_NAMED_TERMS", 1)
-    pieces = train(features, "t", replace(shape, max_codebook_bytes=2 * 3 * 8 * 4, order_rows_above=1))
+    pieces = train(features, "t", replace(shape, max_codebook_bytes=2 * 3 * 8 * 4, order_rows_above=1, whole_node_bytes=0))
     assert places(whole.assignments) == places(pieces.assignments)
     assert nodes_of(whole).keys() == nodes_of(pieces).keys()
     for term, node in nodes_of(whole).items():
@@ -117,6 +118,47 @@ def spread(rows, book):
     return sum(float(((v - book.centroids[0, c]) ** 2).sum()) for v, c in x.values())
 
 
+@pytest.mark.parametrize("init", ["hash", "kmeans++"])
+def test_whole_nodes_give_the_tree_of_the_passes(spark, init):
+    """A node clustered by one task, by passes over its rows, or some so and some so: the same tree."""
+    features = random_features(spark)
+    shape = TreeShape(k=3, levels=3, min_samples=20, iters=50, init=init)
+    trees = [train(features, "t", replace(shape, whole_node_bytes=size)) for size in (0, 100 * 8 * 4, 1 << 20)]
+    for tree in trees[1:]:
+        assert places(tree.assignments) == places(trees[0].assignments)
+        assert nodes_of(tree).keys() == nodes_of(trees[0]).keys()
+        for term, node in nodes_of(trees[0]).items():
+            assert np.allclose(node["centroid"], nodes_of(tree)[term]["centroid"], atol=1e-5)
+
+
+def test_parallel_seeds_need_five_passes_and_spread_as_well(spark, monkeypatch):
+    rows = random_features(spark, docs=400, seed=5).withColumn("term_id", F.when(F.col("doc_id") < 250, "0.0").otherwise("0.1"))
+    rows = stage(rows, "rows")
+    frontier = [("0.0", 1250), ("0.1", 750)]
+    passes = []
+    for name in ("seed_race", "seed_races", "cluster_counts"):
+        kernel = getattr(cluster.kernels, name)
+        monkeypatch.setattr(cluster.kernels, name, lambda *a, kernel=kernel, **k: passes.append(1) or kernel(*a, **k))
+    for k in (6, 12):
+        passes.clear()
+        book = cluster.seeds(rows, frontier, k, 8, "kmeans||", "s")
+        assert len(passes) == 5
+        assert np.isfinite(book.centroids).all() and book.parents.to_pylist() == ["0.0", "0.1"]
+    own, first = rows.filter("term_id = '0.0'"), [("0.0", 1250)]
+    costs = {init: np.mean([spread(own, cluster.seeds(own, first, 6, 8, init, salt)) for salt in "ab"]) for init in ("hash", "kmeans++", "kmeans||")}
+    assert costs["kmeans||"] < 1.2 * costs["kmeans++"] and costs["kmeans||"] < costs["hash"]
+
+
+def test_parallel_seeds_in_blocks_and_of_few_vectors(spark):
+    rows = random_features(spark, docs=100).withColumn("term_id", F.when(F.col("doc_id") < 30, "0.0").otherwise("0.1"))
+    rows = stage(rows.unionByName(rows.limit(1).withColumn("term_id", F.lit("0.2"))), "rows")
+    frontier = [("0.0", 150), ("0.1", 350), ("0.2", 1)]
+    one = cluster.seeds(rows.coalesce(1), frontier, 5, 8, "kmeans||", "s")
+    pieces = cluster.seeds(rows.repartition(5), frontier, 5, 8, "kmeans||", "s", max_codebook_bytes=1)
+    assert np.allclose(one.centroids[:2], pieces.centroids[:2])
+    assert np.isfinite(one.centroids[2]).all(axis=1).sum() == 1
+
+
 @pytest.mark.parametrize("init", ["hash", "kmeans++"])
 def test_rounds_lower_the_spread(spark, init):
     rows = random_features(spark).withColumn("term_id", F.lit("0"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bagtree.catalog import sql
-from bagtree.catalog.data import THRESHOLD, caption_features, captions, test_captions
+from bagtree.catalog.data import THRESHOLD, caption_features, captions, pictures, test_captions
 from bagtree.catalog.ingest import captioned_items
 from bagtree.catalog.registry import query
-from bagtree.catalog.searching import TEXT_HITS
+from bagtree.catalog.searching import TEXT_HITS, TWO_STEP, feedback_queries
 from bagtree.operators import evaluate as quality
 from bagtree.operators import metric
 from bagtree.operators.search import search
@@ -58,9 +58,9 @@ def ideal_relevances(spark, sf_dir):
     return ideal.withColumn("relevance", F.round("relevance", 6))
 
 
-def _relevant(spark, sf_dir):
+def _relevant(spark, sf_dir, results=None):
     built, queries = captions(spark, sf_dir), test_captions(spark, sf_dir)
-    results = search(queries, built.index, quality.MAX_N, THRESHOLD)
+    results = search(queries, built.index, quality.MAX_N, THRESHOLD) if results is None else results
     scored = quality.similarities(results, built.features, queries)
     ideal = quality.exact_topk(built.features, queries).withColumnRenamed("similarity", "relevance")
     return quality.relevances(scored, ideal)
@@ -116,6 +116,27 @@ def evaluate_sweep(spark, sf_dir):
     )
 
 
+def _sweep_sql(variant, hits, name):
+    """The sweep of one search, whose rows are in the CTE ``name``."""
+    lists = [part.replace("hits h", f"{name} h") for part in _LISTS[len(TEXT_HITS) :]]
+    means = f"""SELECT '{variant}' AS variant, n, round(sum("precision") / (SELECT count(*) FROM benchmark), 6) AS mean_precision,
+           round(sum(ndcg) / (SELECT count(*) FROM benchmark), 6) AS mean_ndcg FROM graded GROUP BY n"""
+    return f"SELECT * FROM ({sql.with_ctes([*hits, *lists], means)})"
+
+
+@query(_sweep_sql("labeled_only", TEXT_HITS, "hits") + " UNION ALL " + _sweep_sql("all", TWO_STEP, "found"))
+def evaluate_sweep_both(spark, sf_dir):
+    """Mean precision and nDCG at 1, 5, 10 and 20 of the text search and of the two-step search."""
+    built = pictures(spark, sf_dir)
+    two_step = search(feedback_queries(spark, sf_dir), built.index, quality.MAX_N, THRESHOLD)
+    relevant = _relevant(spark, sf_dir).withColumn("variant", F.lit("labeled_only"))
+    both = relevant.unionByName(_relevant(spark, sf_dir, two_step).withColumn("variant", F.lit("all")))
+    means = quality.evaluate(both, test_captions(spark, sf_dir))
+    return means.select(
+        "variant", "n", F.round("mean_precision", 6).alias("mean_precision"), F.round("mean_ndcg", 6).alias("mean_ndcg")
+    )
+
+
 @query(
     sql.with_ctes(
         [*TEXT_HITS, *sql.exact("caps", "tests", 20), "ns AS (SELECT unnest([1, 5, 10, 20]) AS n)"],

@@ -156,7 +156,7 @@ def feedback_bags(spark, sf_dir):
     return _bag(spark, sf_dir).select("query_id", "doc_id", "pos", F.round(total, 6).alias("vec_sum"))
 
 
-_TWO_STEP = [
+TWO_STEP = [
     *_BAG,
     *sql.tree("pics", "ims"),
     *sql.postings("ims_leaves", "ims_post"),
@@ -167,8 +167,12 @@ _TWO_STEP = [
 ]
 
 
-@query(sql.with_ctes(_TWO_STEP, "SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM found"))
+def feedback_queries(spark, sf_dir):
+    """The bags as a written table, to be asked of the pictures."""
+    return stage(_bag(spark, sf_dir), "bag")
+
+
+@query(sql.with_ctes(TWO_STEP, "SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM found"))
 def search_two_step(spark, sf_dir):
     """For every test caption the twenty pictures, captioned or not, that look like those its words found."""
-    bag = stage(_bag(spark, sf_dir), "bag")
-    return _output(search(bag, pictures(spark, sf_dir).index, 20, THRESHOLD))
+    return _output(search(feedback_queries(spark, sf_dir), pictures(spark, sf_dir).index, 20, THRESHOLD))

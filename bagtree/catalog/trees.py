@@ -11,6 +11,7 @@ from bagtree.operators.postings import docs_count_of, postings_of, term_idf, ter
 from bagtree.operators.quantize import quantize
 from bagtree.operators.tree import TreeShape, frontier_nodes, leaf_nodes, root_nodes, train
 from bagtree.sources.codec import export_features, export_nodes, import_features, import_nodes
+from bagtree.sources.scratch import stage
 
 _TREE = [sql.PICTURES, *sql.tree("pics")]
 _POSTINGS = [*_TREE, *sql.postings("tree_leaves")]
@@ -74,6 +75,40 @@ def tree_default_shape(spark, sf_dir):
     return tree.nodes.groupBy("depth").agg(F.count("*").alias("nodes"), F.sum("n_features").alias("features"))
 
 
+@query(
+    """SELECT count(*) AS root_features, count(*) AS leaf_features, 10 AS root_children, 0 AS orphans, 0 AS unequal_sums, 0 AS unsplit,
+       0 AS split_too_small, 0 AS too_wide, 0 AS too_deep, 0 AS elsewhere FROM embeddings"""
+)
+def tree_default_invariants(spark, sf_dir):
+    """What holds of every tree of the default shape: each node has its parent, children share out their parent's features, nodes are split
+    from 100 features and above level 6, into at most ten, and a descent leads each feature to its leaf."""
+    features = stage(picture_features(spark, sf_dir), "features")
+    shape = TreeShape()
+    tree = train(features, "default", shape, DIM)
+    nodes, leaves = tree.nodes, stage(tree.assignments, "leaves")
+    of = nodes.groupBy(F.col("parent_id").alias("term_id")).agg(F.count("*").alias("children"), F.sum("n_features").alias("below"))
+    joined = stage(nodes.join(of, "term_id", "left"), "joined")
+    inner, worthy = F.col("children").isNotNull(), (F.col("n_features") >= shape.min_samples) & (F.col("depth") < shape.levels)
+    count = lambda condition, name: F.count(F.when(condition, 1)).cast("int").alias(name)
+    parents = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("term_id")).distinct()
+    found = joined.agg(
+        F.max(F.when(F.col("depth") == 0, F.col("n_features"))).alias("root_features"),
+        F.max(F.when(F.col("depth") == 0, F.col("children"))).cast("int").alias("root_children"),
+        count(inner & (F.col("below") != F.col("n_features")), "unequal_sums"),
+        count(~inner & worthy, "unsplit"),
+        count(inner & ~worthy, "split_too_small"),
+        count(F.col("children") > shape.k, "too_wide"),
+        count(F.col("depth") > shape.levels, "too_deep"),
+    )
+    reached = quantize(features, nodes.drop("tree_id")).select("doc_id", "pos", F.col("term_id").alias("reached"))
+    elsewhere = leaves.join(reached, ["doc_id", "pos"], "left").filter(~F.col("reached").eqNullSafe(F.col("term_id")))
+    orphans = parents.join(nodes, "term_id", "left_anti")
+    rows = lambda df, name, kind: df.agg(F.count("*").cast(kind).alias(name)).scalar().alias(name)
+    return found.select(
+        "*", rows(leaves, "leaf_features", "bigint"), rows(orphans, "orphans", "int"), rows(elsewhere, "elsewhere", "int")
+    )
+
+
 _DESCENT = [*_TREE, *sql.descend("pics", "doc_id", "tree_nodes", "reached")]
 
 

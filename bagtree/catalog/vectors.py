@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bagtree.catalog import sql
@@ -10,6 +11,7 @@ from bagtree.catalog.registry import query
 from bagtree.functions.paths import ROOT
 from bagtree.functions.vectors import all_close, clamp_at_zero, cosine, l1_normalise, l2_distance
 from bagtree.operators import cluster
+from bagtree.sources.scratch import stage
 
 _PAIRS = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
@@ -126,5 +128,37 @@ def kmeans_plus_plus(spark, sf_dir):
     return cluster.cluster_means(rows, book).select("cluster", "n", _vector_sum("centroid"))
 
 
+_CHECKED = " UNION ALL ".join(
+    f"""SELECT '{init}' AS init, count(*) AS n_rows, 10 AS n_clusters, 0 AS n_misplaced, 0 AS n_off_mean, true AS spreads_less
+        FROM embeddings""" for init in ("kmeans++", "kmeans||")
+)
+
+
+@query(_CHECKED)
+def kmeans_seeded(spark, sf_dir):
+    """What holds of a clustering that rests, whatever its seeds: every row is in a cluster, none empty, each row with the nearest
+    centroid, each centroid the mean of its rows, and the rows lie nearer to their centroids than to their common mean."""
+    rows = stage(_root_rows(spark, sf_dir), "rows")
+    checked = None
+    for init in ("kmeans++", "kmeans||"):
+        book = cluster.fit(rows, [(ROOT, rows.count())], 10, DIM, cluster.MAX_ROUNDS, init, SHAPE.salt)
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]).cast("array<float>") for c in book.centroids[0]])
+        distances = F.transform(centres, lambda c: l2_distance(F.col("vec"), c))
+        placed = cluster.assign(rows, book).withColumn("distances", distances)
+        least = F.array_min("distances")
+        joined = stage(placed.select("vec", "cluster", least.alias("near"), (F.array_position("distances", least) - 1).alias("nearest")), "joined")
+        off = joined.filter(F.col("cluster") != F.col("nearest")).count()
+        means = cluster.to_codebook(cluster.cluster_means(rows, book).select("term_id", "cluster", "centroid").toArrow(), 10, DIM)
+        apart = int((np.abs(means.centroids - book.centroids).max(axis=(0, 2)) > 1e-4).sum())
+        whole = cluster.Codebook(book.parents, np.mean(book.centroids, axis=1, keepdims=True))
+        common = cluster.to_codebook(cluster.cluster_means(rows, whole).toArrow(), 1, DIM).centroids[0, 0].tolist()
+        around = F.array(*[F.lit(x) for x in common]).cast("array<float>")
+        spread = joined.agg(F.sum(F.pow("near", F.lit(2.0))), F.sum(F.pow(l2_distance(F.col("vec"), around), F.lit(2.0)))).first()
+        row = (init, joined.count(), joined.select("cluster").distinct().count(), off, apart, spread[0] < spread[1])
+        one = spark.createDataFrame([row], "init string, n_rows long, n_clusters int, n_misplaced int, n_off_mean int, spreads_less boolean")
+        checked = one if checked is None else checked.unionByName(one)
+    return checked
+
+
 def _vector_sum(column, digits=6):
     return F.round(F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x.cast("double")), digits).alias("centroid_sum")

@@ -32,7 +32,7 @@ NO_LANG = "und"
 
 SHARDS = 4
 MOST_BITS = 27  # a bit field takes at most 16 MiB
-ROWS_HELD = 1 << 21  # counts that a task holds before it sends them
+ROWS_HELD = 1 << 18  # counts that a task holds, of each shard, before it adds them up and sends what is still many
 
 _IN_WORD = np.array([chr(b) not in PIECE_ENDS + SPACES for b in range(256)])
 _ENDS = np.array([chr(b) in PIECE_ENDS for b in range(256)])

@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bagtree.sources.scratch import path_exists
+from bagtree.sources.scratch import path_exists, stage, unstage
 
-# The caption file's fields, and the extension of picture files.
-CAPTION_FILE_SCHEMA = (
-    "images array<struct<id: bigint, file_name: string>>, annotations array<struct<image_id: bigint, caption: string>>"
-)
+# The fields of a caption file's images and annotations, and the extension of picture files.
+RECORD_SCHEMA = "id bigint, file_name string, image_id bigint, caption string"
 IMAGE_EXTENSION = "jpg"
 
 CONTENT_SCHEMA = "id string, content binary"
@@ -27,12 +25,62 @@ class OrphanAnnotations(Exception):
     """Captions that name an image the file does not list."""
 
 
+# The innermost object that is open at the end of a text: its fields are strings and whatever has neither braces nor quotes.
+_OPEN_OBJECT = r'(?s)\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+$'
+_ALL_BUT_QUOTES = r'(?s)\\.|[^"\\]+'
+
+
 def read_caption_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of caption files: one JSON object per file, a folder of files spreads over tasks."""
-    content = spark.read.schema(CAPTION_FILE_SCHEMA).option("multiLine", True).json(path).select("*", "_metadata.file_name")
-    images = content.select(F.explode("images").alias("image")).select("image.id", "image.file_name").distinct()
-    places = content.select(F.col("file_name").alias("source"), F.posexplode("annotations").alias("seq", "a"))
-    return images, places.select("a.image_id", "a.caption", "seq", "source")
+    """(images, annotations) of caption files, each one JSON object with two arrays of flat records.
+
+    A file is read by byte ranges: the text source ends a row at every closing brace, wherever a task begins. Whether a row ends
+    inside a string, so that its brace belongs to a caption, follows from the quotes before it: they are summed within a range, and one row
+    per range carries the sums on. Such rows are joined with their successors; all others are records of their own.
+    """
+    rows = spark.read.option("lineSep", "}").text(path).select(
+        "value",
+        F.col("_metadata.file_name").alias("source"),
+        F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("number"),
+        F.pmod(F.length(F.regexp_replace("value", _ALL_BUT_QUOTES, "")), F.lit(2)).alias("odd"),
+    )
+    rows = stage(rows, "caption_text")
+    in_range = Window.partitionBy("source", "range").orderBy("number")
+    sums = rows.groupBy("source", "range").agg(F.sum("odd").alias("odd"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(
+        "source",
+        "range",
+        F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("odd_before"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+    )
+    placed = rows.select(
+        "*", F.sum("odd").over(in_range).alias("odd_here"), (F.row_number().over(in_range) - 1).alias("place")
+    ).join(before, ["source", "range"])
+    quotes = F.col("odd_before") + F.col("odd_here")
+    placed = placed.select(
+        "source",
+        "value",
+        (F.col("n_before") + F.col("place")).cast("int").alias("seq"),
+        (F.pmod(quotes - F.col("odd"), F.lit(2)) == 1).alias("begins_inside"),
+        (F.pmod(quotes, F.lit(2)) == 1).alias("ends_inside"),
+    )
+    whole = placed.filter(~F.col("begins_inside") & ~F.col("ends_inside")).select("source", "seq", "value")
+    # Only texts with a closing brace in a caption.
+    cut = placed.filter(F.col("begins_inside") | F.col("ends_inside"))
+    chain = F.sum(F.when(F.col("begins_inside"), 0).otherwise(1)).over(Window.partitionBy("source").orderBy("seq"))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    mended = cut.withColumn("chain", chain).groupBy("source", "chain").agg(
+        F.min("seq").alias("seq"), F.array_join(pieces.getField("value"), "}").alias("value")
+    )
+    text = F.concat(F.regexp_extract("value", _OPEN_OBJECT, 0), F.lit("}"))
+    records = whole.unionByName(mended.select("source", "seq", "value")).select("source", "seq", F.from_json(text, RECORD_SCHEMA).alias("r"))
+    records = records.select("source", "seq", "r.*")
+    records = stage(records.filter("file_name IS NOT NULL OR image_id IS NOT NULL OR caption IS NOT NULL"), "caption_records")
+    unstage(rows)
+    annotated = F.col("image_id").isNotNull() | F.col("caption").isNotNull()
+    images = records.filter(~annotated).select("id", "file_name").distinct()
+    return images, records.filter(annotated).select("image_id", "caption", "seq", "source")
 
 
 def caption_rows(annotations: DataFrame) -> DataFrame:

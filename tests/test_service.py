@@ -1,6 +1,7 @@
 """Ingest from files, then the whole service."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,28 @@ def test_captions_of_one_item_from_several_files(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("indent, range_bytes", [(None, "64"), (1, "100"), (None, "128m")])
+def test_a_caption_file_is_read_by_ranges(spark, tmp_path, indent, range_bytes):
+    """Braces, quotes, backslashes and line ends in captions, however the ranges cut them."""
+    rng = random.Random(7)
+    bits = ["a", "}", "{", '"', "\\", "\n", "Ü", "中", " ", ",", "},{", '"}', "]}", '{"image_id": 3}', "x" * 90]
+    images = [{"id": i, "file_name": f"p{i}}}.jpg", "license": i % 3} for i in range(40)]
+    notes = [{"id": 1000 + i, "image_id": i % 40, "caption": "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))} for i in range(160)]
+    whole = {"info": {"year": 1, "by": "}"}, "licenses": [{"url": "u", "id": 1, "name": "n"}], "images": images, "annotations": notes}
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(whole, indent=indent, ensure_ascii=bool(indent)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        assert (spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 10) == (range_bytes != "128m")
+        items, captions = source.read_captioned_images(spark, str(path), "set")
+        assert {(r["id"], r["file_name"]) for r in items.collect()} == {(i["id"], i["file_name"]) for i in images}
+        got = [(r["id"], r["text"]) for r in captions.orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(n["image_id"], n["caption"]) for n in notes]
+
+
 def test_new_captions_of_a_known_item(spark, tmp_path):
     base = str(tmp_path / "store")
     items = spark.createDataFrame([("i", "set", b"x")], "id string, dataset string, content binary")

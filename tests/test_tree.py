@@ -63,6 +63,26 @@ def test_descent_finds_the_trained_leaves_with_and_without_broadcast(spark):
         assert places(quantize(features, tree.nodes, max_codebook_bytes=bound, rows_per_salt=7)) == expected
 
 
+def test_a_crowded_batch_does_not_meet_in_one_task(spark, monkeypatch):
+    """A small training, then a batch of which most lies at one node: those rows are counted and are not shuffled, or are dealt over tasks."""
+    few = random_features(spark, docs=40)
+    tree = train(few, "t", TreeShape(init="hash", **SMALL))
+    one = few.limit(1).select("vec")
+    batch = one.crossJoin(spark.range(2000)).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), "vec").unionByName(few)
+    batch = stage(batch, "batch")
+    want = places(quantize(batch, tree.nodes))
+    from bagtree.operators import quantize as module
+
+    seen, plain = [], module._descend_by_join
+    monkeypatch.setattr(module, "_descend_by_join", lambda rows, c, d, crowded, n: seen.append((rows.count(), crowded)) or plain(rows, c, d, crowded, n))
+    one_node = 3 * 8 * 4
+    assert places(quantize(batch, tree.nodes, max_codebook_bytes=one_node, rows_per_salt=500)) == want
+    assert seen and all(n < 500 for n, _ in seen)
+    seen.clear()
+    assert places(quantize(batch, tree.nodes, max_codebook_bytes=0, rows_per_salt=500)) == want
+    assert all(crowded for _, crowded in seen)
+
+
 def test_more_than_ten_clusters_are_ordered_by_number(spark):
     features = random_features(spark, docs=100)
     tree = train(features, "t", TreeShape(k=12, levels=2, min_samples=50, iters=1, init="hash"))

@@ -8,8 +8,8 @@ from bagtree.catalog import sql
 from bagtree.catalog.data import DIM, picture_features, table
 from bagtree.catalog.registry import query
 from bagtree.operators.encode import char_ngrams, encode_text, hashed_term_weights, hashed_words
-from bagtree.operators.features import explode_documents, lookup, vectors_of
-from bagtree.operators.sample import sample_next, unsampled, unsampled_count
+from bagtree.operators.features import explode_documents, extract_features, lookup, vectors_of
+from bagtree.operators.sample import log_entries, sample_next, unsampled, unsampled_count, unsampled_of_batch
 from bagtree.functions.weights import sample_ratio
 from bagtree.sources.captions import (
     caption_counts,
@@ -246,3 +246,40 @@ def sample_size_rule(spark, sf_dir):
         F.round(sample_ratio(-1, left), 6).alias("of_one_percent"),
         F.round(sample_ratio(1_000_000, left), 6).alias("of_more"),
     )
+
+
+@query(
+    f"""SELECT doc_id, source AS dataset FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN
+        (SELECT doc_id FROM labels WHERE quality = 1)"""
+)
+def unsampled_docs_of_batch(spark, sf_dir):
+    """Of a batch of documents, those that the log does not list."""
+    docs, log = _docs_and_log(spark, sf_dir)
+    return unsampled_of_batch(docs.filter(F.col("doc_id") % 3 == 0), log, "blue", "captions")
+
+
+@query("SELECT doc_id, 'blue' AS tree_id, 'captions' AS namespace, true AS in_time FROM documents")
+def sample_log_entries(spark, sf_dir):
+    """What is noted of sampled documents, the time being that of the job."""
+    entries = log_entries(table(spark, sf_dir, "documents"), "blue", "captions")
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("sampled_at")
+    return entries.select("doc_id", "tree_id", "namespace", F.abs(age).between(0, 3600).alias("in_time"))
+
+
+def _descriptors(content):
+    """A stand-in for a descriptor extractor: length and first byte, length and last byte; nothing of an empty picture."""
+    return [[float(len(content)), float(content[0])], [float(len(content)), float(content[-1])]] if content else None
+
+
+@query(
+    """WITH p AS (SELECT page_id, encode(html) AS b FROM pages WHERE octet_length(encode(html)) > 0)
+       SELECT page_id AS doc_id, 0 AS pos, CAST(octet_length(b) AS DOUBLE) AS size, CAST(CAST('0x' || hex(b)[1:2] AS BIGINT) AS DOUBLE) AS byte FROM p
+       UNION ALL SELECT page_id, 1, CAST(octet_length(b) AS DOUBLE), CAST(CAST('0x' || hex(b)[-2:] AS BIGINT) AS DOUBLE) FROM p"""
+)
+def extracted_features(spark, sf_dir):
+    """Bytes to bags of vectors by the user's function, run over Arrow batches."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("content"))
+    features = extract_features(pages, _descriptors)
+    return features.select(
+        "doc_id", "pos", F.get("vec", F.lit(0)).cast("double").alias("size"), F.get("vec", F.lit(1)).cast("double").alias("byte")
+    )

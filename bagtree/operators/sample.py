@@ -9,6 +9,10 @@ from bagtree.functions.hashing import hash_fraction, row_hash
 from bagtree.functions.weights import sample_ratio
 
 
+# Up to this many documents of a batch are named in the filter of the sample log.
+NAMED_DOCS = 1000
+
+
 def unsampled(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) -> DataFrame:
     """Documents that the sample log does not list for the tree."""
     seen = log.filter((F.col("tree_id") == tree_id) & (F.col("namespace") == namespace)).select("doc_id")
@@ -17,8 +21,14 @@ def unsampled(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) ->
 
 def unsampled_of_batch(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) -> DataFrame:
     """The same for a batch that is small beside the log: the log is cut down to the batch's documents first, for which the
-    batch, not the log, is broadcast or shuffled to it."""
-    return unsampled(docs, log.join(docs.select("doc_id"), "doc_id", "left_semi"), tree_id, namespace)
+    batch, not the log, is broadcast or shuffled to it. Up to NAMED_DOCS documents are named to the log's scan, which lies in order of
+    documents: it skips the row groups that hold none of them."""
+    named = [row["doc_id"] for row in docs.select("doc_id").distinct().limit(NAMED_DOCS + 1).collect()]
+    if len(named) <= NAMED_DOCS:
+        own = log.filter(F.col("doc_id").isin(named))
+    else:
+        own = log.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return unsampled(docs, own, tree_id, namespace)
 
 
 def unsampled_count(docs: DataFrame, log: DataFrame, tree_id: str, namespace: str) -> DataFrame:
@@ -40,6 +50,11 @@ def sample_next(
     return rest.filter(draw < ratio)
 
 
+def by_doc(entries: DataFrame) -> DataFrame:
+    """Log entries in order of documents, so that a reader skips row groups."""
+    return entries.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+
 def log_entries(sampled: DataFrame, tree_id: str, namespace: str) -> DataFrame:
     return sampled.select(
         "doc_id",

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from bagtree.operators import blocks
 from bagtree.operators.append import append
 from bagtree.operators.postings import postings_of, term_stats_of
-from bagtree.operators.sample import log_entries, sample_next, unsampled_of_batch
+from bagtree.operators.sample import by_doc, log_entries, sample_next, unsampled_of_batch
 from bagtree.operators.tree import Progress, TreeShape, train
 from bagtree.operators.versions import TrainingInProgress, active_trees, check_may_start, retired_trees
 from bagtree.sources.scratch import stage, unstage
@@ -25,6 +26,9 @@ from bagtree.sources.tables import FOLD_EVERY, IndexTables
 
 FeaturesOf = Callable[[DataFrame], DataFrame]
 
+# How long a reader holds a tree if it does not say when it is done.
+LEASE_SECONDS = 3600.0
+
 
 class NothingToResume(Exception):
     """No training was left behind, or not far enough to go on."""
@@ -107,7 +111,7 @@ def _finish_training(
         postings=by_term(in_blocks),
         blocks=blocks.block_terms(in_blocks),
         term_stats=term_stats_of(postings),
-        sample_log=log_entries(sampled, tree_id, tables.namespace),
+        sample_log=by_doc(log_entries(sampled, tree_id, tables.namespace)),
     )
     tables.commit(tree_id, "train", 0, sampled.count())
     unstage(postings, placed, in_blocks, tree.nodes)
@@ -194,7 +198,7 @@ def populate(
         postings=by_term(added_postings.unionByName(gained)),
         blocks=blocks.block_terms(added_postings, fresh_blocks).unionByName(blocks.block_terms(gained, members)),
         term_stats=growth.added_stats,
-        sample_log=log_entries(fresh, tree_id, tables.namespace),
+        sample_log=by_doc(log_entries(fresh, tree_id, tables.namespace)),
     )
     tables.commit(tree_id, batch_id, commits[-1].seq + 1, commits[-1].docs_count + added)
     unstage(fresh, features, fresh_blocks, gained, added_postings, growth.postings)
@@ -214,10 +218,33 @@ def abandon_training(tables: IndexTables) -> list[str]:
     return dropped
 
 
+@contextmanager
+def reading(tables: IndexTables, seconds: float = LEASE_SECONDS) -> Iterator[str | None]:
+    """The active tree's id (None without one), which is not retired before the block ends or the time is over.
+
+    The lease is written first and the choice looked at again: a tree that was replaced in between is left, and one that
+    still is the newest cannot have passed a retiring job's look at the leases, as that takes a newer tree.
+    """
+    while True:
+        tree_id = active_tree_id(tables)
+        if tree_id is None:
+            yield None
+            return
+        lease = tables.lease(tree_id, seconds)
+        if active_tree_id(tables) == tree_id:
+            break
+        tables.release(lease)
+    try:
+        yield tree_id
+    finally:
+        tables.release(lease)
+
+
 def retire(tables: IndexTables) -> list[str]:
-    """Drop the older of two finished trees. Returns the ids of what was dropped: at most one."""
+    """Drop the older of two finished trees unless it is being read; a later call drops it then. Returns the ids of what was dropped: at
+    most one."""
     own = tables.trees().filter(F.col("namespace") == tables.namespace)
-    dropped = [row["tree_id"] for row in retired_trees(own).collect()]
+    dropped = [row["tree_id"] for row in retired_trees(own).collect() if not tables.leased(row["tree_id"])]
     for tree_id in dropped:
         tables.drop_tree(tree_id)
     return dropped

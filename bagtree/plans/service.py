@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,7 @@ class SearchService:
     def __post_init__(self) -> None:
         self.caption_index = IndexTables(self.spark, self.base, CAPTIONS, "string")
         self.picture_index = IndexTables(self.spark, self.base, PICTURES, "string")
+        self._held: dict[str, str | None] = {}
 
     # --- ingest
 
@@ -111,8 +114,20 @@ class SearchService:
 
     # --- search
 
+    @contextmanager
+    def reading(self, seconds: float = index_jobs.LEASE_SECONDS) -> Iterator[SearchService]:
+        """Within the block all searches read the trees that are active at its beginning, and these are not retired. Answers are
+        DataFrames: collect or write them before the block ends."""
+        with ExitStack() as leases:
+            held = {t.namespace: leases.enter_context(index_jobs.reading(t, seconds)) for t, _, _ in self._trees()}
+            before, self._held = self._held, held
+            try:
+                yield self
+            finally:
+                self._held = before
+
     def _search(self, tables: IndexTables, queries: DataFrame, n: int) -> DataFrame:
-        tree_id = index_jobs.active_tree_id(tables)
+        tree_id = self._held[tables.namespace] if tables.namespace in self._held else index_jobs.active_tree_id(tables)
         if tree_id is None:
             raise NodeNotFound(f"no finished tree in {tables.namespace}")
         return search(queries, tables.index(tree_id), n, self.threshold)
@@ -134,10 +149,14 @@ class SearchService:
     # --- quality
 
     def experiment(self, texts: DataFrame, ideal: DataFrame | None = None, ns: tuple[int, ...] = quality.NS) -> DataFrame:
-        """(variant, n, mean_precision, mean_ndcg, mean_duration_sec) of both searches.
+        """(variant, n, mean_precision, mean_ndcg, mean_duration_sec) of both searches, on the same trees throughout.
 
         Each n is searched on its own, as its time counts; all queries run as one job.
         """
+        with self.reading():
+            return self._experiment(texts, ideal, ns)
+
+    def _experiment(self, texts: DataFrame, ideal: DataFrame | None, ns: tuple[int, ...]) -> DataFrame:
         queries = stage(self.encode_queries(texts), "queries")
         captions = stage(self._caption_features(self._docs()), "captions")
         ideal = stage(ideal if ideal is not None else quality.ideal_relevances(captions, queries), "ideal")

@@ -11,10 +11,13 @@ later reads start from.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ from bagtree.operators.append import current_assignments
 from bagtree.operators.search import Index
 from bagtree.operators.tree import NODE_SCHEMA, with_sizes
 
-_TABLES = ("nodes", "assignments", "postings", "blocks", "term_stats", "totals", "sample_log", "commits", "progress", "trees")
+_TABLES = ("nodes", "assignments", "postings", "blocks", "term_stats", "totals", "sample_log", "commits", "progress", "leases", "trees")
 _STATS_SCHEMA = "tree_id string, term_id string, df long, total_tf long"
 _BLOCK_SCHEMA = "tree_id string, term_id string, block string, n_docs long, max_tf long, min_tf long, min_doc {doc}, max_doc {doc}"
 
@@ -92,6 +95,27 @@ class IndexTables:
     def drop_progress(self, tree_id: str) -> None:
         self._delete(f"{self.path('progress')}/tree_id={tree_id}")
 
+    # --- leases
+
+    def lease(self, tree_id: str, seconds: float) -> str:
+        """Note that the tree is read until then, or until ``release``: a reader that dies holds it no longer than it said."""
+        path = f"{self.path('leases')}/tree_id={tree_id}/{uuid.uuid4().hex}.json"
+        self._create(path, json.dumps({"until": time.time() + seconds}))
+        return path
+
+    def release(self, lease: str) -> None:
+        self._delete(lease)
+
+    def leased(self, tree_id: str) -> bool:
+        """Whether anybody reads the tree."""
+        for path in self._files(f"{self.path('leases')}/tree_id={tree_id}/*.json"):
+            try:
+                if json.loads(self._content(path))["until"] > time.time():
+                    return True
+            except Py4JJavaError:
+                continue  # released since the listing
+        return False
+
     # --- batches
 
     def commits(self, tree_id: str) -> list[Commit]:
@@ -109,10 +133,19 @@ class IndexTables:
         return sorted(found, key=lambda c: c.seq)
 
     def write_batch(self, tree_id: str, batch_id: str, **tables: DataFrame) -> None:
-        for table, df in tables.items():
+        """Write the batch's partition of each table, all at a time: they do not depend on each other."""
+
+        def write(table: str, df: DataFrame) -> None:
             own = df.drop("tree_id", "batch_id")
             own.write.mode("overwrite").parquet(f"{self.path(table)}/tree_id={tree_id}/batch_id={batch_id}")
 
+        if not tables:
+            return
+        with ThreadPoolExecutor(len(tables)) as pool:
+            running = [pool.submit(inheritable_thread_target(self.spark)(write), *item) for item in tables.items()]
+        for job in running:
+            job.result()
+
     def commit(self, tree_id: str, batch_id: str, seq: int, docs_count: int) -> None:
         """Make a batch visible. Of two batches with one sequence number only the first is committed; a batch may commit again."""
         path = f"{self.path('commits')}/tree_id={tree_id}/seq-{seq:09d}.json"

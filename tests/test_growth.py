@@ -1,6 +1,7 @@
 """Appending in batch and as a stream."""
 
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,17 @@ from bagtree.operators.postings import postings_of, term_stats_of
 from bagtree.operators.search import search
 from bagtree.operators.tree import TreeShape, leaf_nodes, split, train
 from bagtree.operators.versions import TrainingInProgress
-from bagtree.plans.index_jobs import NothingToResume, abandon_training, active_tree_id, populate, resume_training, start_training
+from bagtree.plans.index_jobs import (
+    NothingToResume,
+    abandon_training,
+    active_tree_id,
+    populate,
+    reading,
+    resume_training,
+    retire,
+    start_training,
+)
+from bagtree.operators.sample import by_doc, log_entries, unsampled_of_batch
 from bagtree.sources.scratch import stage
 from bagtree.sources.tables import ConcurrentCommit, IndexTables
 from bagtree.streaming.populate import document_stream, populate_stream
@@ -252,6 +263,54 @@ def test_blocks_of_a_grown_index(stored):
         assert sorted(with_blocks.collect()) == sorted(without.collect()) != []
 
 
+def test_a_tree_in_use_is_not_retired(stored):
+    """A search that began on the older tree ends on it while retiring runs; the next call drops the tree."""
+    tables, docs, features_of = stored
+    old = start_training(tables, docs, features_of, 10**6, SHAPE)
+    queries = features_of(docs.filter("doc_id < 5")).withColumnRenamed("doc_id", "query_id")
+    with reading(tables) as held:
+        assert held == old
+        hits = search(queries, tables.index(held), 3, 0.0001)
+        new = start_training(tables, docs, features_of, 10**6, SHAPE)
+        assert retire(tables) == []
+        with reading(tables) as later:
+            assert later == new
+        assert hits.count() > 0
+        assert tables.postings(old).count() > 0
+    assert retire(tables) == [old] and tables.postings(old).count() == 0
+
+
+def test_a_dead_reader_holds_a_tree_for_its_time_only(tables_of_two):
+    tables = tables_of_two
+    tables.lease("south", -1)
+    assert not tables.leased("south")
+    lease = tables.lease("south", 100)
+    assert tables.leased("south") and retire(tables) == []
+    tables.release(lease)
+    assert retire(tables) == ["south"]
+
+
+@pytest.fixture
+def tables_of_two(spark, tmp_path):
+    tables = IndexTables(spark, str(tmp_path / "index"), "ims")
+    tables.put_tree("south", "ready", datetime(2024, 1, 1))
+    tables.put_tree("north", "ready", datetime(2025, 1, 1))
+    return tables
+
+
+def test_the_log_is_read_by_the_batch_s_documents(spark, tmp_path, monkeypatch):
+    """Named documents reach the scan; the answer is the same with and without names."""
+    docs = spark.range(5000).withColumnRenamed("id", "doc_id")
+    by_doc(log_entries(docs.filter("doc_id % 2 = 0"), "t", "ims")).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    batch = docs.filter("doc_id between 100 and 120")
+    named = unsampled_of_batch(batch, log, "t", "ims")
+    assert "In(doc_id" in named._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr("bagtree.operators.sample.NAMED_DOCS", 3)
+    joined = unsampled_of_batch(batch, log, "t", "ims")
+    assert sorted(named.collect()) == sorted(joined.collect()) and named.count() == 10
+
+
 def test_documents_given_twice_count_once(stored):
     tables, docs, features_of = stored
     tree_id = start_training(tables, docs.unionByName(docs), features_of, 10**6, SHAPE)

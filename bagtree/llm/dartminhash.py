@@ -339,7 +339,14 @@ def representatives(
     of_key, found = _linked_texts(documents, words, similarity, k, bands)
     placed = _named_by_key(of_key, components(found)).where("key = class_id")
     kept = placed.groupBy("comp", F.col("key").alias("_key")).agg(F.min("node").alias("_node")).select("_key", "_node")
-    rest = [F.col(c) for c in documents.columns]
-    keyed = documents.withColumn("_key", document_key()).withColumn("_node", text_node())
-    one = keyed.groupBy("_key", "_node").agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.join(kept, ["_key", "_node"], "left_semi").select("_row.*")
+    fields = [(f"`{f.name}`", f.dataType) for f in documents.schema.fields]
+    row = F.struct(*[F.col(name) for name, _ in fields])
+    # Maps have no order: they compare as text.
+    order = F.struct(*[F.col(name) if _has_order(kind) else F.to_json(F.struct(F.col(name))) for name, kind in fields])
+    keyed = documents.select(document_key().alias("_key"), text_node().alias("_node"), row.alias("row"), order.alias("order"))
+    one = keyed.groupBy("_key", "_node").agg(F.min_by("row", "order").alias("row"))
+    return one.join(kept, ["_key", "_node"], "left_semi").select("row.*")
+
+
+def _has_order(kind) -> bool:
+    return not any(part in kind.simpleString() for part in ("map<", "variant", "interval"))

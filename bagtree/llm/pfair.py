@@ -6,8 +6,7 @@ deadline, so after any number of slots each source is less than one block away f
 
 Weights are exact fractions: the driver deals one slot per block, a table that is joined by (source, block). Where a source has
 no blocks left, a new phase begins in which the others share the slots in proportion to their weights. No row is dropped or
-repeated. For tables whose blocks are too many for the driver, ``period`` rounds the weights to whole blocks per period (one each at
-least): one period is computed then and repeats, and sources are within a block of the rounded shares only.
+repeated.
 """
 
 from __future__ import annotations
@@ -19,78 +18,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagtree.llm.numbering import hash_bits, leading, numbered, unsigned_order
 
 BLOCK_ROWS = 16
 BROADCAST_BLOCKS = 1 << 18  # Tables of more slots are joined by a shuffle.
-MAX_SOURCES = 2000  # The table of weights is a setting, not data: beyond this it is refused.
-
-
-def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Blocks of each source per period: at least one each, the rest by largest remainder."""
-    period = max(period, len(weights))
-    total = sum(Fraction(w) for w in weights.values())
-    spare = period - len(weights)
-    exact = {s: Fraction(w) / total * spare for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    left = period - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        shares[s] += 1
-    return shares
-
-
-def edf_period(shares: Mapping[str, int]) -> list[tuple[str, int, int, int]]:
-    """One period: (source, block, release, deadline) of each slot, earliest deadline first, ties to the lesser source name."""
-    period = sum(shares.values())
-
-    def block(source: str, j: int) -> tuple[int, int]:
-        p = shares[source]
-        return j * period // p, -(-(j + 1) * period // p)
-
-    waiting = [(*block(s, 0), s, 0) for s in shares]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
-    slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        slots.append((s, j, release, deadline))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, (*block(s, j + 1), s, j + 1))
-    return slots
-
-
-def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """The spans of each phase, (phase, source, first block, last block, first slot, share, period), and its slots,
-    (phase, source, block in the period, slot in the period, release, deadline)."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    spans, slots, start, phase = [], [], 0, 0
-    while left:
-        own = {s: shares[s] for s in left}
-        period = sum(own.values())
-        table = edf_period(own)
-        at = {(s, j): t for t, (s, j, _, _) in enumerate(table)}
-        # The phase ends with the first source's last block.
-        length = 1 + min((n - 1) // own[s] * period + at[s, (n - 1) % own[s]] for s, n in left.items())
-        whole, rest = divmod(length, period)
-        taken = {s: whole * own[s] + sum(1 for x in table[:rest] if x[0] == s) for s in left}
-        for s in left:
-            if taken[s]:
-                spans.append((phase, s, done[s], done[s] + taken[s] - 1, start, own[s], period))
-        slots += [(phase, s, j, t, r, d) for t, (s, j, r, d) in enumerate(table)]
-        start, phase = start + length, phase + 1
-        for s in taken:
-            done[s] += taken[s]
-            left[s] -= taken[s]
-            if not left[s]:
-                del left[s]
-    return spans, slots
 
 
 def dealt(blocks: Mapping[str, int], weights: Mapping[str, float]) -> pa.Table:
@@ -147,12 +81,11 @@ def _name(source):
     return F.coalesce(source.cast("string"), F.lit(""))
 
 
+_MADE = ["mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"]
+
+
 def mix(
-    docs: DataFrame,
-    weights: Mapping[str, float] | None = None,
-    exponent: float = 0.5,
-    block_rows: int = BLOCK_ROWS,
-    period: int | None = None,
+    docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``docs`` with mix_phase, mix_block (of the source), mix_slot, mix_release, mix_deadline (both of the phase) and
     mix_offset (in the block): the mixed order is (mix_slot, mix_offset).
@@ -160,16 +93,16 @@ def mix(
     ``weights`` by source name; without them, or for sources not named, a source's rows to the power ``exponent``. A null source
     counts as the source ''. Rows come in the order of a hash of doc_id and text, so equal rows lie together and may swap; null
     ids and texts are allowed. Only a source's last block may be short. An empty table gives an empty result. Of
-    columns named as those made here, the docs' own are replaced.
+    columns named as those made here, the docs' own are replaced; all others pass through, whatever their names.
     """
-    made = ["mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"]
-    docs = docs.drop(*made)
+    return _placed(docs.drop(*_MADE), weights, exponent, block_rows).select("row.*", *_MADE)
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, exponent: float, block_rows: int) -> DataFrame:
+    """The rows as one struct ``row`` each, beside their place."""
     spark = docs.sparkSession
     counted = docs.groupBy(_name(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-    rows = {r["s"]: r["n"] for r in sizes}
+    rows = {r["s"]: r["n"] for r in counted.collect()}  # one entry per source
     wanted = temperature_weights(rows, exponent)
     if weights:
         named = {s: float(w) for s, w in weights.items() if s in wanted}
@@ -178,60 +111,30 @@ def mix(
         wanted |= named
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
 
-    hashed = docs.withColumn("_source", _name(F.col("source"))).withColumn("_hash", F.xxhash64("doc_id", "text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = docs.select(whole, _name(F.col("source")).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"))
     bucketed = hashed.withColumn("_bucket", leading(F.col("_hash"), hash_bits(sum(rows.values()))))
-    order = [unsigned_order(F.col("_hash")), F.col("doc_id")]
+    order = [unsigned_order(F.col("_hash")), F.col("row.doc_id")]
     ranked = numbered(bucketed, ["_source"], "_bucket", order, "_rank").drop("_hash", "_bucket")
     blocked = ranked.withColumn("mix_block", F.expr(f"_rank div {block_rows}")).withColumn(
         "mix_offset", (F.col("_rank") % block_rows).cast("int")
     )
-    if period is None:
-        table = dealt(blocks, wanted)
-        slots = spark.createDataFrame(table, _DEALT) if table.num_rows else spark.createDataFrame([], _DEALT)
-        slots = F.broadcast(slots) if table.num_rows <= BROADCAST_BLOCKS else slots
-        own = (F.col("_source") == F.col("t_source")) & (F.col("mix_block") == F.col("t_block"))
-        return blocked.join(slots, own).select(
-            *docs.columns, "mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"
-        )
-    span, slot = _tables(spark, *phases(blocks, whole_shares(wanted, period) if wanted else {}))
-    # Both tables are bounded by the number of sources and the period.
-    in_phase = blocked.join(
-        F.broadcast(span),
-        (F.col("_source") == F.col("s_source")) & F.col("mix_block").between(F.col("first_block"), F.col("last_block")),
-    ).withColumn("_nth", F.col("mix_block") - F.col("first_block"))
-    in_phase = in_phase.withColumn("_in_period", F.expr("cast(_nth % share as int)")).withColumn(
-        "_turn", F.expr("_nth div share * period")
-    )
-    placed = in_phase.join(
-        F.broadcast(slot),
-        (F.col("mix_phase") == F.col("t_phase")) & (F.col("_source") == F.col("t_source")) & (F.col("_in_period") == F.col("t_block")),
-    )
-    return placed.select(
-        *docs.columns,
-        "mix_phase",
-        "mix_block",
-        (F.col("first_slot") + F.col("_turn") + F.col("t_slot")).alias("mix_slot"),
-        (F.col("_turn") + F.col("t_release")).alias("mix_release"),
-        (F.col("_turn") + F.col("t_deadline")).alias("mix_deadline"),
-        "mix_offset",
-    )
-
-
-def _tables(spark: SparkSession, spans: list[tuple], slots: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    span = spark.createDataFrame(
-        spans,
-        "mix_phase int, s_source string, first_block long, last_block long, first_slot long, share long, period long",
-    )
-    slot = spark.createDataFrame(
-        slots, "t_phase int, t_source string, t_block int, t_slot long, t_release long, t_deadline long"
-    )
-    return span, slot
+    table = dealt(blocks, wanted)
+    slots = spark.createDataFrame(table, _DEALT) if table.num_rows else spark.createDataFrame([], _DEALT)
+    slots = F.broadcast(slots) if table.num_rows <= BROADCAST_BLOCKS else slots
+    own = (F.col("_source") == F.col("t_source")) & (F.col("mix_block") == F.col("t_block"))
+    return blocked.join(slots, own).select("row", *_MADE)
 
 
-def in_mixed_order(docs: DataFrame, rows_per_file: int = 100_000, **options) -> DataFrame:
+def in_mixed_order(
+    docs: DataFrame,
+    rows_per_file: int = 100_000,
+    weights: Mapping[str, float] | None = None,
+    exponent: float = 0.5,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """``docs`` with its own columns, in partitions and rows of the mixed order: written files, in order of their names, hold it."""
-    total = docs.count()
-    mixed = mix(docs, **options)
-    files = max(1, -(-total // rows_per_file))
-    ordered = mixed.repartitionByRange(files, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
-    return ordered.select(*docs.columns)
+    files = max(1, -(-docs.count() // rows_per_file))
+    placed = _placed(docs, weights, exponent, block_rows).select("row", "mix_slot", "mix_offset")
+    ordered = placed.repartitionByRange(files, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
+    return ordered.select("row.*")

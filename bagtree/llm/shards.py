@@ -70,13 +70,15 @@ def shard_in_file_order(docs: DataFrame, shards: Mapping[int, float], rows_per_b
     """``docs``, read from files, with shard and slot: slots number a shard's rows from 0 in the order of file names and of rows in a
     file. A shard's rows lie in few partitions in that order. Columns named shard or slot are replaced.
     """
-    made = ["shard", "slot"]
-    plain = docs.drop(*made)
+    plain = docs.drop("shard", "slot")
+    name, row = (docs.metadataColumn("_metadata").getField(field) for field in ("file_name", "row_index"))
+    # Writers pad the number of a part to five digits only.
+    file = F.concat_ws("/", F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name)
+    stretch = F.lpad((row / F.lit(rows_per_bucket * len(shards))).cast("long").cast("string"), 12, "0")
     placed = plain.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"),
         rendezvous(F.col("doc_id"), shards).alias("shard"),
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
-    ).withColumn("_stretch", F.concat_ws("/", "_file", F.lpad(F.expr(f"_row div {rows_per_bucket * len(shards)}"), 12, "0")))
-    slotted = numbered(placed, ["shard"], "_stretch", [F.col("_row")], "slot")
-    return slotted.drop("_file", "_row", "_stretch")
+        F.concat_ws("/", file, stretch).alias("stretch"),
+        row.alias("place"),
+    )
+    return numbered(placed, ["shard"], "stretch", [F.col("place")], "slot").select("row.*", "shard", "slot")

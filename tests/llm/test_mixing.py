@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -5,59 +6,54 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from bagtree.llm.pfair import edf_period, in_mixed_order, mix, phases, whole_shares
+from bagtree.llm.pfair import dealt, in_mixed_order, mix
 from tests.llm.helpers import DOCUMENTS, clashing, documents, rows
 
 
-def test_period_meets_windows_and_stays_within_a_block():
-    random.seed(5)
-    for _ in range(30):
-        sources = {f"s{i}": random.randint(1, 40) for i in range(random.randint(1, 9))}
-        period = sum(sources.values())
-        seen = Counter()
-        for t, (s, j, release, deadline) in enumerate(edf_period(sources)):
-            assert release <= t < deadline and j == seen[s]
-            seen[s] += 1
-            for name, share in sources.items():
-                assert abs(seen[name] - Fraction(share * (t + 1), period)) < 1
-        assert seen == sources
-
-
-def test_phases_use_every_block_once():
-    blocks, shares = {"a": 23, "b": 5, "c": 1, "d": 0}, {"a": 2, "b": 5, "c": 3, "d": 1}
-    spans, slots = phases(blocks, shares)
-    at = {(p, s, j): t for p, s, j, t, _, _ in slots}
-    taken = {}
-    for phase, s, first, last, start, share, period in spans:
-        for j in range(first, last + 1):
-            n = j - first
-            taken[s, j] = start + n // share * period + at[phase, s, n % share]
-    assert sorted(taken.values()) == list(range(29))
-    assert all(taken[s, j] < taken[s, j + 1] for s, j in taken if (s, j + 1) in taken)
-
-
-def test_shares_are_whole_and_all_served():
-    shares = whole_shares({"a": 1e9, "b": 1.0, "c": 1e-9}, 100)
-    assert sum(shares.values()) == 100 and min(shares.values()) == 1
-    assert sum(whole_shares({str(i): 1.0 for i in range(50)}, 10).values()) == 50
-
-
 def test_mix_keeps_all_rows_in_one_order(spark):
     data = rows(n=200)
-    names = ["mix_slot", "share", "period", "_rank"]
-    got = mix(clashing(documents(spark, data), "mix_slot"), {"s0": 3.0, "s1": 1.0, "s9": 5.0}, block_rows=4, period=20).collect()
-    assert len(names) and Counter((r.doc_id, r.text, r.source) for r in got) == Counter((i, t, s) for i, t, _, s, _ in data)
+    weights = {"s0": 3.0, "s1": 1.0, "s9": 5.0}
+    got = mix(clashing(documents(spark, data), "mix_slot"), weights, block_rows=4).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter((i, t, s) for i, t, _, s, _ in data)
     assert len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
     slots = Counter(r.mix_slot for r in got)
     assert sorted(slots) == list(range(len(slots))) and max(slots.values()) <= 4
     owner = {r.mix_slot: r.source or "" for r in got}
     blocks = Counter(owner.values())
-    shares = whole_shares({"s0": 3.0, "s1": 1.0} | {s: sum((r[3] or "") == s for r in data) ** 0.5 for s in ("", "s2")}, 20)
-    seen, total = Counter(), sum(shares.values())
+    shares = {"s0": 3.0, "s1": 1.0} | {s: sum((r[3] or "") == s for r in data) ** 0.5 for s in ("", "s2")}
+    seen, total = Counter(), sum(map(Fraction, shares.values()))
     for t in range(len(owner)):
         seen[owner[t]] += 1
         if all(seen[s] < n for s, n in blocks.items()):
-            assert all(abs(seen[s] - Fraction(shares[s] * (t + 1), total)) < 1 for s in shares)
+            assert all(abs(seen[s] - Fraction(shares[s]) * (t + 1) / total) < 1 for s in shares)
+
+
+def plain_schedule(blocks, weights):
+    """An independent scheduler: slot after slot, of all sources whose next block is released the one with the earliest deadline;
+    a new start once a source has run out."""
+    done, out, start = Counter(), [], 0
+    while any(done[s] < n for s, n in blocks.items()):
+        left = sorted(s for s, n in blocks.items() if done[s] < n)
+        mass, taken = sum(Fraction(weights[s]) for s in left), Counter()
+        share = {s: Fraction(weights[s]) / mass for s in left}
+        while all(done[s] < blocks[s] for s in left):
+            now = len(out) - start
+            ready = [(math.ceil((taken[s] + 1) / share[s]), s) for s in left if math.floor(taken[s] / share[s]) <= now]
+            chosen = min(ready)[1]
+            out.append((chosen, done[chosen]))
+            done[chosen] += 1
+            taken[chosen] += 1
+        start = len(out)
+    return out
+
+
+def test_order_equals_an_independent_scheduler():
+    rng = random.Random(3)
+    for _ in range(40):
+        blocks = {f"s{i}": rng.randint(0, 25) for i in range(rng.randint(1, 7))}
+        weights = {s: rng.choice([0.1, 0.25, 1.0, 3.0, rng.random() + 0.01]) for s in blocks}
+        table = dealt(blocks, weights).to_pydict()
+        assert list(zip(table["t_source"], table["t_block"])) == plain_schedule(blocks, weights)
 
 
 def test_files_hold_the_mixed_order(spark, tmp_path):
@@ -74,14 +70,18 @@ def test_empty_and_bad_input(spark):
     assert mix(spark.createDataFrame([], DOCUMENTS)).collect() == []
     with pytest.raises(ValueError):
         mix(documents(spark), {"s0": 0.0})
-    with pytest.raises(ValueError):
-        mix(spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.col("id").cast("string").alias("source")))
+
+
+def test_five_thousand_sources(spark):
+    many = spark.range(15_000).select(
+        F.col("id").alias("doc_id"), F.lit("").alias("text"), (F.col("id") % 5000).cast("string").alias("source")
+    )
+    got = mix(many, block_rows=1).agg(F.countDistinct("mix_slot"), F.max("mix_slot"), F.count("*")).first()
+    assert tuple(got) == (15_000, 14_999, 15_000)
 
 
 def test_lag_is_below_a_block_of_the_target_weights(spark):
     """Every prefix, for few and for many sources, one of which has half of the weight."""
-    from bagtree.llm.pfair import dealt
-
     for others, slots in ((9, 3000), (100, 3000), (1000, 4000)):
         weights = {"half": 0.5} | {f"s{i}": 0.5 / others for i in range(others)}
         table = dealt(dict.fromkeys(weights, slots), weights).slice(0, slots).to_pydict()

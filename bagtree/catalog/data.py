@@ -26,6 +26,9 @@ SHAPE = TreeShape(k=4, levels=2, min_samples=20, iters=1, init="hash")
 # Terms of so flat a tree are wide; the default threshold of 0.05 suits deep ones.
 THRESHOLD = 0.0003
 
+# Leaves of a few captions, whatever the size of the table, as the default threshold wants them.
+DEEP = TreeShape(k=4, levels=8, min_samples=8, iters=1, init="hash")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,11 +75,11 @@ def build_index(features: DataFrame, tree_id: str, shape: TreeShape) -> Built:
 _built: dict[tuple[str, str, str], Built] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, features_of) -> Built:
+def _once(spark: SparkSession, sf_dir: str, name: str, features_of, shape: TreeShape = SHAPE) -> Built:
     """An index is trained once per session and then read by all queries, as a stored index is."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        _built[key] = build_index(features_of(spark, sf_dir), name, SHAPE)
+        _built[key] = build_index(features_of(spark, sf_dir), name, shape)
     return _built[key]
 
 
@@ -86,3 +89,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> Built:
 
 def captions(spark: SparkSession, sf_dir: str) -> Built:
     return _once(spark, sf_dir, "captions", caption_features)
+
+
+def deep_captions(spark: SparkSession, sf_dir: str) -> Built:
+    return _once(spark, sf_dir, "deep", caption_features, DEEP)

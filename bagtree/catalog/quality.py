@@ -8,7 +8,7 @@ from bagtree.catalog import sql
 from bagtree.catalog.data import THRESHOLD, caption_features, captions, pictures, test_captions
 from bagtree.catalog.ingest import captioned_items
 from bagtree.catalog.registry import query
-from bagtree.catalog.searching import TEXT_HITS, TWO_STEP, feedback_queries
+from bagtree.catalog.searching import DEEP_HITS, TEXT_HITS, TWO_STEP, deep_search, feedback_queries
 from bagtree.operators import evaluate as quality
 from bagtree.operators import metric
 from bagtree.operators.search import search
@@ -137,13 +137,15 @@ def evaluate_sweep_both(spark, sf_dir):
     )
 
 
-@query(
-    sql.with_ctes(
-        [*TEXT_HITS, *sql.exact("caps", "tests", 20), "ns AS (SELECT unnest([1, 5, 10, 20]) AS n)"],
+def _recall_sql(hits):
+    return sql.with_ctes(
+        [*hits, *sql.exact("caps", "tests", 20), "ns AS (SELECT unnest([1, 5, 10, 20]) AS n)"],
         """SELECT n, round(count(h.doc_id) / count(*), 6) AS recall FROM ns JOIN best b ON b.rank <= n
            LEFT JOIN hits h ON h.query_id = b.query_id AND h.doc_id = b.doc_id AND h.rank <= n GROUP BY n""",
     )
-)
+
+
+@query(_recall_sql(TEXT_HITS))
 def recall_vs_exact(spark, sf_dir):
     """Share of the exact first n that the tree search also has among its first n."""
     built, queries = captions(spark, sf_dir), test_captions(spark, sf_dir)
@@ -151,6 +153,13 @@ def recall_vs_exact(spark, sf_dir):
     return quality.recall(results, _exact(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
 
 
+@query(_recall_sql(DEEP_HITS))
+def recall_deep_vs_exact(spark, sf_dir):
+    """The same of the deep tree's search."""
+    results = stage(deep_search(spark, sf_dir), "results")
+    return quality.recall(results, _exact(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
 @query(
     sql.with_ctes(
         TEXT_HITS,

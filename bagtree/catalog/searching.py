@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from bagtree.catalog import sql
-from bagtree.catalog.data import THRESHOLD, build_index, captions, picture_features, pictures, test_captions
+from bagtree.catalog.data import DEEP, THRESHOLD, build_index, captions, deep_captions, picture_features, pictures, test_captions
 from bagtree.catalog.registry import query
 from bagtree.operators.blocks import assign_blocks, block_terms, with_blocks
 from bagtree.operators.feedback import NEAREST_CAPTIONS, feedback_bag
-from bagtree.operators.search import prune, query_terms, search, term_weights
+from bagtree.operators.search import TF_IDF_THRESHOLD, prune, query_terms, search, term_weights
 from bagtree.operators.tree import TreeShape
 from bagtree.sources.scratch import stage
 
@@ -125,6 +125,28 @@ def search_text_in_blocks(spark, sf_dir):
     return _output(search(test_captions(spark, sf_dir), _in_blocks(captions(spark, sf_dir), "captions"), 20, THRESHOLD))
 
 
+DEEP_HITS = [
+    *sql.CAPTIONS,
+    *sql.tree("caps", k=DEEP.k, levels=DEEP.levels, min_samples=DEEP.min_samples),
+    *sql.postings("tree_leaves"),
+    *sql.TEST_CAPTIONS,
+    *sql.descend("tests", "query_id", "tree_nodes", "test_leaves", levels=DEEP.levels),
+    *sql.weights("test_leaves", "caps"),
+    *sql.ranking(20, TF_IDF_THRESHOLD),
+]
+
+
+def deep_search(spark, sf_dir):
+    index = _in_blocks(deep_captions(spark, sf_dir), "deep")
+    return search(test_captions(spark, sf_dir), index, 20, TF_IDF_THRESHOLD)
+
+
+@query(sql.with_ctes(DEEP_HITS, _HITS))
+def search_text_deep(spark, sf_dir):
+    """The text search in a tree with leaves of a few captions, at the default threshold, through blocks."""
+    return _output(deep_search(spark, sf_dir))
+
+
 @query(sql.with_ctes(TEXT_HITS, _HITS))
 def search_text(spark, sf_dir):
     """For every test caption the twenty captioned items nearest to it."""

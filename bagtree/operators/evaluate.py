@@ -49,6 +49,9 @@ def exact_topk(captions: DataFrame, queries: DataFrame, n: int = MAX_N, block_by
             kernels.best_similarities(shared, n, SCORE_DIGITS),
             f"query_id {query_type}, doc_id {doc_type}, similarity double",
         )
+        if blocks > 1:  # one block of queries at a time is kept on the executors
+            best = stage(best, "best")
+            shared.destroy()
         found = best if found is None else found.unionAll(best)
     per_doc = found.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
     return top_n(per_doc, n, F.col("similarity").desc()).select("query_id", "rank", "doc_id", "similarity")

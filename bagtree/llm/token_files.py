@@ -186,7 +186,8 @@ def read_documents(files: DataFrame) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = files.select("part", F.coalesce(before, F.lit(0)).alias("offset"))  # one row per file
     found = files.select("part", "path").repartition(max(1, count), "part").mapInArrow(read, _READ)
-    return found.join(offsets, "part").select(
+    # One row per file goes to the rows of documents, never the other way.
+    return found.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("offset") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagtree.llm.numbering import hash_bits, leading, numbered, unsigned_order
@@ -95,11 +95,23 @@ def mix(
     ids and texts are allowed. Only a source's last block may be short. An empty table gives an empty result. Of
     columns named as those made here, the docs' own are replaced; all others pass through, whatever their names.
     """
-    return _placed(docs.drop(*_MADE), weights, exponent, block_rows).select("row.*", *_MADE)
+    docs = docs.drop(*_MADE)
+    # Under names of our own, column by column, so that one which is not asked for later is not shuffled.
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    carried = [F.col(f"`{c}`").alias(name) for c, name in names.items()]
+    placed = _placed(docs, carried, F.col(names["doc_id"]), weights, exponent, block_rows)
+    return placed.select(*[F.col(name).alias(c) for c, name in names.items()], *_MADE)
 
 
-def _placed(docs: DataFrame, weights: Mapping[str, float] | None, exponent: float, block_rows: int) -> DataFrame:
-    """The rows as one struct ``row`` each, beside their place."""
+def _placed(
+    docs: DataFrame,
+    carried: list[Column],
+    doc_id: Column,
+    weights: Mapping[str, float] | None,
+    exponent: float,
+    block_rows: int,
+) -> DataFrame:
+    """The ``carried`` columns of each row, of which ``doc_id`` is one or part of one, beside its place."""
     spark = docs.sparkSession
     counted = docs.groupBy(_name(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     rows = {r["s"]: r["n"] for r in counted.collect()}  # one entry per source
@@ -111,10 +123,9 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, exponent: floa
         wanted |= named
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
 
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    hashed = docs.select(whole, _name(F.col("source")).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"))
+    hashed = docs.select(*carried, _name(F.col("source")).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"))
     bucketed = hashed.withColumn("_bucket", leading(F.col("_hash"), hash_bits(sum(rows.values()))))
-    order = [unsigned_order(F.col("_hash")), F.col("row.doc_id")]
+    order = [unsigned_order(F.col("_hash")), doc_id]
     ranked = numbered(bucketed, ["_source"], "_bucket", order, "_rank").drop("_hash", "_bucket")
     blocked = ranked.withColumn("mix_block", F.expr(f"_rank div {block_rows}")).withColumn(
         "mix_offset", (F.col("_rank") % block_rows).cast("int")
@@ -123,7 +134,7 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, exponent: floa
     slots = spark.createDataFrame(table, _DEALT) if table.num_rows else spark.createDataFrame([], _DEALT)
     slots = F.broadcast(slots) if table.num_rows <= BROADCAST_BLOCKS else slots
     own = (F.col("_source") == F.col("t_source")) & (F.col("mix_block") == F.col("t_block"))
-    return blocked.join(slots, own).select("row", *_MADE)
+    return blocked.join(slots, own).drop("_source", "_rank", "t_source", "t_block")
 
 
 def in_mixed_order(
@@ -135,6 +146,7 @@ def in_mixed_order(
 ) -> DataFrame:
     """``docs`` with its own columns, in partitions and rows of the mixed order: written files, in order of their names, hold it."""
     files = max(1, -(-docs.count() // rows_per_file))
-    placed = _placed(docs, weights, exponent, block_rows).select("row", "mix_slot", "mix_offset")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _placed(docs, [whole], F.col("row.doc_id"), weights, exponent, block_rows).select("row", "mix_slot", "mix_offset")
     ordered = placed.repartitionByRange(files, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
     return ordered.select("row.*")

@@ -68,7 +68,7 @@ class Model:
         self.mass2 = np.repeat(mass[1], _LEVELS)
         self.mass1 = (np.tile(mass[0], _LEVELS) * (TOTAL - self.mass2)) >> np.uint64(BITS)
         if symbols:  # the id of each value, for the decoder
-            self.symbols = np.repeat(np.arange(self.vocab, dtype=np.uint32), freq)
+            self.symbols = np.repeat(np.arange(self.vocab, dtype=np.uint16 if self.vocab <= 1 << 16 else np.uint32), freq)
 
     def context2(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         mixed = (last.astype(np.uint64) * np.uint64(self.vocab + 1) + before.astype(np.uint64)) * _HASH

@@ -41,8 +41,8 @@ def write_flat(documents: DataFrame, tokenizer: str, end_id: int = END_ID, dtype
         path = f"{folder}/part-{part:08d}.bin"
         encode, out, doc_ids, size = encoder(tokenizer, apart, True).encode, None, [], 0
         try:
-            for batch in slices(batches):
-                ids, counts = encode(batch["text"].to_pylist())
+            for batch in slices(batches, rows=5000):
+                ids, counts = encode(batch["text"])
                 flat = np.insert(ids, np.cumsum(counts), end_id).astype(dtype)
                 out = out or Whole(path)
                 out.write(flat.tobytes())

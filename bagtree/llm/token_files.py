@@ -141,8 +141,8 @@ def write_token_files(
         out, encode = BlockWriter(path, vocab), encoder(tokenizer, apart).encode
         end = np.array([end_id], np.uint32)
         try:
-            for batch in slices(batches):
-                ids, counts = encode(batch["text"].to_pylist())
+            for batch in slices(batches, rows=5000):
+                ids, counts = encode(batch["text"])
                 ends = np.cumsum(counts)
                 for doc_id, n, stop in zip(batch["doc_id"].to_pylist(), counts.tolist(), ends.tolist()):
                     out.add(doc_id, np.concatenate([ids[stop - n : stop], end]))

@@ -75,6 +75,10 @@ def test_word_cache_gives_the_tokenizers_ids():
         ids, counts = small.encode(texts)
         expected = plain_ids(texts)
         assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+    scripts = "aBñŐŉıĳǅȺЖёӁぁヺ中龥가힣\u0301\u0338\u1100ΑΩẞK#$%&*().,'<|>-=0²Ⅷ"
+    texts = [" ".join("".join(rng.choice(scripts) for _ in range(rng.randint(1, 6))) for _ in range(40)) for _ in range(200)]
+    ids, counts = TextEncoder(WORDS, True).encode(texts)
+    assert ids.tolist() == [i for x in plain_ids(texts) for i in x]
     assert drops_white_space(WORDS) and not drops_white_space(BYTES)
     texts = ["a  b\n c", "", None, "x <|endoftext|> y"]
     ids, counts = TextEncoder(BYTES, False, literal_specials=True).encode(texts)

@@ -13,7 +13,7 @@ for it.
 
 Data flow: one pass counts words. One pass packs each chunk of documents into compressed postings by part; words with more than
 ``hot_share`` of the tokens (at most ``1 / hot_share``) do not go to a part: their counts by context are summed before they are
-shuffled, and they are scored where their documents are. Parts score their postings and send one sum per document, added up over
+shuffled, and they are scored where their documents are; the pairs of one hot word are a part of their own. Parts score their postings and send one sum per document, added up over
 many parts first. All sizes in a task are bounded by the chunk, the part and the shares.
 """
 
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from bagtree.llm.words import chunks, words_of
 from bagtree.sources.scratch import delete_path, scratch_path, stage, unstage
 
-CONTEXT_SHARE = 2.5e-4
+CONTEXT_SHARE = 2**-15
 HOT_SHARE = 1e-3
 CHUNK_BYTES = 12 << 20
 PART_TOKENS = 1_000_000
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
+_HOT_PART = 1 << 30  # the first of the parts that hold one hot word each
 _SMALL = 20  # tables of up to so many customers are drawn exactly
 _TOKEN_BYTES = np.ones(256, bool)
 _TOKEN_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -95,9 +96,9 @@ class Vocabulary:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.uint16)
         if len(self.contexts):
-            table = np.zeros(1 << 16, bool)
-            table[(self.contexts >> np.uint64(48)).astype(np.int64)] = True
-            maybe = np.flatnonzero(table[(hashes >> np.uint64(48)).astype(np.int64)])
+            table = np.zeros(1 << 22, bool)
+            table[(self.contexts >> np.uint64(42)).astype(np.int64)] = True
+            maybe = np.flatnonzero(table[(hashes >> np.uint64(42)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.contexts, hashes[maybe]), len(self.contexts) - 1)
             good = self.contexts[at] == hashes[maybe]
             out[maybe[good]] = at[good] + 1
@@ -394,8 +395,8 @@ def _summed(parts: DataFrame, function, length: int) -> np.ndarray:
 
     rows = parts.select("part", "pairs").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
     out = np.zeros(length)
-    for r in rows.collect():  # at most one row per context and a few more
-        out[r["at"]] = r["value"]
+    table = rows.toArrow()  # at most two rows per context and a few more
+    out[table["at"].to_numpy()] = table["value"].to_numpy()
     return out
 
 
@@ -466,8 +467,9 @@ def score_documents(
     parts = stage(compiled.applyInPandas(_compile_part, "part int, pairs binary, postings binary"), "parts")
     delete_path(spark, f"{folder}/kind={_TAIL}")
 
-    hot = _hot_pairs(of_kind[_HOT], int(vocab.hot.max(initial=-1)) + 1, contexts)
-    stats = _statistics(*hot, contexts) + _summed(parts, lambda part, pairs: _statistics(*pairs, contexts), 2 * contexts + 6)
+    hot = stage(_hot_parts(of_kind[_HOT]), "hot_parts")
+    every = parts.select("part", "pairs").unionByName(hot)
+    stats = _summed(every, lambda part, pairs: _statistics(*pairs, contexts), 2 * contexts + 6)
     ones, twos, root_ones, root_twos, root_customers, words = stats[-6:]
     totals = Totals(
         stats[:contexts], stats[contexts : 2 * contexts], root_customers, words,
@@ -477,16 +479,15 @@ def score_documents(
     plan = (sweeps, burn)
     for n in range(1, rounds + 1):
         before = totals
-        sums = _seated(*hot, before, contexts, plan, [n, 1 << 31])[0] + _summed(
-            parts, lambda part, pairs: _seated(*pairs, before, contexts, plan, [n, part])[0], contexts + 2
-        )
+        sums = _summed(every, lambda part, pairs: _seated(*pairs, before, contexts, plan, [n, part])[0], contexts + 2)
         totals = Totals(
             totals.customers, sums[:contexts], sums[-2], sums[-1], totals.discount, totals.root_discount, totals.unknown, totals.each
         )
     # Scoring seats the last round once more, from the same seeds, and averages under the totals that came of it.
     norm = vocab.tokens + 0.1 * (vocab.words + 1)
 
-    table = spark.sparkContext.broadcast(_hot_table(hot, before, totals, contexts, plan, [rounds, 1 << 31], norm))
+    hot_words = int(vocab.hot.max(initial=-1)) + 1
+    table = spark.sparkContext.broadcast(_hot_table(hot, hot_words, before, totals, contexts, plan, rounds, norm))
 
     def score_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base = table.value
@@ -540,40 +541,49 @@ def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
-def _hot_pairs(chunks: DataFrame, words: int, contexts: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Training counts of the hot words by context: at most (1 / hot_share) * (1 / context_share) pairs."""
+def _hot_parts(chunks: DataFrame) -> DataFrame:
+    """One row per hot word: part, and its pairs of training tokens, at most one per context."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(words * contexts, np.int64)
         for batch in batches:
             for blob in batch["blob"]:
                 doc, word, context, n, held = unpack(blob.as_py())
                 train = ~held[doc]
-                at = word[train].astype(np.int64) * contexts + context[train]
-                total += np.bincount(at, n[train], len(total)).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+                key, place = np.unique((word[train].astype(np.int64) << 16) | context[train], return_inverse=True)
+                total = np.bincount(place, n[train], len(key)).astype(np.int64)
+                columns = [(key >> 16).astype(np.int32), (key & 0xFFFF).astype(np.int32), total]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "context", "n"])
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("context")
+        pairs = pack(np.zeros(len(frame), np.uint32), frame["context"].to_numpy(np.uint16), frame["n"].to_numpy(np.int64))
+        return pd.DataFrame({"part": [_HOT_PART + int(frame["word"].iloc[0])], "pairs": [pairs]})
 
-    if not words:
-        return 0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    table = chunks.select("blob").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = table["at"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(at)
-    return words, at[order] // contexts, at[order] % contexts, n[order]
+    pairs = chunks.select("blob").mapInArrow(count, "word int, context int, n long").groupBy("word", "context")
+    return pairs.agg(F.sum("n").alias("n")).groupBy("word").applyInPandas(packed, "part int, pairs binary")
 
 
 def _hot_table(
-    hot: tuple, before: Totals, totals: Totals, contexts: int, plan: tuple, seed, norm: float
+    hot: DataFrame, words: int, before: Totals, totals: Totals, contexts: int, plan: tuple, last: int, norm: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the model for every (hot word, context) and of the base for every hot word."""
-    words, word, context, _ = hot
-    if not words:
-        return np.empty(0), np.empty(0)
-    means = _seated(*hot, before, contexts, plan, seed)[1]
-    probability, count = _probabilities(*hot, totals, means)
-    dense = totals.backoff()[None, :] * _root(totals, means)[:, None]  # where the context has not seen the word
-    dense[word, context] = probability
-    return np.log10(dense).ravel(), np.log10((count + 0.1) / norm)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blob in zip(batch["part"].to_pylist(), batch["pairs"]):
+                pairs = _pairs(blob.as_py())
+                means = _seated(*pairs, before, contexts, plan, [last, part])[1]
+                probability, count = _probabilities(*pairs, totals, means)
+                line = totals.backoff() * _root(totals, means)[0]  # where the context has not seen the word
+                line[pairs[2]] = probability
+                row = [[part - _HOT_PART], [np.log10(line).tobytes()], [float(np.log10((count[0] + 0.1) / norm))]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names=["word", "line", "base"])
+
+    model, base = np.zeros((words, contexts)), np.zeros(words)
+    if words:
+        for row in hot.mapInArrow(lines, "word int, line binary, base double").toLocalIterator():  # one row per hot word
+            model[row["word"]], base[row["word"]] = np.frombuffer(row["line"]), row["base"]
+    return model.ravel(), base
 
 
 def _finish(frame: pd.DataFrame) -> pd.DataFrame:

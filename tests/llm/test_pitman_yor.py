@@ -56,14 +56,6 @@ def test_context_helps(spark):
     assert sum(both.values()) > 0.65 * sum(alone.values())
 
 
-def test_hot_words_score_as_others_do(spark):
-    """The same model, seated by word or by part from other seeds."""
-    data = rows(n=200)
-    some = {r.doc_id: r.score for r in score(spark, data, context_share=0.002, hot_share=0.01)}
-    none = {r.doc_id: r.score for r in score(spark, data, context_share=0.002, hot_share=1.0)}
-    assert all(abs(some[k] - none[k]) <= 0.05 * abs(none[k]) + 0.5 for k in none)
-
-
 def test_nothing_to_learn_from(spark):
     assert score(spark, []) == []
     got = score(spark, [(None, "only one", "en", "s", 1)])

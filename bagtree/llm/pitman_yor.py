@@ -1,26 +1,31 @@
 """Language-model scoring: a hierarchical Pitman-Yor model (Teh 2006) of words after words, seated by Gibbs sampling.
 
-Frequent words open a context restaurant each; what follows them sits there. All context restaurants share one parent, whose
-customers are their tables and the words after all other contexts; its own tables draw from a base measure, half of it on
-the unknown word, half spread over the words of the training rows. Which words are contexts is set by their share of the training
-tokens, so there are at most ``1 / context_share`` of them, however large the corpus; everything else (words, pairs of word and context) grows with it.
+Every word opens a context restaurant; what follows it sits there. All context restaurants share one parent, whose customers are
+their tables; its own tables draw from a base measure, half of it on the unknown word, half spread over the words of the training
+rows.
 
 Given the totals of the restaurants, seatings of different words do not depend on each other. So words are hashed to parts; a
 Gibbs sweep over a part draws the number of tables of every (context, word) given the word's probability in the parent, then the
-word's tables in the parent, and so on; the totals (one number per context) are summed up after each round of sweeps and sent to the next.
+word's tables in the parent, and so on; the totals of the contexts are summed up after each round of sweeps and sent to the next.
 The predictive probability is linear in the tables and in the parent's probability, so those are averaged over the sweeps
 for it.
 
-Data flow: one pass counts words. One pass packs each chunk of documents into compressed postings by part; words with more than
-``hot_share`` of the tokens (at most ``1 / hot_share``) do not go to a part: their counts by context are summed before they are
-shuffled, and they are scored where their documents are. Parts score their postings and send one sum per document, added up over
-many parts first. All sizes in a task are bounded by the chunk, the part and the shares.
+Totals travel in two ways. Contexts with more than ``context_share`` of the training tokens (at most ``1 / context_share``) have
+numbers, and their totals are broadcast. All other contexts are hashed to context parts: every part sends its sums by
+context there and gets back the totals of the contexts that it holds, so no task or broadcast holds those of all words.
+
+Data flow: one pass counts words. One pass packs each chunk of documents into compressed postings by part. Words with more than
+``hot_share`` of the tokens (at most ``1 / hot_share``) do not go to a part of their own hash. After a numbered context, their counts are
+summed before they are shuffled, and they are scored where their documents are; after another context, they go to a part by the context's
+hash, and seats there are drawn given the word's probability in the parent after the round before. Parts score their
+postings and send one sum per document, added up over many parts first. All sizes in a task are bounded by the chunk, the part and the
+shares.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,6 +44,8 @@ CHUNK_BYTES = 12 << 20
 PART_TOKENS = 1_000_000
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
+PIECE_ROWS = 1 << 16  # rows of a chunk have numbers of 16 bits
+_RARE = np.uint64(1 << 47)  # set in the keys of contexts without a number; 47 bits of their hash follow
 _SMALL = 20  # tables of up to so many customers are drawn exactly
 _TOKEN_BYTES = np.ones(256, bool)
 _TOKEN_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -91,6 +98,7 @@ class Vocabulary:
     words: int
     contexts: np.ndarray
     hot: np.ndarray  # of each id (0 included): the number of the hot word, -1 if it is none
+    hot_counts: np.ndarray  # training tokens of each hot word
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.uint16)
@@ -103,12 +111,17 @@ class Vocabulary:
             out[maybe[good]] = at[good] + 1
         return out
 
+    def keys(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """48 bits that tell contexts apart: the id, or for words without one their hash under ``_RARE``."""
+        return np.where(ids > 0, ids.astype(np.uint64), (hashes >> np.uint64(17)) | _RARE)
+
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Batches cut and put together so that a piece has about ``size`` bytes of text."""
+    """Batches cut and put together so that a piece has about ``size`` bytes of text and at most ``PIECE_ROWS`` rows."""
     waiting, total = [], 0
     for batch in batches:
         sizes = pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        sizes = np.maximum(sizes, -(-size // PIECE_ROWS))
         ends, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             before = ends[begin - 1] if begin else 0
@@ -145,7 +158,9 @@ def vocabulary(training: DataFrame, context_share: float, hot_share: float) -> V
     found = sorted((int(np.int64(r["word"]).view(np.uint64)), r["n"]) for r in frequent)
     contexts = np.array([w for w, _ in found], np.uint64)
     is_hot = np.array([False] + [n >= hot_share * tokens for _, n in found])
-    return Vocabulary(tokens, total["words"], contexts, np.where(is_hot, np.cumsum(is_hot) - 1, -1).astype(np.int32))
+    hot = np.where(is_hot, np.cumsum(is_hot) - 1, -1).astype(np.int32)
+    counts = np.array([0] + [n for _, n in found], np.int64)
+    return Vocabulary(tokens, total["words"], contexts, hot, counts[is_hot])
 
 
 # Seating.
@@ -227,21 +242,23 @@ def seat(
     """
     rng = np.random.default_rng(seed)
     inner = np.flatnonzero(context > 0)
+    several = np.flatnonzero(customers[inner] > 1)  # one customer has one table
     direct = np.bincount(word[context == 0], customers[context == 0], words)
     logs, root_logs = stirling(totals.discount, _SMALL), stirling(totals.root_discount, _SMALL)
     mass, norm = totals.root_mass(), STRENGTH + totals.root_customers
-    inner_mass = STRENGTH + totals.discount * totals.tables[context[inner]]
+    inner_word, drawn, drawn_word = word[inner], customers[inner][several], word[inner][several]
+    inner_mass = STRENGTH + totals.discount * totals.tables[context[inner]][several]
     tables = np.ones(len(inner), np.int64)
     mean_tables, mean_root, mean_root_tables = np.zeros(len(word)), np.zeros(words), np.zeros(words)
     for sweep in range(sweeps):
-        at_root = np.round(direct + np.bincount(word[inner], tables, words)).astype(np.int64)
+        at_root = np.round(direct + np.bincount(inner_word, tables, words)).astype(np.int64)
         root_tables = np.zeros(words, np.int64)
         there = at_root > 0
         pull = np.full(int(there.sum()), max(mass * totals.each, 1e-300))
         root_tables[there] = draw_tables(at_root[there], pull, totals.root_discount, rng, root_logs)
         probability = (at_root - totals.root_discount * root_tables + mass * totals.each) / norm
-        if len(inner):
-            tables = draw_tables(customers[inner], inner_mass * probability[word[inner]], totals.discount, rng, logs)
+        if len(several):
+            tables[several] = draw_tables(drawn, inner_mass * probability[drawn_word], totals.discount, rng, logs)
         if sweep >= burn:
             mean_tables[inner] += tables
             mean_root += at_root
@@ -268,9 +285,10 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, part_bits
         known_id = ids.is_valid().to_numpy().astype(bool)
         rows.append((_DOCS, -1, pack(ids.fill_null(0).to_numpy(), known_id, held, np.bincount(doc, minlength=len(held)))))
         own = vocab.ids(hashes)
-        context = np.concatenate([vocab.ids(np.array([END])), own[:-1]])
+        before = np.concatenate([np.array([END]), hashes[:-1]])
+        context = np.concatenate([vocab.ids(before[:1]), own[:-1]])
         hot = vocab.hot[own]
-        is_hot = hot >= 0
+        is_hot = (hot >= 0) & (context > 0)
         # Runs of equal (document, hot word, context).
         key = (doc[is_hot].astype(np.uint64) << np.uint64(32)) | (hot[is_hot].astype(np.uint64) << np.uint64(16)) | context[is_hot]
         key, times = np.unique(key, return_counts=True)
@@ -279,23 +297,14 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, part_bits
             times.astype(np.uint32), held,
         )))
         tail = ~is_hot
-        word, place = hashes[tail], (context[tail].astype(np.uint64) << np.uint64(32)) | doc[tail].astype(np.uint64)
-        order = np.lexsort((place, word))
-        word, place = word[order], place[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(word))).astype(np.uint32)
-        word, place = word[at], place[at]
-        part = (word >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(word), np.int64)
-        bounds = np.searchsorted(part, np.arange((1 << part_bits) + 1))
-        for p in np.unique(part):
-            mine = slice(bounds[p], bounds[p + 1])
-            distinct, first = np.unique(word[mine], return_index=True)
-            length = np.diff(np.append(first, bounds[p + 1] - bounds[p])).astype(np.uint32)
-            rows.append((_TAIL, int(p), pack(
-                distinct, length, (place[mine] >> np.uint64(32)).astype(np.uint16), place[mine].astype(np.uint32), times[mine], held
-            )))
+        place = (vocab.keys(before, context)[tail] << np.uint64(16)) | doc[tail].astype(np.uint64)
+        word, of_hot = hashes[tail], hot[tail]
+        other, split = np.flatnonzero(of_hot < 0), np.flatnonzero(of_hot >= 0)
+        rows += _tail_rows(_part_of(word[other], part_bits), word[other], place[other], held)
+        # Hot words by their contexts: the part follows from the key's bits below the flag.
+        place = place[split]
+        part = (1 << part_bits) + _part_of(place << np.uint64(1), part_bits)
+        rows += _tail_rows(part, of_hot[split].astype(np.uint64), place, held)
         for at in range(0, len(rows), 64):
             kinds, parts, blobs = zip(*rows[at : at + 64])
             yield pa.RecordBatch.from_arrays(
@@ -309,37 +318,93 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, part_bits
             )
 
 
-def _compile_part(frame: pd.DataFrame) -> pd.DataFrame:
-    """All chunks' postings of a part: its distinct pairs with their training counts, and the postings by pair."""
-    words, contexts, docs, times, chunk_of, training = [], [], [], [], [], []
+def _tail_rows(part: np.ndarray, word: np.ndarray, place: np.ndarray, held: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Packed runs of equal (part, word, place), one value for each part; ``place`` is context and document."""
+    order = np.lexsort((place, word, part))
+    part, word, place = part[order], word[order], place[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(word))).astype(np.uint32)
+    part, word, place = part[at], word[at], place[at]
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    rows = []
+    for begin, end in zip(begins, [*begins[1:], len(part)]):
+        mine = slice(begin, end)
+        distinct, first = np.unique(word[mine], return_index=True)
+        length = np.diff(np.append(first, end - begin)).astype(np.uint32)
+        arrays = distinct, length, *_split_keys(place[mine] >> np.uint64(16)), place[mine].astype(np.uint16), times[mine], held
+        rows.append((_TAIL, int(part[begin]), pack(*arrays)))
+    return rows
+
+
+def _part_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _split_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
+
+
+def _joined_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low
+
+
+def _compile_part(frame: pd.DataFrame, contexts: int, part_bits: int) -> pd.DataFrame:
+    """All chunks' postings of a part: its distinct pairs with their training counts, and the postings by pair.
+
+    Words are numbered within the part, hot ones as everywhere; contexts without a number get numbers from ``contexts`` on within it,
+    in order of their keys, which are kept.
+    """
+    words, keys, docs, times, chunk_of, training = [], [], [], [], [], []
     frame = frame.sort_values("chunk", kind="stable")
-    chunks = frame["chunk"].to_numpy(np.int64)
+    part, chunks = int(frame["part"].iloc[0]), frame["chunk"].to_numpy(np.int64)
     for number, blob in enumerate(frame["blob"]):
-        word, length, context, doc, n, held = unpack(blob)
+        word, length, low, high, doc, n, held = unpack(blob)
         words.append(np.repeat(word, length))
-        contexts.append(context)
+        keys.append(_joined_keys(low, high))
         docs.append(doc)
         times.append(n)
         chunk_of.append(np.full(len(doc), number, np.uint32))
         training.append(~held[doc])
-    word, context, doc, n, chunk_no, train = (np.concatenate(x) for x in (words, contexts, docs, times, chunk_of, training))
-    order = np.lexsort((context, word))
-    word, context = word[order], context[order]
+    word, key, doc, n, chunk_no, train = (np.concatenate(x) for x in (words, keys, docs, times, chunk_of, training))
+    order = np.lexsort((key, word))
+    word, key = word[order], key[order]
     new_word = np.ones(len(word), bool)
     new_word[1:] = word[1:] != word[:-1]
     new = new_word.copy()
-    new[1:] |= context[1:] != context[:-1]
+    new[1:] |= key[1:] != key[:-1]
     pair = np.cumsum(new) - 1
     customers = np.bincount(pair, n[order] * train[order], int(new.sum())).astype(np.int64)
-    pairs = pack((np.cumsum(new_word) - 1)[new].astype(np.uint32), context[new], customers)
+    key, number = key[new], (word if part >> part_bits else np.cumsum(new_word) - 1)[new]
+    rare = key >= _RARE
+    own, local = np.unique(key[rare], return_inverse=True)
+    context = np.where(rare, 0, key).astype(np.uint32)
+    context[rare] = local + contexts
+    pairs = pack(number.astype(np.uint32), context, customers, *_split_keys(own))
     length = np.diff(np.append(np.flatnonzero(new), len(word))).astype(np.uint32)
     postings = pack(length, chunk_no[order].astype(np.uint32), doc[order], n[order], chunks)
-    return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "pairs": [pairs], "postings": [postings]})
+    return pd.DataFrame({"part": [part], "pairs": [pairs], "postings": [postings]})
 
 
-def _pairs(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    word, context, customers = unpack(blob)
-    return (int(word[-1]) + 1 if len(word) else 0), word.astype(np.int64), context.astype(np.int64), customers
+@dataclass
+class Pairs:
+    """The distinct pairs of a part, and the keys of its contexts without a number."""
+
+    words: int
+    word: np.ndarray
+    context: np.ndarray
+    customers: np.ndarray
+    keys: np.ndarray
+
+    @classmethod
+    def of(cls, blob: bytes) -> Pairs:
+        word, context, customers, low, high = unpack(blob)
+        words = int(word.max()) + 1 if len(word) else 0
+        return cls(words, word.astype(np.int64), context.astype(np.int64), customers, _joined_keys(low, high))
+
+    def columns(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return self.words, self.word, self.context, self.customers
 
 
 def _statistics(words, word, context, customers, contexts: int) -> np.ndarray:
@@ -377,26 +442,116 @@ def _probabilities(words, word, context, customers, totals: Totals, means: tuple
     probabilities of all words in a context, with the unknown one, make 1."""
     count = np.bincount(word, customers, words)
     parent = np.where(count > 0, _root(totals, means), totals.unknown_probability())[word]
-    own = np.where(context > 0, (customers - totals.discount * means[0]) / (STRENGTH + totals.customers[context]), 0.0)
-    return np.maximum(own, 0) + totals.backoff()[context] * parent, count
+    return _predictive(context, customers, totals, means[0], parent), count
 
 
-def _summed(parts: DataFrame, function, length: int) -> np.ndarray:
-    """The sum over parts of the vectors of ``length`` numbers that ``function(part, pairs)`` gives."""
+def _predictive(context, customers, totals: Totals, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    own = np.where(context > 0, (customers - totals.discount * tables) / (STRENGTH + totals.customers[context]), 0.0)
+    return np.maximum(own, 0) + totals.backoff()[context] * parent
+
+
+# Rows that parts send: sums for everybody (at, value), their own sums by context to a context part, and what they drew.
+_SENT = "kind int, target int, part int, blob binary, at long, value double"
+_TOTAL, _MESSAGE, _DRAWN = 0, 1, 2
+
+
+def _sent(kind: int, targets: list[int], part: int, blobs: list[bytes]) -> pa.RecordBatch:
+    n = len(blobs)
+    arrays = [
+        pa.array([kind] * n, pa.int32()), pa.array(targets, pa.int32()), pa.array([part] * n, pa.int32()),
+        pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "target", "part", "blob", "at", "value"])
+
+
+def _messages(part: int, keys: np.ndarray, values: list[np.ndarray], target_bits: int) -> Iterator[pa.RecordBatch]:
+    """A part's sums by context, cut by context part."""
+    target = _part_of(keys << np.uint64(17), target_bits)
+    bounds = np.searchsorted(target, np.arange((1 << target_bits) + 1))
+    targets = np.flatnonzero(np.diff(bounds)).tolist()
+    cuts = [slice(bounds[t], bounds[t + 1]) for t in targets]
+    if targets:
+        yield _sent(_MESSAGE, targets, part, [pack(*_split_keys(keys[c]), *(v[c] for v in values)) for c in cuts])
+
+
+def _answer(frame: pd.DataFrame) -> pd.DataFrame:
+    """The totals of the contexts of a context part, for each part those that it holds, in the order it sent them."""
+    received = [unpack(blob) for blob in frame["blob"]]
+    keys = np.concatenate([_joined_keys(low, high) for low, high, *_ in received])
+    ends = np.cumsum([len(r[0]) for r in received])
+    _, number = np.unique(keys, return_inverse=True)
+    values = [np.concatenate(column) for column in zip(*(r[2:] for r in received))]
+    totals = [np.bincount(number, value)[number] for value in values]
+    cuts = [slice(end - len(r[0]), end) for r, end in zip(received, ends)]
+    blobs = [pack(*(t[cut] for t in totals)) for cut in cuts]
+    return pd.DataFrame({"part": frame["part"], "target": frame["target"], "blob": blobs})
+
+
+def _with_answers(parts: DataFrame, sent: DataFrame) -> DataFrame:
+    """Parts with ``answers``: what the context parts make of the messages, in order of the contexts."""
+    messages = sent.where(F.col("kind") == _MESSAGE).select("target", "part", "blob")
+    answers = messages.groupBy("target").applyInPandas(_answer, "part int, target int, blob binary")
+    of_part = answers.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("target", "blob"))).alias("answers"))
+    return parts.join(of_part.select("part", F.col("answers.blob").alias("answers")), "part", "left")
+
+
+def _local(totals: Totals, answers: list[bytes] | None) -> Totals:
+    """Totals with those of a part's contexts behind those of the numbered ones."""
+    received = [unpack(blob) for blob in answers or []]
+    own = [np.concatenate([np.empty(0), *(r[i] for r in received)]) for i in (0, 1)]
+    return replace(
+        totals, customers=np.concatenate([totals.customers, own[0]]), tables=np.concatenate([totals.tables, own[1]])
+    )
+
+
+def _values(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows one at a time; None for a column that is not there."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch[c][i].as_py() if c in batch.schema.names else None for c in columns)
+
+
+def _round(parts: DataFrame, function, length: int, target_bits: int, name: str) -> tuple[np.ndarray, DataFrame]:
+    """``function(part, pairs, answers)`` of all parts, which gives a vector of ``length`` sums, values by the part's own
+    contexts, and arrays to keep: the sums of the vectors, and the rows sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
-        for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["pairs"]):
-                total += function(part, _pairs(blob.as_py()))
+        for part, blob, answers in _values(batches, "part", "pairs", "answers"):
+            pairs = Pairs.of(blob)
+            sums, values, drawn = function(part, pairs, answers)
+            total += sums
+            yield from _messages(part, pairs.keys, values, target_bits)
+            if drawn:
+                yield _sent(_DRAWN, [-1], part, [pack(*drawn)])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "value"])
-
-    rows = parts.select("part", "pairs").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        n = len(at)
+        arrays = [
+            pa.array([_TOTAL] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            pa.array(at), pa.array(total[at]),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=["kind", "target", "part", "blob", "at", "value"])
+
+    sent = stage(parts.mapInArrow(run, _SENT), name)
     out = np.zeros(length)
-    for r in rows.collect():  # at most one row per context and a few more
+    rows = sent.where(F.col("kind") == _TOTAL).groupBy("at").agg(F.sum("value").alias("value"))
+    for r in rows.collect():  # at most one row per numbered context and hot word and a few more
         out[r["at"]] = r["value"]
-    return out
+    return out, sent
+
+
+def _seat_hot(pairs: Pairs, totals: Totals, probability: np.ndarray, plan: tuple, seed) -> np.ndarray:
+    """Mean tables of pairs whose words' probabilities in the parent are given."""
+    sweeps, burn = plan
+    rng = np.random.default_rng(seed)
+    tables = (pairs.customers > 0).astype(float)
+    several = np.flatnonzero(pairs.customers > 1)
+    if len(several):
+        pull = (STRENGTH + totals.discount * totals.tables[pairs.context[several]]) * probability[pairs.word[several]]
+        draws, logs = max(1, sweeps - burn), stirling(totals.discount, _SMALL)
+        drawn = [draw_tables(pairs.customers[several], pull, totals.discount, rng, logs) for _ in range(draws)]
+        tables[several] = sum(drawn) / draws
+    return tables
 
 
 class _Sums:
@@ -462,31 +617,66 @@ def score_documents(
     packed.write.partitionBy("kind").parquet(folder)
     packed = spark.read.schema("chunk long, part int, blob binary, kind int").parquet(folder)
     of_kind = {k: packed.where(F.col("kind") == k) for k in (_DOCS, _HOT, _TAIL)}
-    compiled = of_kind[_TAIL].select("chunk", "part", "blob").groupBy("part")
-    parts = stage(compiled.applyInPandas(_compile_part, "part int, pairs binary, postings binary"), "parts")
+    compiled = of_kind[_TAIL].select("chunk", "part", "blob").groupBy("part").applyInPandas(
+        lambda frame: _compile_part(frame, contexts, part_bits), "part int, pairs binary, postings binary"
+    )
+    parts = stage(compiled, "parts")
     delete_path(spark, f"{folder}/kind={_TAIL}")
 
-    hot = _hot_pairs(of_kind[_HOT], int(vocab.hot.max(initial=-1)) + 1, contexts)
-    stats = _statistics(*hot, contexts) + _summed(parts, lambda part, pairs: _statistics(*pairs, contexts), 2 * contexts + 6)
+    hot_words, plan, target_bits = len(vocab.hot_counts), (sweeps, burn), max(0, part_bits - 3)
+    hot = _hot_pairs(of_kind[_HOT], hot_words, contexts)
+
+    def count(part: int, pairs: Pairs, answers) -> tuple:
+        every = contexts + len(pairs.keys)
+        sums = _statistics(*pairs.columns(), every)
+        customers, tables, rest = sums[:every], sums[every : 2 * every], sums[2 * every :]
+        at_root = np.zeros(hot_words)
+        if part >> part_bits:
+            at_root += np.bincount(pairs.word, pairs.customers > 0, hot_words)
+            rest[2:] = 0  # only those who know all of a word's pairs
+        vector = np.concatenate([customers[:contexts], tables[:contexts], rest, at_root])
+        return vector, [customers[contexts:], tables[contexts:]], None
+
+    narrow = parts.select("part", "pairs")
+    stats, sent = _round(narrow, count, 2 * contexts + 6 + hot_words, target_bits, "counted")
+    elsewhere = stats[2 * contexts + 6 :]  # customers that hot words have in the parent from pairs in parts
+    at_hot = _statistics(*_and_elsewhere(hot, elsewhere), contexts)
+    stats = stats[: 2 * contexts + 6] + at_hot
     ones, twos, root_ones, root_twos, root_customers, words = stats[-6:]
     totals = Totals(
         stats[:contexts], stats[contexts : 2 * contexts], root_customers, words,
         _discount(ones, twos), _discount(root_ones, root_twos),
         0.5 if vocab.words else 1.0, 0.5 / max(1, vocab.words),
     )
-    plan = (sweeps, burn)
+    at_root = np.bincount(hot[1], minlength=hot_words) + elsewhere
+    hot_root = _root(totals, (None, at_root, np.minimum(at_root, 1)))
     for n in range(1, rounds + 1):
-        before = totals
-        sums = _seated(*hot, before, contexts, plan, [n, 1 << 31])[0] + _summed(
-            parts, lambda part, pairs: _seated(*pairs, before, contexts, plan, [n, part])[0], contexts + 2
-        )
-        totals = Totals(
-            totals.customers, sums[:contexts], sums[-2], sums[-1], totals.discount, totals.root_discount, totals.unknown, totals.each
-        )
-    # Scoring seats the last round once more, from the same seeds, and averages under the totals that came of it.
+        before, probability = totals, hot_root
+
+        def draw(part: int, pairs: Pairs, answers) -> tuple:
+            every, local = contexts + len(pairs.keys), _local(before, answers)
+            if part >> part_bits:
+                tables = _seat_hot(pairs, local, probability, plan, [n, part])
+                sums = np.concatenate([np.bincount(pairs.context, tables, every), [0.0, 0.0]])
+                at_root, drawn = np.bincount(pairs.word, tables, hot_words), (tables,)
+            else:
+                sums, drawn = _seated(*pairs.columns(), local, every, plan, [n, part])
+                at_root = np.zeros(hot_words)
+            customers = np.bincount(pairs.context, pairs.customers, every)
+            vector = np.concatenate([sums[:contexts], sums[-2:], at_root])
+            return vector, [customers[contexts:], sums[contexts:every]], drawn if n == rounds else None
+
+        hot_sums, hot_means = _seated(*_and_elsewhere(hot, elsewhere), before, contexts, plan, [n, 1 << 31])
+        sums, drawn = _round(_with_answers(narrow, sent), draw, contexts + 2 + hot_words, target_bits, "drawn")
+        unstage(sent)
+        sent, elsewhere = drawn, sums[contexts + 2 :]
+        sums = sums[: contexts + 2] + hot_sums
+        totals = replace(totals, tables=sums[:contexts], root_customers=sums[-2], root_tables=sums[-1])
+        hot_root = _root(totals, hot_means)
+    # Scoring takes the averages of the last round under the totals that came of it.
     norm = vocab.tokens + 0.1 * (vocab.words + 1)
-
-    table = spark.sparkContext.broadcast(_hot_table(hot, before, totals, contexts, plan, [rounds, 1 << 31], norm))
+    hot_base = np.log10((vocab.hot_counts + 0.1) / norm)
+    table = spark.sparkContext.broadcast((_hot_table(hot, hot_means[0], totals, contexts, hot_root), hot_base))
 
     def score_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base = table.value
@@ -502,30 +692,34 @@ def score_documents(
 
     def score_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-        for batch in batches:
-            for part, pairs, postings in zip(batch["part"].to_pylist(), batch["pairs"], batch["postings"]):
-                distinct = _pairs(pairs.as_py())
-                means = _seated(*distinct, before, contexts, plan, [rounds, part])[1]
-                probability, count = _probabilities(*distinct, totals, means)
-                model, known = np.log10(probability), (count > 0)[distinct[1]]
-                base = np.log10((count + 0.1) / norm)[distinct[1]]
-                length, chunk_no, doc, n, chunks = unpack(postings.as_py())
-                pair = np.repeat(np.arange(len(length)), length)
-                order = np.argsort(chunk_no, kind="stable")
-                bounds = np.searchsorted(chunk_no[order], np.arange(len(chunks) + 1))
-                for i, chunk in enumerate(chunks.tolist()):
-                    mine = order[bounds[i] : bounds[i + 1]]
-                    which, times = pair[mine], n[mine]
-                    sums.add(chunk, doc[mine], times * model[which], times * base[which], times * known[which])
-                if sums.full():
-                    yield from sums.give()
+        for part, pairs, postings, drawn, answers in _values(batches, "part", "pairs", "postings", "blob", "answers"):
+            distinct, local, means = Pairs.of(pairs), _local(totals, answers), unpack(drawn)
+            word = distinct.word
+            if part >> part_bits:
+                probability = _predictive(distinct.context, distinct.customers, local, means[0], hot_root[word])
+                base, known = hot_base[word], np.ones(len(word), bool)
+            else:
+                probability, count = _probabilities(*distinct.columns(), local, means)
+                base, known = np.log10((count + 0.1) / norm)[word], (count > 0)[word]
+            model = np.log10(probability)
+            length, chunk_no, doc, n, chunks = unpack(postings)
+            pair = np.repeat(np.arange(len(length)), length)
+            order = np.argsort(chunk_no, kind="stable")
+            bounds = np.searchsorted(chunk_no[order], np.arange(len(chunks) + 1))
+            for i, chunk in enumerate(chunks.tolist()):
+                mine = order[bounds[i] : bounds[i + 1]]
+                which, times = pair[mine], n[mine]
+                sums.add(chunk, doc[mine], times * model[which], times * base[which], times * known[which])
+            if sums.full():
+                yield from sums.give()
         yield from sums.give()
 
+    whole = parts.join(sent.where(F.col("kind") == _DRAWN).select("part", "blob"), "part")
     schema = "kind int, chunk long, blob binary"
     rows = (
         of_kind[_DOCS].select("kind", "chunk", "blob")
         .unionByName(of_kind[_HOT].select("chunk", "blob").mapInArrow(score_hot, schema))
-        .unionByName(parts.mapInArrow(score_parts, schema))
+        .unionByName(_with_answers(whole, sent).mapInArrow(score_parts, schema))
     )
     result = rows.groupBy("chunk").applyInPandas(
         _finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -562,18 +756,22 @@ def _hot_pairs(chunks: DataFrame, words: int, contexts: int) -> tuple[int, np.nd
     return words, at[order] // contexts, at[order] % contexts, n[order]
 
 
-def _hot_table(
-    hot: tuple, before: Totals, totals: Totals, contexts: int, plan: tuple, seed, norm: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the model for every (hot word, context) and of the base for every hot word."""
-    words, word, context, _ = hot
-    if not words:
-        return np.empty(0), np.empty(0)
-    means = _seated(*hot, before, contexts, plan, seed)[1]
-    probability, count = _probabilities(*hot, totals, means)
-    dense = totals.backoff()[None, :] * _root(totals, means)[:, None]  # where the context has not seen the word
-    dense[word, context] = probability
-    return np.log10(dense).ravel(), np.log10((count + 0.1) / norm)
+def _and_elsewhere(hot: tuple, customers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of hot words, and as pairs without a context what each has in the parent from pairs elsewhere."""
+    words, word, context, n = hot
+    more = np.round(customers).astype(np.int64)
+    return (
+        words, np.concatenate([word, np.arange(words)]), np.concatenate([context, np.zeros(words, np.int64)]),
+        np.concatenate([n, more]),
+    )
+
+
+def _hot_table(hot: tuple, tables: np.ndarray, totals: Totals, contexts: int, root: np.ndarray) -> np.ndarray:
+    """log10 of the model for every (hot word, numbered context)."""
+    words, word, context, customers = hot
+    dense = totals.backoff()[None, :] * root[:, None]  # where the context has not seen the word
+    dense[word, context] = _predictive(context, customers, totals, tables[: len(word)], root[word])
+    return np.log10(dense).ravel()
 
 
 def _finish(frame: pd.DataFrame) -> pd.DataFrame:

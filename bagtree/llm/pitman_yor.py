@@ -32,11 +32,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagtree.llm.words import chunks, words_of
-from bagtree.sources.scratch import delete_path, scratch_path, stage, unstage
+from bagtree.sources.scratch import scratch_path, stage, unstage
 
 CONTEXT_SHARE = 2.5e-4
 HOT_SHARE = 1e-3
@@ -45,7 +45,8 @@ PART_TOKENS = 1_000_000
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
 PIECE_ROWS = 1 << 16  # rows of a chunk have numbers of 16 bits
-_RARE = np.uint64(1 << 47)  # set in the keys of contexts without a number; 47 bits of their hash follow
+KEY_BITS = 40  # of a context's hash; with 10**9 words one in 1,000 shares its restaurant
+_RARE = np.uint64(1 << 47)  # set in the keys of contexts without a number, whose lowest bits are those of the hash
 _SMALL = 20  # tables of up to so many customers are drawn exactly
 _TOKEN_BYTES = np.ones(256, bool)
 _TOKEN_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -113,7 +114,7 @@ class Vocabulary:
 
     def keys(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """48 bits that tell contexts apart: the id, or for words without one their hash under ``_RARE``."""
-        return np.where(ids > 0, ids.astype(np.uint64), (hashes >> np.uint64(17)) | _RARE)
+        return np.where(ids > 0, ids.astype(np.uint64), (hashes >> np.uint64(64 - KEY_BITS)) | _RARE)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -270,6 +271,7 @@ def seat(
 # Chunks of documents and parts of words.
 
 _PACKED = "kind int, chunk long, part int, blob binary"
+_COMPILED = "chunk long, part int, pairs binary, postings binary, kind int"
 _DOCS, _HOT, _TAIL, _SUMS = 0, 1, 2, 3
 
 
@@ -303,7 +305,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, part_bits
         rows += _tail_rows(_part_of(word[other], part_bits), word[other], place[other], held)
         # Hot words by their contexts: the part follows from the key's bits below the flag.
         place = place[split]
-        part = (1 << part_bits) + _part_of(place << np.uint64(1), part_bits)
+        part = (1 << part_bits) + _part_of(place << np.uint64(48 - KEY_BITS), part_bits)
         rows += _tail_rows(part, of_hot[split].astype(np.uint64), place, held)
         for at in range(0, len(rows), 64):
             kinds, parts, blobs = zip(*rows[at : at + 64])
@@ -333,7 +335,7 @@ def _tail_rows(part: np.ndarray, word: np.ndarray, place: np.ndarray, held: np.n
         mine = slice(begin, end)
         distinct, first = np.unique(word[mine], return_index=True)
         length = np.diff(np.append(first, end - begin)).astype(np.uint32)
-        arrays = distinct, length, *_split_keys(place[mine] >> np.uint64(16)), place[mine].astype(np.uint16), times[mine], held
+        arrays = distinct, length, _planes(place[mine] >> np.uint64(16)), place[mine].astype(np.uint16), times[mine], held
         rows.append((_TAIL, int(part[begin]), pack(*arrays)))
     return rows
 
@@ -342,12 +344,22 @@ def _part_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _split_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
+def _planes(values: np.ndarray) -> np.ndarray:
+    """All lowest bytes, then all second ones, and so on: planes of few values take no room when compressed."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()
 
 
-def _joined_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return (high.astype(np.uint64) << np.uint64(32)) | low
+def _of_planes(planes: np.ndarray) -> np.ndarray:
+    return planes.reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys by what each adds to the one before."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _of_steps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_of_planes(planes), dtype=np.uint64)
 
 
 def _compile_part(frame: pd.DataFrame, contexts: int, part_bits: int) -> pd.DataFrame:
@@ -360,9 +372,9 @@ def _compile_part(frame: pd.DataFrame, contexts: int, part_bits: int) -> pd.Data
     frame = frame.sort_values("chunk", kind="stable")
     part, chunks = int(frame["part"].iloc[0]), frame["chunk"].to_numpy(np.int64)
     for number, blob in enumerate(frame["blob"]):
-        word, length, low, high, doc, n, held = unpack(blob)
+        word, length, key, doc, n, held = unpack(blob)
         words.append(np.repeat(word, length))
-        keys.append(_joined_keys(low, high))
+        keys.append(_of_planes(key))
         docs.append(doc)
         times.append(n)
         chunk_of.append(np.full(len(doc), number, np.uint32))
@@ -379,14 +391,22 @@ def _compile_part(frame: pd.DataFrame, contexts: int, part_bits: int) -> pd.Data
     key, number = key[new], (word if part >> part_bits else np.cumsum(new_word) - 1)[new]
     rare = key >= _RARE
     own, local = np.unique(key[rare], return_inverse=True)
-    context = np.where(rare, 0, key).astype(np.uint32)
+    context = np.where(rare, 0, key)
     context[rare] = local + contexts
-    pairs = pack(number.astype(np.uint32), context, customers, *_split_keys(own))
+    pairs = pack(_steps(number.astype(np.uint64)), _planes(context), customers, _steps(own))
     length = np.diff(np.append(np.flatnonzero(new), len(word))).astype(np.uint32)
     postings = pack(length, chunk_no[order].astype(np.uint32), doc[order], n[order], chunks)
     return pd.DataFrame({"part": [part], "pairs": [pairs], "postings": [postings]})
 
 
+def _compiled(frame: pd.DataFrame, contexts: int, part_bits: int) -> pd.DataFrame:
+    """A part of the postings compiled; a chunk's own value as it is, in the place of the pairs."""
+    kind = int(frame["kind"].iloc[0])
+    if kind == _TAIL:
+        return _compile_part(frame, contexts, part_bits).assign(chunk=-1, kind=kind)[["chunk", "part", "pairs", "postings", "kind"]]
+    return frame.assign(pairs=frame["blob"], postings=None)[["chunk", "part", "pairs", "postings", "kind"]]
+
+
 @dataclass
 class Pairs:
     """The distinct pairs of a part, and the keys of its contexts without a number."""
@@ -399,9 +419,9 @@ class Pairs:
 
     @classmethod
     def of(cls, blob: bytes) -> Pairs:
-        word, context, customers, low, high = unpack(blob)
-        words = int(word.max()) + 1 if len(word) else 0
-        return cls(words, word.astype(np.int64), context.astype(np.int64), customers, _joined_keys(low, high))
+        word, context, customers, keys = unpack(blob)
+        word, context = _of_steps(word).astype(np.int64), _of_planes(context).astype(np.int64)
+        return cls(int(word[-1]) + 1 if len(word) else 0, word, context, customers, _of_steps(keys))
 
     def columns(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         return self.words, self.word, self.context, self.customers
@@ -466,23 +486,23 @@ def _sent(kind: int, targets: list[int], part: int, blobs: list[bytes]) -> pa.Re
 
 def _messages(part: int, keys: np.ndarray, values: list[np.ndarray], target_bits: int) -> Iterator[pa.RecordBatch]:
     """A part's sums by context, cut by context part."""
-    target = _part_of(keys << np.uint64(17), target_bits)
+    target = _part_of(keys << np.uint64(64 - KEY_BITS), target_bits)
     bounds = np.searchsorted(target, np.arange((1 << target_bits) + 1))
     targets = np.flatnonzero(np.diff(bounds)).tolist()
     cuts = [slice(bounds[t], bounds[t + 1]) for t in targets]
     if targets:
-        yield _sent(_MESSAGE, targets, part, [pack(*_split_keys(keys[c]), *(v[c] for v in values)) for c in cuts])
+        yield _sent(_MESSAGE, targets, part, [pack(_steps(keys[c]), *(v[c] for v in values)) for c in cuts])
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """The totals of the contexts of a context part, for each part those that it holds, in the order it sent them."""
     received = [unpack(blob) for blob in frame["blob"]]
-    keys = np.concatenate([_joined_keys(low, high) for low, high, *_ in received])
-    ends = np.cumsum([len(r[0]) for r in received])
-    _, number = np.unique(keys, return_inverse=True)
-    values = [np.concatenate(column) for column in zip(*(r[2:] for r in received))]
+    keys = [_of_steps(r[0]) for r in received]
+    ends = np.cumsum([len(k) for k in keys])
+    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    values = [np.concatenate(column) for column in zip(*(r[1:] for r in received))]
     totals = [np.bincount(number, value)[number] for value in values]
-    cuts = [slice(end - len(r[0]), end) for r, end in zip(received, ends)]
+    cuts = [slice(end - len(k), end) for k, end in zip(keys, ends)]
     blobs = [pack(*(t[cut] for t in totals)) for cut in cuts]
     return pd.DataFrame({"part": frame["part"], "target": frame["target"], "blob": blobs})
 
@@ -504,6 +524,12 @@ def _local(totals: Totals, answers: list[bytes] | None) -> Totals:
     )
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a finished job's shuffle files once the driver's JVM has collected the plan; jobs here are few and large, so it
+    is asked to do so after each."""
+    spark._jvm.System.gc()
+
+
 def _values(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows one at a time; None for a column that is not there."""
     for batch in batches:
@@ -533,6 +559,7 @@ def _round(parts: DataFrame, function, length: int, target_bits: int, name: str)
         yield pa.RecordBatch.from_arrays(arrays, names=["kind", "target", "part", "blob", "at", "value"])
 
     sent = stage(parts.mapInArrow(run, _SENT), name)
+    _free_shuffles(parts.sparkSession)
     out = np.zeros(length)
     rows = sent.where(F.col("kind") == _TOTAL).groupBy("at").agg(F.sum("value").alias("value"))
     for r in rows.collect():  # at most one row per numbered context and hot word and a few more
@@ -606,22 +633,25 @@ def score_documents(
     spark = documents.sparkSession
     marked = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     vocab = vocabulary(marked.where("NOT held_out"), context_share, hot_share)
+    _free_shuffles(spark)
     contexts = len(vocab.contexts) + 1
     part_bits = max(0, (max(1, -(-vocab.tokens // part_tokens)) - 1).bit_length())
     shared = spark.sparkContext.broadcast(vocab)
 
-    folder = scratch_path(spark, "chunks")
+    folder = scratch_path(spark, "parts")
     packed = marked.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
         lambda it: _pack_chunks(it, shared.value, part_bits), _PACKED
     )
-    packed.write.partitionBy("kind").parquet(folder)
-    packed = spark.read.schema("chunk long, part int, blob binary, kind int").parquet(folder)
-    of_kind = {k: packed.where(F.col("kind") == k) for k in (_DOCS, _HOT, _TAIL)}
-    compiled = of_kind[_TAIL].select("chunk", "part", "blob").groupBy("part").applyInPandas(
-        lambda frame: _compile_part(frame, contexts, part_bits), "part int, pairs binary, postings binary"
+    # Postings go to their parts without being written first; what belongs to a chunk goes along as a group of its own.
+    group = F.when(F.col("kind") == _TAIL, F.lit(-1)).otherwise(F.col("chunk"))
+    compiled = packed.groupBy("kind", "part", group.alias("chunks")).applyInPandas(
+        lambda frame: _compiled(frame, contexts, part_bits), _COMPILED
     )
-    parts = stage(compiled, "parts")
-    delete_path(spark, f"{folder}/kind={_TAIL}")
+    compiled.write.partitionBy("kind").parquet(folder)
+    compiled = spark.read.schema(_COMPILED).parquet(folder)
+    _free_shuffles(spark)
+    of_kind = {k: compiled.where(F.col("kind") == k).withColumnRenamed("pairs", "blob") for k in (_DOCS, _HOT)}
+    parts = compiled.where(F.col("kind") == _TAIL).select("part", "pairs", "postings")
 
     hot_words, plan, target_bits = len(vocab.hot_counts), (sweeps, burn), max(0, part_bits - 3)
     hot = _hot_pairs(of_kind[_HOT], hot_words, contexts)
@@ -714,12 +744,14 @@ def score_documents(
                 yield from sums.give()
         yield from sums.give()
 
-    whole = parts.join(sent.where(F.col("kind") == _DRAWN).select("part", "blob"), "part")
+    last = stage(_with_answers(sent.where(F.col("kind") == _DRAWN).select("part", "blob"), sent), "last")
+    unstage(sent)
+    _free_shuffles(spark)
     schema = "kind int, chunk long, blob binary"
     rows = (
         of_kind[_DOCS].select("kind", "chunk", "blob")
         .unionByName(of_kind[_HOT].select("chunk", "blob").mapInArrow(score_hot, schema))
-        .unionByName(_with_answers(whole, sent).mapInArrow(score_parts, schema))
+        .unionByName(parts.join(last, "part").mapInArrow(score_parts, schema))
     )
     result = rows.groupBy("chunk").applyInPandas(
         _finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

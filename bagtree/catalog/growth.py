@@ -187,6 +187,28 @@ def stream_append_two_sources(spark, sf_dir):
     return tables.term_stats(_TREE_ID).select("term_id", "df", "total_tf")
 
 
+@query(sql.with_ctes(_TWO_SOURCES, "SELECT term_id, df, total_tf FROM post_stats"))
+def stream_append_rounds(spark, sf_dir):
+    """One micro-batch of all items, appended in rounds of half of them; no leaf is split."""
+    features = stage(caption_features(spark, sf_dir), "features")
+    docs = stage(features.select("doc_id").distinct(), "docs")
+    tables = IndexTables(spark, scratch_path(spark, "stored"), "captions")
+
+    def features_of(chosen):
+        return features.join(chosen.select("doc_id"), "doc_id", "left_semi")
+
+    number = docs.count()
+    start_training(tables, docs, features_of, number // 2, SHAPE, _TREE_ID, DIM)
+    schema = table(spark, sf_dir, "conversations").schema
+    arriving = document_stream(tables, sf_dir, schema, glob="conversations.parquet").select(F.col("conv_id").alias("doc_id"))
+    stream = populate_stream(
+        tables, arriving, features_of, scratch_path(spark, "stream"), replace(SHAPE, min_samples=1 << 40),
+        available_now=True, max_documents=max(1, -(-number // 2)),
+    )
+    stream.awaitTermination()
+    return tables.term_stats(_TREE_ID).select("term_id", "df", "total_tf")
+
+
 @query(
     """SELECT (SELECT count(*) FROM documents) AS n_items, (SELECT count(*) FROM conversations) AS n_captions,
        (SELECT count(*) FROM documents) AS docs_count"""

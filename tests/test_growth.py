@@ -1,5 +1,6 @@
 """Appending in batch and as a stream."""
 
+from collections import Counter
 from dataclasses import replace
 from datetime import datetime
 
@@ -25,7 +26,7 @@ from bagtree.plans.index_jobs import (
 from bagtree.operators.sample import by_doc, log_entries, unsampled_of_batch
 from bagtree.sources.scratch import stage
 from bagtree.sources.tables import ConcurrentCommit, IndexTables
-from bagtree.streaming.populate import document_stream, populate_stream
+from bagtree.streaming.populate import document_stream, in_rounds, populate_stream
 from tests.helpers import random_features
 
 SHAPE = TreeShape(k=3, levels=2, min_samples=30, iters=1, init="hash")
@@ -137,6 +138,52 @@ def test_stream_in_several_micro_batches(spark, stored, tmp_path):
     check_whole(tables, tree_id)
 
 
+def test_rounds_have_the_documents_asked_for(spark):
+    ids = [*range(95), 3, 3, None, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    dealt = in_rounds(docs, 10).collect()
+    assert Counter(r.doc_id for r in dealt) == Counter(ids)
+    rounds = {i: {r.round for r in dealt if r.doc_id == i} for i in ids}
+    assert all(len(r) == 1 for r in rounds.values())
+    assert sorted(Counter(r for (r,) in rounds.values()).items()) == [*((n, 10) for n in range(9)), (9, 6)]
+    again = in_rounds(docs.repartition(7), 10).collect()
+    assert sorted(map(str, again)) == sorted(map(str, dealt))
+    assert in_rounds(docs.limit(0), 10).collect() == []
+
+
+def test_one_large_file_is_appended_in_rounds(stored, tmp_path, monkeypatch):
+    """A micro-batch that dies in its second round leaves the first one, and a restart goes on with the second."""
+    tables, docs, features_of = stored
+    tree_id = start_training(tables, docs.filter("doc_id < 20"), features_of, 10**6, SHAPE)
+    arriving, checkpoint = str(tmp_path / "arriving"), str(tmp_path / "checkpoint")
+    docs.filter("doc_id >= 20").coalesce(1).write.parquet(arriving)
+
+    def run():
+        source = document_stream(tables, arriving, "doc_id long")
+        query = populate_stream(
+            tables, source, features_of, checkpoint, replace(SHAPE, levels=3), available_now=True, max_documents=15
+        )
+        query.awaitTermination()
+
+    whole, calls = IndexTables.commit, []
+
+    def commit(self, *args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("lost")
+        whole(self, *args)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(IndexTables, "commit", commit)
+        with pytest.raises(Exception):
+            run()
+    assert len(tables.commits(tree_id)) == 2
+    run()
+    check_whole(tables, tree_id)
+    counts = [c.docs_count for c in tables.commits(tree_id)]
+    assert counts == [20, 35, 50, 60]
+
+
 def test_streams_of_different_documents_lose_none(stored, tmp_path):
     tables, docs, features_of = stored
     tree_id = start_training(tables, docs.filter("doc_id < 20"), features_of, 10**6, SHAPE)

@@ -2,11 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bagtree.operators.blocks import assign_blocks, block_terms, with_blocks
 from bagtree.operators.feedback import feedback_bag
-from bagtree.operators.postings import postings_of, term_stats_of
+from bagtree.operators.postings import docs_count_of, postings_of, term_stats_of
 from bagtree.operators.quantize import quantize
-from bagtree.operators.search import Index, distances, prune, query_terms, search, term_scores, term_weights, with_query_norm
+from bagtree.operators.search import Index, dealt, distances, prune, query_terms, search, term_scores, term_weights, with_query_norm
 from bagtree.operators.tree import TreeShape, train
+from bagtree.sources.scratch import stage
 from tests.helpers import FEATURE, brute_force_search, random_features
 
 
@@ -142,3 +144,32 @@ def _md5(text):
     import hashlib
 
     return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_matches_of_a_search_are_dealt_by_their_number(spark):
+    """The tasks that sort matches follow from the matches, not from the number of shuffle partitions; a heavy query is cut into slices."""
+    pairs = [(q, d) for q, docs in (("few", 3), ("many", 100), ("some", 9)) for d in range(docs) for _ in range(2)]
+    rows = spark.createDataFrame(pairs, "query_id string, doc_id long")
+    matches = rows.groupBy("query_id").agg(F.count("*").alias("n"))
+    placed = dealt(rows, "doc_id", matches, rows_per_task=20).withColumn("task", F.spark_partition_id())
+    assert placed.rdd.getNumPartitions() == -(-len(pairs) // 20)
+    assert {r["query_id"]: r["slices"] for r in placed.groupBy("query_id").agg((F.max("slice") + 1).alias("slices")).collect()} == {
+        "few": 1, "many": 10, "some": 1
+    }
+    assert placed.groupBy("query_id", "doc_id").agg(F.countDistinct("slice", "task").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert sorted((r["query_id"], r["doc_id"]) for r in placed.collect()) == sorted(pairs)
+
+
+def test_search_in_slices_gives_the_same_rows(spark):
+    features = random_features(spark, docs=50, per_doc=4, dim=6, seed=3)
+    tree = train(features, "t", TreeShape(k=3, levels=2, min_samples=10, iters=1, init="hash"))
+    postings = stage(postings_of(tree.assignments), "postings")
+    count = docs_count_of(features.select("doc_id").distinct())
+    index = Index(tree.nodes.drop("tree_id"), postings, term_stats_of(postings), count)
+    placed = stage(with_blocks(postings, assign_blocks(postings, "t", 4)), "in_blocks")
+    blocks = Index(index.nodes, placed, index.term_stats, count, stage(block_terms(placed), "blocks"))
+    queries = features.withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, search(queries, index, 5, 0.001, True).collect()))
+    assert len(whole) == 250
+    for where in (index, blocks):
+        assert sorted(map(tuple, search(queries, where, 5, 0.001, True, rows_per_task=7).collect())) == whole

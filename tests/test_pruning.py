@@ -174,3 +174,27 @@ def test_no_queries_is_an_error(spark):
     tree = train(bags(spark, 10, 1), "t", SHAPE)
     with pytest.raises(ValueError):
         exact_topk_by_tree(tree.assignments, tree.nodes, asked(spark, []).limit(0), 3)
+
+
+def test_comparing_lists_holds_few_pairs_at_a_time():
+    """A batch whose rows all have long lists is compared in parts of a few MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from bagtree.functions import kernels
+
+    rng = np.random.default_rng(4)
+    x, asked = rng.normal(size=(2048, 64)), kernels._unit(rng.normal(size=(128, 64)))
+    lists = pa.array([np.arange(128, dtype=np.int32)] * len(x), pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) // 2), pa.array(list(x)), lists], names=["doc_id", "vec", "queries"])
+    shared = SimpleNamespace(value=(pa.array(np.arange(128)), asked, np.full(128, -1.0)))
+    tracemalloc.start()
+    found = pa.Table.from_batches(kernels.best_of_lists(shared, 5, 9)(iter([batch, batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    scores = np.round(np.maximum(kernels._unit(x) @ asked.T, 0.0), 9).reshape(-1, 2, 128).max(axis=1)
+    for q in range(128):
+        own = found.filter(pa.array(found.column("query_id").to_numpy() == q)).to_pydict()
+        best = sorted((-scores[d, q], d) for d in range(len(scores)))[:5]
+        assert sorted(own["doc_id"]) == sorted(d for _, d in best)

@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,19 @@ def test_an_empty_draw_gives_a_bare_root_if_the_dimension_is_known(spark):
     tree = train(spark.createDataFrame([], FEATURE), "t", dim=3)
     assert nodes_of(tree)[ROOT]["centroid"] == [0.0] * 3 and tree.assignments.count() == 0
     assert set(places(quantize(random_features(spark, docs=2, dim=3), tree.nodes)).values()) == {ROOT}
+
+
+def test_a_round_over_a_small_codebook_needs_no_exchange(spark, monkeypatch):
+    """Partial sums of few clusters are added up by the driver: the same centroids as through the exchange."""
+    rows = random_features(spark, docs=90, dim=6).select(F.lit("0").alias("term_id"), "doc_id", "pos", "vec").repartition(3)
+    book = cluster.seeds(rows, [("0", 450)], 4, 6, "hash", "s")
+    through = cluster.moved_centroids(rows, book, 4, 6, sums_bytes=0)
+    monkeypatch.setattr(cluster, "cluster_means", None)
+    here = cluster.moved_centroids(rows, book, 4, 6)
+    assert here.parents.equals(through.parents) and np.allclose(here.centroids, through.centroids, rtol=1e-6)
+    parents = pa.array(["0", "1"])
+    packed = cluster.packed_rows(rows.unionByName(rows.withColumn("term_id", F.lit("1"))), parents, 6), parents
+    bytes_read = cluster.moved_centroids(rows, book, 4, 6, packed=packed)
+    assert bytes_read.parents.equals(through.parents) and np.allclose(bytes_read.centroids, through.centroids, rtol=1e-6)
+    nothing = cluster.moved_centroids(rows.where("false"), book, 4, 6)
+    assert len(nothing.parents) == 0

@@ -7,7 +7,7 @@ every candidate over all texts, by its own words and not by a hash.
 
 The lowered supports of n shards sum to s + n - 1 at most, so with s = 10 nothing but the supports 1 would be left of ten shards or
 more. ``SHARDS`` is therefore a small number whatever the size of the corpus; a shard is no task but a key, mined by as many tasks as
-hold its texts: they count their own texts in numpy, and one exchange by (shard, phrase hash) adds up.
+hold its texts: they count their own texts in numpy, and one exchange by ranges of phrase hashes adds up.
 
 Sets of frequent phrases go to the tasks as bit fields by hash, of a size bounded by ``MOST_BITS``. A phrase that only shares its bit
 with a frequent one is counted too and then falls to its true count, so the result is exact at any fill.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagtree.llm.words import Words, chunks, mix, slices, words_of
+from bagtree.llm.words import Words, chunks, mix, release_memory, slices, words_of
 from bagtree.sources.scratch import stage, unstage
 
 # What ends a piece, and what separates words within one.
@@ -32,6 +32,7 @@ NO_LANG = "und"
 
 SHARDS = 4
 MOST_BITS = 27  # a bit field takes at most 16 MiB
+BYTES_PER_PART = 8 << 20  # of text, for each part that the hashes of a level are dealt over
 ROWS_HELD = 1 << 18  # counts that a task holds, of each shard, before it adds them up and sends what is still many
 
 _IN_WORD = np.array([chr(b) not in PIECE_ENDS + SPACES for b in range(256)])
@@ -126,8 +127,10 @@ class _Counts:
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         hashes, n = (np.concatenate(x) for x in zip(*self.parts))
-        found, at = np.unique(hashes, return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+        order = np.argsort(hashes, kind="stable")  # runs that are in order already
+        hashes, n = hashes[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+        found, total = hashes[first], np.add.reduceat(n, first) if len(first) else n
         self.parts, self.rows = [(found, total)], len(found)
         return found, total
 
@@ -151,8 +154,12 @@ def _by_shard(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], np.ndarra
             yield int(shard), texts[piece], hashes[rows[piece]], langs[piece]
 
 
-def _local_counts(texts: DataFrame, size: int, below) -> DataFrame:
-    """(shard, h, n): phrases of ``size`` words of each shard that can be frequent after the level below."""
+def _locally_frequent(texts: DataFrame, size: int, below, lowered: dict[int, int], parts: int) -> DataFrame:
+    """(h): phrases of ``size`` words that reach their shard's lowered support in some shard, after the level below; each once.
+
+    Hashes are dealt over ``parts`` by their leading bits. A row of the exchange holds all sorted hashes that a task has for a shard
+    and part, with their counts, as bytes: a few large rows in place of one for each phrase.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*below.value)
@@ -160,11 +167,19 @@ def _local_counts(texts: DataFrame, size: int, below) -> DataFrame:
 
         def send(shard: int) -> Iterator[pa.RecordBatch]:
             hashes, n = held.pop(shard).merged()
-            for at in range(0, len(hashes), 1 << 16):
-                part = hashes[at : at + (1 << 16)].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), shard, np.int32)), pa.array(part), pa.array(n[at : at + (1 << 16)])], names=["shard", "h", "n"]
-                )
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
+            found, first = np.unique(part, return_index=True)
+            ends = np.append(first[1:], len(part))
+            n = n.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(found), shard, np.int32)),
+                    pa.array(found.astype(np.int32)),
+                    pa.array([hashes[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                    pa.array([n[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                ],
+                names=["shard", "part", "h", "n"],
+            )
 
         for batch in slices(batches):
             for shard, part, langs, _ in _by_shard(batch):
@@ -177,8 +192,24 @@ def _local_counts(texts: DataFrame, size: int, below) -> DataFrame:
         for shard in list(held):
             yield from send(shard)
 
-    rows = texts.mapInArrow(count, "shard int, h long, n long")
-    return rows.groupBy("shard", "h").agg(F.sum("n").alias("n"))
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], _Counts] = {}
+        for batch in batches:
+            for shard, part, h, n in zip(*(batch[name].to_pylist() for name in ("shard", "part", "h", "n"))):
+                counts = held.setdefault((shard, part), _Counts())
+                counts.parts.append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)))
+        found = []
+        for shard, part in list(held):
+            hashes, n = held.pop((shard, part)).merged()
+            found.append(hashes[n >= lowered[shard]])
+        if found:
+            out = np.unique(np.concatenate(found)).view(np.int64)
+            for at in range(0, len(out), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(out[at : at + (1 << 16)])], names=["h"])
+        release_memory()
+
+    rows = texts.mapInArrow(count, "shard int, part int, h binary, n binary")
+    return rows.repartition(parts, "part").mapInArrow(frequent, "h long")
 
 
 def _exact_counts(texts: DataFrame, sizes: dict[int, object]) -> DataFrame:
@@ -235,14 +266,21 @@ def _exact_counts(texts: DataFrame, sizes: dict[int, object]) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
-def local_supports(texts: DataFrame, support: int) -> dict[int, int]:
+def shard_bytes(texts: DataFrame) -> dict[int, int]:
+    return {row["shard"]: row["size"] for row in texts.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+
+
+def lowered_supports(sizes: dict[int, int], support: int) -> dict[int, int]:
     """The lowered support of each shard: ceil(support * share) of the bytes, so that a phrase below it in every shard is below
     ``support`` in all."""
-    sizes = {row["shard"]: row["size"] for row in texts.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     total = sum(sizes.values())
     return {shard: max(1, -(-support * size // max(1, total))) for shard, size in sizes.items()}
 
 
+def local_supports(texts: DataFrame, support: int) -> dict[int, int]:
+    return lowered_supports(shard_bytes(texts), support)
+
+
 def phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int = SHARDS, cover: tuple[int, int] = (50, 100)) -> DataFrame:
     """(lang, phrase, size, a, l, r, k, n, score, covered): every phrase of 2 to ``longest`` words with ``support`` occurrences or more.
 
@@ -259,13 +297,14 @@ def phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int =
     texts = prepared(docs, shards)
     words = stage(_exact_counts(texts, {1: None}).drop("size"), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    lowered = local_supports(texts, support)
-    low = F.element_at(F.create_map(*[F.lit(x) for pair in lowered.items() for x in pair]), F.col("shard")) if lowered else F.lit(support)
+    sizes = shard_bytes(texts)
+    lowered = lowered_supports(sizes, support)
+    parts = max(1, sum(sizes.values()) // BYTES_PER_PART)
 
     # First pass: what each shard finds frequent, level by level. A phrase of rare words is rare.
     below, fields, made = broadcast(field_of(words.where(F.col("n") >= support).select("h"))), {}, []
     for size in range(2, longest + 1):
-        local = stage(_local_counts(texts, size, below).where(F.col("n") >= low).select("h").distinct(), "local")
+        local = stage(_locally_frequent(texts, size, below, lowered, parts), "local")
         below = fields[size] = broadcast(field_of(local))
         made.append(local)
     # Second pass: exact counts of the union.

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagtree.llm import phrases as module
-from bagtree.llm.phrases import Field, Runs, field_of, first_phrases, local_supports, phrases, prepared
+from bagtree.llm.phrases import Field, Runs, _locally_frequent, field_of, first_phrases, local_supports, phrases, prepared
 from tests.llm.helpers import clashing, documents, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,3 +144,22 @@ def test_empty_and_odd_tables(spark):
     frame = clashing(documents(spark, corpus(7, 20)), *names)
     assert phrases(frame).columns == ["lang", "phrase", "size", "a", "l", "r", "k", "n", "score", "covered"]
     assert phrases(frame).where(F.col("a") < 10).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_locally_frequent_phrases_travel_in_rows_of_many(spark, parts):
+    """The hashes that reach a shard's support, each once; the exchange is by part, not by phrase."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    data = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60))), "en") for i in range(300)]
+    texts = prepared(spark.createDataFrame(data, "doc_id long, text string, lang string"), 3)
+    lowered = {0: 2, 1: 9, 2: 4}
+    expected = set()
+    for shard, low in lowered.items():
+        own = texts.where(F.col("shard") == shard).toArrow()
+        found, n = np.unique(Runs(own["text"].to_pylist(), own["lang_hash"].to_numpy()).level(2, None)[1], return_counts=True)
+        expected |= set(found[n >= low].view(np.int64).tolist())
+    every = spark.sparkContext.broadcast((16, np.full(1 << 10, ~np.uint64(0))))
+    local = _locally_frequent(texts.repartition(4), 2, every, lowered, parts)
+    assert sorted(r["h"] for r in local.collect()) == sorted(expected) and 0 < len(expected) < 900
+    assert "hashpartitioning(part" in local._jdf.queryExecution().toString() or parts == 1
